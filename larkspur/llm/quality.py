@@ -4,7 +4,7 @@ Tokens are the maximal runs of letters (lower-cased, all-capitals marked) and th
 digits, line breaks); a single space is no token. Every token hashes to one of BUCKETS rows. A row's index vector
 is sparse, ternary and random; its word vector adds the index vectors of the tokens seen within REACH places of
 it in the fit sample, and keeps a share of its own. A document is pooled as the mean and the spread of its
-tokens' vectors, with the logarithm of their number and the share of distinct ones among neighbours. A two-layer
+tokens' vectors, with the logarithm of their number and the shares that equal the token before or the one before that. A two-layer
 numpy network gives a logit; its temperature is fitted on a fifth of the sample held back.
 
 The fit sees about max_fit_rows labelled rows at most, and max_fit_chars characters in all, chosen by a hash of
@@ -77,10 +77,10 @@ def word_vectors(buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def pooled(buckets: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Document rows: mean, spread, log count, share of tokens that differ from the one two places before."""
+    """Document rows: mean, spread, log count, shares of tokens equal to the one before, and to the one two before."""
     n = len(first) - 1
     counts = np.diff(first)
-    out = np.zeros((n, 2 * DIMENSIONS + 2), np.float32)
+    out = np.zeros((n, 2 * DIMENSIONS + 3), np.float32)
     some = np.flatnonzero(counts)
     if len(some):
         for chunk in np.array_split(some, max(1, len(buckets) // 100_000)):
@@ -92,13 +92,14 @@ def pooled(buckets: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.nd
             begin = first[chunk] - a
             mean = np.add.reduceat(v, begin, axis=0) / counts[chunk][:, None]
             square = np.add.reduceat(v * v, begin, axis=0) / counts[chunk][:, None]
-            differs = np.ones(b - a, np.float32)
-            if b - a > 2:
-                differs[2:] = (buckets[a + 2 : b] != buckets[a : b - 2]) | (own[2:] != own[:-2])
             out[chunk, :DIMENSIONS] = mean
             out[chunk, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
-            out[chunk, -1] = np.add.reduceat(differs, begin) / counts[chunk]
-    out[:, -2] = np.log1p(counts) / 5
+            for back in (1, 2):
+                again = np.zeros(b - a, np.float32)
+                if b - a > back:
+                    again[back:] = (buckets[a + back : b] == buckets[a : b - back]) & (own[back:] == own[:-back])
+                out[chunk, -back] = np.sqrt(np.add.reduceat(again, begin) / counts[chunk])
+    out[:, -3] = np.log1p(counts) / 5
     return out
 
 
