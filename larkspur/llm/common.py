@@ -53,3 +53,32 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def fold(column: str, folds: int):
     """crc32 of the column's decimal text, modulo folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def whole_groups(batches, keys: int):
+    """Arrow batches sorted by their first `keys` columns to one batch per group, however the groups fall on batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in batch.columns[:keys]:
+            values = c.to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        new[0] = bool(held) and any(batch.column(j)[0] != held[-1].column(j)[held[-1].num_rows - 1] for j in range(keys))
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if new[a] and held:
+                yield joined()
+                held.clear()
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield joined()

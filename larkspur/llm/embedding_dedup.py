@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import whole_groups, written
 from larkspur.llm.graph import connected_components
 
 TABLES, BITS, BLOCK = 24, 16, 256
@@ -57,11 +57,11 @@ def _links_in_groups(cosine: float):
     """Rows sorted by (label, len, t, key, x, y): members of a pair of blocks; left and right tell the block's side."""
 
     def linked(part: pa.RecordBatch):
-        table, x, y = part.column(0)[0].as_py(), part.column(1)[0].as_py(), part.column(2)[0].as_py()
-        ids = part.column(3).to_numpy()
-        copies = part.column(4).to_numpy()
-        block = part.column(5).to_numpy()
-        values, sig = _matrix(part.column(6)), _matrix(part.column(7)).astype(np.int32)
+        table, x, y = (part.column(j)[0].as_py() for j in (2, 4, 5))
+        ids = part.column(6).to_numpy()
+        copies = part.column(7).to_numpy()
+        block = part.column(8).to_numpy()
+        values, sig = _matrix(part.column(9)), _matrix(part.column(10)).astype(np.int32)
         scale = np.sqrt((values * values).sum(axis=1))
         left = np.flatnonzero(block == x)
         right = left if x == y else np.flatnonzero(block == y)
@@ -89,31 +89,9 @@ def _links_in_groups(cosine: float):
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(least[some])], names=["vec_id", "links", "least"])
 
     def links(batches):
-        held: list[pa.RecordBatch] = []
-        key_of = lambda b, i: tuple(b.column(j)[i].as_py() for j in (8, 9, 0, 10, 1, 2))
-
-        def flush():
-            if held:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held.clear()
-                if whole.num_rows > 1 and (out := linked(whole)) is not None:
-                    yield out
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(j).to_numpy(zero_copy_only=False) for j in (8, 9, 0, 10, 1, 2)]
-            new = np.zeros(batch.num_rows, bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            new[0] = not held or key_of(batch, 0) != key_of(held[-1], held[-1].num_rows - 1)
-            cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
-            if cuts[0] > 0:
-                held.append(batch.slice(0, cuts[0]))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from flush()
-                held.append(batch.slice(a, b - a))
-        yield from flush()
+        for group in whole_groups(batches, 6):
+            if group.num_rows > 1 and (out := linked(group)) is not None:
+                yield out
 
     return links
 
@@ -135,7 +113,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     paired = members.select(*where, "vec_id", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))).alias("p"))
     full = paired.join(reps.select("vec_id", "embedding", "copies"), "vec_id").join(signed, "vec_id")
     group = [*where, "x", "y"]
-    full = full.select(F.col("t"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), "vec_id", "copies", "block", "embedding", "sig", "label", "len", "key")
+    full = full.select(*where, F.col("p.x").alias("x"), F.col("p.y").alias("y"), "vec_id", "copies", "block", "embedding", "sig")
     found = written(full.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links_in_groups(cosine), "vec_id bigint, links bigint, least bigint"))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("least < vec_id").select(F.col("vec_id").alias("a"), F.col("least").alias("b")))

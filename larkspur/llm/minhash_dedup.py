@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles. Documents with equal sets are
 walk down random trees: in every node a few minhash functions are drawn from the node's own key, and a
 document moves to the child named by the function and the document's minimum under it, so that similar
 documents share children. A node with few members is compared exhaustively; a larger one first compares all
-members with one pivot, which gathers a large group of near copies in linear time, and then branches. Several
+members with one pivot, near to most of them, which gathers a family of near copies in linear time, and then
+branches; members known to be of one component are not compared again. Several
 independent trees run side by side. All candidate pairs are confirmed on the full sets.
 
 At a similarity of 0.8 a pair shares a child with probability 1 - 0.2^3 in each tree's first level and
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnp as tx
-from larkspur.llm.common import small, written
+from larkspur.llm.common import small, whole_groups, written
 from larkspur.llm.graph import connected_components
 
 TREES, FIRST_BRANCHES, BRANCHES = 3, 3, 2
@@ -32,9 +33,11 @@ TREES, FIRST_BRANCHES, BRANCHES = 3, 3, 2
 COORDINATES, SKETCH_BITS = 48, 128
 #: A node whose pairs to compare are at most LEAF / 2 for each member is compared exhaustively.
 LEAF = 32
-#: Below this depth nodes are compared whatever their size, in blocks.
-MAX_DEPTH = 6
-BLOCK = 64
+#: Random members of a large node that its pivot should be near.
+SAMPLES = 4
+#: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
+#: branch well; they, and all large nodes at the last depth, are compared in pairs of blocks, on the full sets.
+DENSE, MAX_DEPTH, BLOCK = 36, 4, 128
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, mh array<int>"
 
@@ -94,13 +97,18 @@ def signatures(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_signer(width), SIGNED)
 
 
+def _apart(a1: F.Column, a2: F.Column, b1: F.Column, b2: F.Column) -> F.Column:
+    """In how many bits two sketches differ."""
+    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
+
+
 def _near(x: str, y: str, percent: int) -> F.Column:
     """Whether sizes allow the similarity, and sketches agree as such pairs do (the miss rate at the threshold is about 1e-6)."""
     similarity = percent / 100
     differ = (1 - similarity) / 2
     most = int(SKETCH_BITS * differ + 5.5 * (SKETCH_BITS * differ * (1 - differ)) ** 0.5)
     a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    apart = F.bit_count(F.col(f"{x}.k1").bitwiseXOR(F.col(f"{y}.k1"))) + F.bit_count(F.col(f"{x}.k2").bitwiseXOR(F.col(f"{y}.k2")))
+    apart = _apart(*(F.col(f"{v}.{k}") for v in (x, y) for k in ("k1", "k2")))
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (apart <= most)
 
 
@@ -113,13 +121,19 @@ def _children(node: F.Column, branches: int) -> F.Column:
 def _confirm(width: int, percent: int):
     def confirm(batches):
         for batch in batches:
-            sets = []
-            for name in ("ta", "tb"):
-                offs, data = tx.text_buffers(batch.column(batch.schema.get_field_index(name)))
-                sets.append((offs, data))
+            known: dict[int, np.ndarray] = {}
+            sides = [(batch.column(i).to_pylist(), *tx.text_buffers(batch.column(i + 2))) for i in (0, 1)]
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                a, b = (next(shingle_sets(o[i : i + 2] - o[i], d[o[i] : o[i + 1]], width)) for o, d in sets)
+                pair = []
+                for ids, offs, data in sides:
+                    own = known.get(ids[i])
+                    if own is None:
+                        if len(known) > 200:
+                            known.clear()
+                        own = known[ids[i]] = next(shingle_sets(offs[i : i + 2] - offs[i], data[offs[i] : offs[i + 1]], width))
+                    pair.append(own)
+                a, b = pair
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
@@ -142,44 +156,118 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """Confirmed links (a, b), a <> b, that leave the same components as all links; groups of near copies are linked
     through pivots, so not every pair of such a group is a row."""
-    member = reps.select("doc_id", "n_shingles", "k1", "k2", F.col("doc_id").alias("grp"))
+    member = ["doc_id", "n_shingles", "k1", "k2", "grp"]
     rows = reps.select(
-        F.explode(F.array([F.xxhash64(F.lit(t), F.lit(j), F.element_at("mh", t * FIRST_BRANCHES + j + 1)) for t in range(TREES) for j in range(FIRST_BRANCHES)])).alias("node"), *[c for c in member.columns if c != "grp"], F.col("doc_id").alias("grp")
+        F.explode(F.array([F.xxhash64(F.lit(t), F.lit(j), F.element_at("mh", t * FIRST_BRANCHES + j + 1)) for t in range(TREES) for j in range(FIRST_BRANCHES)])).alias("node"), *member[:-1], F.col("doc_id").alias("grp")
     )
     candidates, found = None, None
     for depth in range(1, MAX_DEPTH + 1):
-        groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"), F.col("doc_id").alias("first"))
-        free = F.when(F.col("c") == 1, F.col("first"))
-        nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top"), F.min("first").alias("lowest"), F.min(free).alias("free")).where("n * n > s2")
+        groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"))
+        nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top")).where("n * n > s2")
         work = (F.col("n") * F.col("n") - F.col("s2")) / 2
-        nodes = written(nodes.select("node", "top", F.coalesce(F.col("free") if depth > 1 else F.col("lowest"), "lowest").alias("pivot"), (work <= F.col("n") * LEAF / 2).alias("leaf"), "n"))
+        nodes = written(nodes.select("node", "top", (work <= F.col("n") * LEAF / 2).alias("leaf"), "n"))
         n_large = nodes.where("not leaf").count()
-        last = depth == MAX_DEPTH
-        inner = rows.join(nodes.where(F.lit(True) if last else F.col("leaf")).select("node", "top", "n"), "node")
-        if last and n_large:
-            # Blocks of the members outside the main group meet blocks of all members; exact, whatever the node's size.
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            x = inner.where("grp <> top").withColumn("x", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            y = inner.withColumn("y", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            met = x.alias("x").join(y.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.x") == F.col("y.x")) & (F.col("x.y") == F.col("y.y")) & _pair() & _near("x", "y", percent))
-        else:
-            met = inner.where("grp <> top").alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & _pair() & _near("x", "y", percent))
+        inner = rows.join(nodes.where("leaf").select("node", "top"), "node")
+        met = inner.where("grp <> top").alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & _pair() & _near("x", "y", percent))
         met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         candidates = met if candidates is None else candidates.union(met)
-        if last or not n_large:
+        if not n_large:
             break
-        outer = rows.join(nodes.where("not leaf").select("node", "pivot"), "node")
-        tops = outer.select("pivot", "doc_id").where("pivot <> doc_id").distinct()
-        star = tops.join(member.drop("grp").alias("y"), "doc_id").select("pivot", F.struct("doc_id", "n_shingles", "k1", "k2").alias("y")).join(member.drop("grp").withColumnRenamed("doc_id", "pivot").select("pivot", F.struct("n_shingles", "k1", "k2").alias("x")), "pivot").where(_near("x", "y", percent))
-        star = confirmed(star.select(F.col("pivot").alias("a"), F.col("y.doc_id").alias("b")), texts, width, percent)
+        # The pivot is the member nearest to a few random ones: in a family of copies, its origin.
+        outer = written(rows.join(nodes.where("not leaf").select("node", "top"), "node"))
+        others = outer.where("grp <> top")
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "doc_id").alias("h"), "k1", "k2")).alias(f"s{i}") for i in range(SAMPLES)]
+        apart = sum((_apart(F.col("k1"), F.col("k2"), F.col(f"s{i}.k1"), F.col(f"s{i}.k2")) for i in range(1, SAMPLES)), _apart(F.col("k1"), F.col("k2"), F.col("s0.k1"), F.col("s0.k2")))
+        nearest = others.join(others.groupBy("node").agg(*drawn), "node").select("node", F.struct(apart.alias("far"), "doc_id", "n_shingles", "k1", "k2", "grp").alias("x"))
+        pivots = written(nearest.groupBy("node").agg(F.min("x").alias("x"), (F.avg("x.far") <= DENSE * SAMPLES).alias("dense")))
+        star = outer.select("node", F.struct("doc_id", "n_shingles", "k1", "k2").alias("y")).join(pivots, "node").where((F.col("x.doc_id") != F.col("y.doc_id")) & _near("x", "y", percent))
+        star = confirmed(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), texts, width, percent)
         found = star if found is None else found.union(star)
-        linked = star.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.lit(True).alias("linked"))
-        grouped = outer.join(linked, ["pivot", "doc_id"], "left").withColumn("grp", F.when(F.col("linked") | (F.col("pivot") == F.col("doc_id")), F.when(F.col("grp") == F.col("doc_id"), F.col("pivot")).otherwise(F.col("grp"))).otherwise(F.col("grp")))
-        rows = written(grouped.join(reps.select("doc_id", "mh"), "doc_id").select(_children(F.col("node"), BRANCHES).alias("node"), *member.columns))
+        linked = star.union(star.select("b", "a")).toDF("pivot", "doc_id").withColumn("linked", F.lit(True))
+        met = outer.join(pivots.select("node", F.col("x.doc_id").alias("pivot"), F.col("x.grp").alias("pgrp"), (F.col("dense") | F.lit(depth == MAX_DEPTH)).alias("dense")), "node").join(linked, ["pivot", "doc_id"], "left")
+        met = met.withColumn("linked", F.coalesce("linked", F.lit(False)) | (F.col("pivot") == F.col("doc_id")))
+        # Where the pivot is linked into the node's main group, its family joins that group.
+        joins = met.groupBy("node").agg(F.max(F.col("linked") & (F.col("grp") == F.col("top"))).alias("joins"))
+        family = F.when(F.col("joins"), F.col("top")).otherwise(F.col("pgrp"))
+        grouped = met.join(joins, "node").withColumn("grp", F.when((F.col("linked") & (F.col("grp") == F.col("doc_id"))) | (F.col("grp") == F.col("pgrp")), family).otherwise(F.col("grp")))
+        grouped = written(grouped.select("node", "dense", *member))
+        blocks = _linked_in_blocks(grouped.where("dense"), texts, width, percent)
+        found = found.union(blocks)
+        if depth == MAX_DEPTH:
+            break
+        rows = written(grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").select(_children(F.col("node"), BRANCHES).alias("node"), *member))
     direct = confirmed(candidates.distinct(), texts, width, percent)
     return direct if found is None else direct.union(found)
 
 
+def _linked_in_blocks(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join groups of the same node of rows (node, doc_id, grp). Members outside the node's main group
+    meet all members, a block of them with a block at a time; a text travels to each of its pairs of blocks."""
+    groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c"))
+    nodes = groups.groupBy("node").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("c", "grp"))["grp"].alias("top"))
+    placed = rows.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # A block of minor members is x; only such blocks need others to come to them.
+    minor = placed.where("grp <> top").groupBy("node").agg(F.collect_set("block").alias("xs"))
+    x = placed.where("grp <> top").select("node", F.col("block").alias("x"), every.alias("y"), F.lit(0).alias("side"), "doc_id", "grp")
+    y = placed.join(minor, "node").select("node", F.explode("xs").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "doc_id", "grp")
+    met = x.union(y).join(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    met = met.select("node", "x", "y", "side", "doc_id", "grp", "text").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
+    return written(met.mapInArrow(_block_linker(width, percent), "a bigint, b bigint"))
+
+
+def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets x with the sets y, by products of 0/1 matrices over the shared values."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[value] > 1
+    owner, value = owner[shared], number[value[shared]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, int(value[-1]) + 1 if len(value) else 0, 1 << 13):
+        a, b = np.searchsorted(value, [low, low + (1 << 13)])
+        has = np.zeros((len(sets), 1 << 13), np.float32)
+        has[owner[a:b], value[a:b] - low] = 1
+        out += has[x] @ has[y].T
+    return out
+
+
+def _block_linker(width: int, percent: int):
+    def link(batches):
+        for group in whole_groups(batches, 3):
+            ids, first = np.unique(group.column(4).to_numpy(), return_index=True)
+            side, grp = group.column(3).to_numpy(), group.column(5).to_numpy()[first]
+            position = np.searchsorted(ids, group.column(4).to_numpy())
+            x, y = np.unique(position[side == 0]), np.unique(position[side == 1])
+            if not len(x) or not len(y):
+                continue
+            offs, data = tx.text_buffers(group.column(6).take(pa.array(first)))
+            sets = list(shingle_sets(offs, data, width))
+            size = np.array([len(s) for s in sets], np.float64)
+            both = intersections(sets, x, y).astype(np.float64)
+            near = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (both > 0) & (grp[x][:, None] != grp[y][None, :])
+            # A forest over the groups is enough.
+            root = {g: g for g in grp.tolist()}
+            out: tuple[list[int], list[int]] = ([], [])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                pair = []
+                for g in (grp[x[i]], grp[y[j]]):
+                    g = int(g)
+                    while root[g] != g:
+                        root[g] = root[root[g]]
+                        g = root[g]
+                    pair.append(g)
+                if pair[0] != pair[1]:
+                    root[pair[0]] = pair[1]
+                    out[0].append(int(ids[x[i]]))
+                    out[1].append(int(ids[y[j]]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    return link
+
+
 def _pair() -> F.Column:
     """Members of different groups, one of them outside the node's main group; two outside it meet once."""
     return (F.col("x.grp") != F.col("y.grp")) & ((F.col("y.grp") == F.col("x.top")) | (F.col("x.doc_id") < F.col("y.doc_id")))
