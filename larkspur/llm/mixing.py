@@ -80,7 +80,8 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed: s
     """The selected rows of docs (doc_id, text, lang, source, ...), with domain, n_tokens and copies (how many epochs take the row).
 
     budget_share: the budget as a share of all tokens; weights: by level (domain, lang, source) and name."""
-    sized = docs.withColumn("__domain", domain if domain is not None else default_domain()).withColumn("__tokens", n_tokens())
+    domain = default_domain() if domain is None else domain
+    sized = docs.withColumn("__domain", domain).withColumn("__tokens", n_tokens())
     light = sized.where("__tokens > 0").select(F.col("doc_id").cast("bigint"), F.col("__domain").alias("domain"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("__tokens").alias("tokens"))
     light = written(light)
     leaves = written(light.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
@@ -95,11 +96,11 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed: s
     sums = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("in_bucket"))
     sums = sums.select(*[F.col(c).alias(f"up_{c}") for c in LEVELS], F.col("bucket").alias("up_bucket"), "in_bucket", "before")
     known = written(placed.join(sums, [*match, F.col("bucket") == F.col("up_bucket")]).select(*LEVELS, "doc_id", "tokens", "passes", "rest", "ord", "bucket", "before", "in_bucket"))
-    sure = known.where("before >= rest or before + in_bucket <= rest").select("doc_id", (F.col("passes") + F.when(F.col("before") + F.col("in_bucket") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    sure = known.where("before >= rest or before + in_bucket <= rest").select("doc_id", "tokens", (F.col("passes") + F.when(F.col("before") + F.col("in_bucket") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
     border = known.where("before < rest and before + in_bucket > rest")
     running = F.sum("tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("ord", "doc_id"))
-    border = border.withColumn("upto", F.col("before") + running).select("doc_id", (F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
-    chosen = sure.union(border).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("bigint").alias("__copies"))
-    out = sized.where("__tokens > 0").join(chosen, F.col("doc_id") == F.col("__id")).drop("__id")
+    border = border.withColumn("upto", F.col("before") + running).select("doc_id", "tokens", (F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    chosen = sure.union(border).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("bigint").alias("__copies"), F.max("tokens").alias("__tokens"))
+    out = docs.withColumn("__domain", domain).join(chosen, F.col("doc_id") == F.col("__id")).drop("__id")
     names = {"domain": "__domain", "n_tokens": "__tokens", "copies": "__copies"}
     return out.select(*[c for c in docs.columns if c not in names], *[F.col(v).alias(k) for k, v in names.items()])

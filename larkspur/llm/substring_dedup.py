@@ -99,11 +99,13 @@ def _pack(window: int, minimizer: int):
                     other = tx.run_minimum(tx.mix(tx.run_hashes(hashes, minimizer) ^ SECOND_ORDER), window - minimizer + 1)
                     second = np.where(np.isin(least, dense), other, second)
                 cuts = _cuts(least, second, shared)
-                raw = words.data
+                # The words with one space between them, and where each begins and ends there.
+                raw = b" ".join(words.data.tobytes().split()).decode()
+                own = np.cumsum(_code_points(words) + 1)
+                begin, end = np.append(0, own[:-1]), own - 1
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if shared[a]:
-                        spans = zip(words.start[a : b + window - 1].tolist(), words.end[a : b + window - 1].tolist(), strict=True)
-                        packed = b" ".join([raw[s:e].tobytes() for s, e in spans])
+                        packed = raw[begin[a] : end[b + window - 2]]
                         out[0].append(least[a] ^ tx.mix(second[a : a + 1] + np.uint64(1))[0])
                         out[1].append(packed)
                         out[2].append(ids[i])
@@ -118,40 +120,39 @@ def _pack(window: int, minimizer: int):
     return pack
 
 
+def _code_points(words: tx.Words) -> np.ndarray:
+    """The length of each word in code points."""
+    heads = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+    return heads[words.end] - heads[words.start]
+
+
 def _packed(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(np.array(out[2], np.int64)), pa.array(np.array(out[3], np.int64))], names=["key", "packed", "doc_id", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.string()), pa.array(np.array(out[2], np.int64)), pa.array(np.array(out[3], np.int64))], names=["key", "packed", "doc_id", "at"])
 
 
 def _first_documents(window: int):
     """Rows (key, packed, first_doc) in order of key: for each packed string, its runs of windows and their first document."""
 
     def counted(keys: list, strings: list, docs: list):
-        """Sort the windows of whole buckets. Words become integers by an exact dictionary; windows with equal hashes are compared word by word."""
-        known: dict[str, int] = {}
-        ids, first = [], [0]
-        for s in strings:
-            ids += [known.setdefault(w, len(known)) for w in s.split(" ")]
-            first.append(len(ids))
-        ids, first = np.array(ids, np.int64), np.array(first)
-        runs = tx.run_hashes(tx.mix(ids.astype(np.uint64)), window)
-        begins = np.flatnonzero(tx.starts_of_runs(first, window, len(ids)))
+        """Sort the windows of whole buckets by a hash of their words; windows with equal hashes are compared as bytes."""
+        offs, data = tx.text_buffers(pa.array(strings, pa.string()))
+        words = tx.split(data, offs, tx.SPACE, lower=False)
+        first = words.first
+        runs = tx.run_hashes(words.hashes(), window)
+        begins = np.flatnonzero(tx.starts_of_runs(first, window, len(words.start)))
         of = np.repeat(np.arange(len(strings)), np.diff(first) - window + 1)
         bucket, doc, hashed = np.array(keys, np.int64)[of], np.array(docs, np.int64)[of], runs[begins]
         order = np.lexsort((doc, hashed, bucket))
-        begins_sorted = begins[order]
+        raw, low, high = data.tobytes(), words.start[begins], words.end[begins + window - 1]
         same = (bucket[order][1:] == bucket[order][:-1]) & (hashed[order][1:] == hashed[order][:-1])
         at = np.flatnonzero(same)
-        equal = np.ones(len(at), bool)
-        for k in range(window):
-            equal &= ids[begins_sorted[at] + k] == ids[begins_sorted[at + 1] + k]
-        if not equal.all():
-            # Different windows with one hash: order by the words themselves.
-            columns = [ids[begins + k] for k in range(window - 1, -1, -1)]
-            order = np.lexsort((doc, *columns, bucket))
-            begins_sorted = begins[order]
-            same = bucket[order][1:] == bucket[order][:-1]
-            for k in range(window):
-                same &= ids[begins_sorted[1:] + k] == ids[begins_sorted[:-1] + k]
+        one, two = order[at], order[at + 1]
+        if any(raw[a:b] != raw[c:d] for a, b, c, d in zip(low[one].tolist(), high[one].tolist(), low[two].tolist(), high[two].tolist(), strict=True)):
+            # Different windows with one hash: number the windows by their bytes instead.
+            known: dict[bytes, int] = {}
+            number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+            order = np.lexsort((doc, number, bucket))
+            same = (bucket[order][1:] == bucket[order][:-1]) & (number[order][1:] == number[order][:-1])
         leader = np.flatnonzero(np.append(True, ~same))
         least = np.empty(len(order), np.int64)
         least[order] = np.repeat(doc[order][leader], np.diff(np.append(leader, len(order))))
