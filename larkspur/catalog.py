@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from larkspur.plans import performance, relational, series
+
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES}
+FLAGSHIP = relational.snapshot
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
