@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, language_id, line_dedup, minhash_dedup, mixing
-from larkspur.llm.common import fold, scratch_dir, table
+from larkspur.llm.common import fold, scratch_dir, table, unused
 from larkspur.llm.queries import MIX_EPOCHS, MIX_SHARE, MIX_WEIGHTS
 
 #: A document is rejected if its language cannot be told at all, or with less than this calibrated probability.
@@ -20,8 +20,9 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def _only(docs: DataFrame, decisions: DataFrame, rule: F.Column) -> DataFrame:
     """The rows of docs whose doc_id some row of decisions accepts; null doc_ids stay."""
-    good = decisions.where(rule & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.where("doc_id is not null").join(good, F.col("doc_id") == F.col("__id"), "left_semi")
+    key = unused(docs, "good_id")
+    good = decisions.where(rule & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.where("doc_id is not null").join(good, F.col("doc_id") == F.col(key), "left_semi")
     return kept.union(docs.where("doc_id is null"))
 
 

@@ -45,6 +45,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df as a broadcast side if its known row count is within BROADCAST_ROWS, else unchanged (shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

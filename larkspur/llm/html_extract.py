@@ -1,11 +1,10 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-A page is cut into tokens by one pattern: comments, scripts and styles, tags, and text between them. Words outside
-known boilerplate elements score positive, words inside them negative, tags negative; one linear scan finds the
-contiguous run of tokens with the greatest sum. Scores are weights from labelled pages: pages that mark their
-content with an article or main element say, per kind of token, how much more often it stands inside than
-outside. What the run holds of boilerplate elements (a notice or form inside an article) is left out, and the
-rest is rendered block by block.
+A page is cut into tokens by one pattern: comments, scripts and styles, tags, and text between them. Words score
+positive and tags negative; one linear scan finds the contiguous run of tokens with the greatest sum. Scores are
+weights from labelled pages: pages that mark their content with an article or main element say, per kind of
+token, how much more often it stands inside than outside. What stands in known boilerplate elements costs little,
+so a run may cross a notice or form inside an article; it is left out when the run is rendered block by block.
 
 Defined results: null or empty html, and pages without a word that scores, give an empty text. Extra columns
 are not read."""
@@ -43,6 +42,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Elements that a start tag closes where they are still open (HTML's implied end tags).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT = frozenset(("article", "main"))
+#: What a token inside a boilerplate element costs.
+BOILERPLATE_COST = 0.05
 
 
 def _marks(attributes: str) -> bool:
@@ -104,10 +105,12 @@ def _tag_score(kind: str, weights: dict[str, float]) -> float:
 def best_run(page: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> tuple[int, int]:
     """The run of tokens with the greatest sum, by one scan: (first, one beyond the last); the shortest of equals."""
     best, run, at, found = 0.0, 0.0, 0, (0, 0)
-    word, noise = weights.get("word", 1.0), weights.get("noise", -1.0)
+    word = weights.get("word", 1.0)
     for i, (kind, text, boilerplate, _) in enumerate(page):
-        if kind == "word":
-            run += len(text.split()) * (noise if boilerplate else word)
+        if boilerplate:
+            run -= BOILERPLATE_COST
+        elif kind == "word":
+            run += len(text.split()) * word
         else:
             run += _tag_score(kind, weights)
         if run <= 0:
@@ -151,9 +154,10 @@ def _tally(batches):
             if not any(t[3] for t in found):
                 continue
             for kind, text, boilerplate, content in found:
+                if boilerplate:
+                    continue
                 n = len(text.split()) if kind == "word" else 1
-                kind = "noise" if kind == "word" and boilerplate else kind
-                where = inside if content and not boilerplate else outside
+                where = inside if content else outside
                 where[kind] = where.get(kind, 0) + n
         kinds = sorted({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([inside.get(k, 0) for k in kinds], pa.int64()), pa.array([outside.get(k, 0) for k in kinds], pa.int64())], names=["kind", "inside", "outside"])
@@ -168,13 +172,10 @@ def fit(pages: DataFrame, max_fit_pages: int = MAX_FIT_PAGES) -> dict[str, float
     rows = sample.select(F.col("html").cast("string")).mapInArrow(_tally, "kind string, inside bigint, outside bigint")
     rows = rows.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "kind").limit(200).collect()
     total_in, total_out = sum(r.i for r in rows) + 1, sum(r.o for r in rows) + 1
-    out = {"word": 1.0, "noise": -1.0, "": -1.0}
+    out = {"word": 1.0, "": -1.0}
     for r in rows:
         score = math.log((r.i + 0.5) / total_in) - math.log((r.o + 0.5) / total_out)
-        if r.kind in ("word", "noise"):
-            out[r.kind] = max(score, 0.5) if r.kind == "word" else min(score, -0.5)
-        else:
-            out[r.kind] = min(-0.1, 4 * score - 0.1)
+        out[r.kind] = max(score, 0.5) if r.kind == "word" else min(-0.1, 4 * score - 0.1)
     return out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import unused, written
 
 #: A chunk ends after a line in one of MODULUS cases.
 MODULUS = 4
@@ -94,12 +94,13 @@ def repeats(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     """docs with text stripped of repeated chunks: all columns of docs, text replaced."""
-    gone = repeats(docs, modulus).withColumnRenamed("gone", "__gone")
-    joined = docs.join(gone, "doc_id", "left")
+    gone, text, key = (unused(docs, x) for x in ("gone_lines", "new_text", "of_doc"))
+    found = repeats(docs, modulus).toDF(key, gone)
+    joined = docs.join(found, F.col("doc_id") == F.col(key), "left")
     strip = F.pandas_udf(_strip_series(modulus), "string")
-    changed = F.col("__gone").isNotNull()
-    out = joined.withColumn("__text", F.when(changed, strip(F.when(changed, F.col("text").cast("string")), "__gone")).otherwise(F.col("text")))
-    cols = [F.col("__text").alias("text") if c == "text" else F.when(changed, F.length("__text")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    changed = F.col(gone).isNotNull()
+    out = joined.withColumn(text, F.when(changed, strip(F.when(changed, F.col("text").cast("string")), gone)).otherwise(F.col("text")))
+    cols = [F.col(text).alias("text") if c == "text" else F.when(changed, F.length(text)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
     return out.select(*cols)
 
 

@@ -217,7 +217,7 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, width: int, percent: in
 
 
 def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets x with the sets y, by products of 0/1 matrices over the shared values."""
+    """Sizes of the intersections of the sets x with other sets, y, by products of 0/1 matrices over the shared values."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(count > 1) - 1

@@ -13,14 +13,15 @@ ordered by rows.
 
 Defined results: null text and texts without words have no tokens and are never selected; a null domain,
 language or source is a branch of its own; unknown names have weight 1, a weight of 0 or less gives nothing;
-repeated rows count as documents, tied in the order. Extra columns are kept."""
+repeated rows count as documents, tied in the order; rows with null doc_id are not selected. Extra columns are
+kept, but for earlier columns domain, n_tokens and copies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import unused, written
 
 LEVELS = ("domain", "lang", "source")
 #: A leaf's order is divided into buckets of about so many documents.
@@ -61,10 +62,15 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, total: float, max_epochs: int, weights: dict[str, dict[str, float]]) -> DataFrame:
     """leaves (domain, lang, source, docs, tokens) with `budget`, in tokens, as a whole number."""
+    # What no weight reaches is nobody's capacity, so that its share goes to siblings.
+    open_ = F.lit(True)
+    for name in LEVELS:
+        open_ &= _weight(name, weights.get(name, {})) > 0
+    usable = leaves.withColumn("tokens", F.when(open_, F.col("tokens")).otherwise(0))
     now, share = None, None
     for depth in range(1, len(LEVELS) + 1):
         path, name = list(LEVELS[:depth]), LEVELS[depth - 1]
-        nodes = leaves.groupBy(*path).agg((F.sum("tokens") * max_epochs).cast("double").alias("capacity")).withColumn("weight", _weight(name, weights.get(name, {})))
+        nodes = usable.groupBy(*path).agg((F.sum("tokens") * max_epochs).cast("double").alias("capacity")).withColumn("weight", _weight(name, weights.get(name, {})))
         if depth == 1:
             share = nodes.withColumn("root", F.lit(1)).withColumn("budget", F.least(F.lit(float(total)), F.sum("capacity").over(Window.partitionBy("root"))))
             now = _fill(share, ["root"], name).select(*path, "budget")
@@ -81,8 +87,7 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed: s
 
     budget_share: the budget as a share of all tokens; weights: by level (domain, lang, source) and name."""
     domain = default_domain() if domain is None else domain
-    sized = docs.withColumn("__domain", domain).withColumn("__tokens", n_tokens())
-    light = sized.where("__tokens > 0").select(F.col("doc_id").cast("bigint"), F.col("__domain").alias("domain"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("__tokens").alias("tokens"))
+    light = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), n_tokens().alias("tokens")).where("tokens > 0")
     light = written(light)
     leaves = written(light.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share
@@ -100,7 +105,8 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed: s
     border = known.where("before < rest and before + in_bucket > rest")
     running = F.sum("tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("ord", "doc_id"))
     border = border.withColumn("upto", F.col("before") + running).select("doc_id", "tokens", (F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
-    chosen = sure.union(border).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("bigint").alias("__copies"), F.max("tokens").alias("__tokens"))
-    out = docs.withColumn("__domain", domain).join(chosen, F.col("doc_id") == F.col("__id")).drop("__id")
-    names = {"domain": "__domain", "n_tokens": "__tokens", "copies": "__copies"}
-    return out.select(*[c for c in docs.columns if c not in names], *[F.col(v).alias(k) for k, v in names.items()])
+    ours = {k: unused(docs, k + "_new") for k in ("id", "domain", "n_tokens", "copies")}
+    chosen = sure.union(border).where("copies > 0").groupBy(F.col("doc_id").alias(ours["id"])).agg(F.max("copies").cast("bigint").alias(ours["copies"]), F.max("tokens").alias(ours["n_tokens"]))
+    out = docs.withColumn(ours["domain"], domain).join(chosen, F.col("doc_id") == F.col(ours["id"]))
+    added = ("domain", "n_tokens", "copies")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[F.col(ours[c]).alias(c) for c in added])
