@@ -19,7 +19,7 @@ from larkspur.llm.common import fold
 
 FEATURES = 1 << 13
 #: Documents the regression sees, and characters of them in all (both on average; chosen by a hash of doc_id).
-MAX_FIT_ROWS, MAX_FIT_CHARS = 4000, 12_000_000
+MAX_FIT_ROWS, MAX_FIT_CHARS = 2500, 5_000_000
 SLICE = 1 << 19
 
 
@@ -80,8 +80,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001) -> tuple[np.ndarray, float]:
-    """FTRL-proximal weights (features + 1 for the bias, classes) and the temperature."""
+def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001) -> tuple[np.ndarray, float]:
+    """FTRL-proximal weights (features + 1 for the bias, classes) and the temperature. x: (columns, values) of each document."""
     held = np.arange(len(x)) % 5 == 4
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
     order = np.flatnonzero(~held) if (~held).any() else np.arange(len(x))
@@ -93,8 +93,7 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 3, alpha: fl
 
     for _ in range(epochs):
         for i in rng.permutation(order):
-            rows = np.append(np.flatnonzero(x[i]), FEATURES)
-            v = np.append(x[i][rows[:-1]], 1.0)
+            rows, v = np.append(x[i][0], FEATURES), np.append(x[i][1], 1.0)
             w = weights(rows)
             error = _softmax(v @ w)
             error[y[i]] -= 1
@@ -104,7 +103,7 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 3, alpha: fl
             n[rows] += g * g
     w = weights(np.arange(FEATURES + 1))
     test = held if held.any() else ~held
-    logits = x[test] @ w[:-1] + w[-1]
+    logits = np.array([v @ w[rows] + w[-1] for (rows, v), use in zip(x, test, strict=True) if use])
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 120))
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(logits)), y[test]], 1e-12)).mean() for t in grid]
     return w.astype(np.float32), float(grid[int(np.argmin(loss))])
@@ -125,7 +124,9 @@ def fit(docs: DataFrame, eligible: F.Column, max_fit_rows: int = MAX_FIT_ROWS, m
     idf = np.ones(FEATURES, np.float32) * (np.log(1 + total) + 1)
     at = np.fromiter(frequency.keys(), int, len(frequency))
     idf[at] = np.log((1 + total) / (1 + np.fromiter(frequency.values(), float, len(frequency)))) + 1
-    x = np.concatenate([_weighted(c, idf) for _, c in features(sample.text.tolist())])
+    x = []
+    for _, counts in features(sample.text.tolist()):
+        x += [(np.flatnonzero(row), row[row != 0]) for row in _weighted(counts, idf)]
     langs = sorted(set(sample.lang))
     y = np.array([langs.index(v) for v in sample.lang])
     w, temperature = train(x, y, len(langs))

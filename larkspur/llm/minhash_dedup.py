@@ -37,7 +37,7 @@ LEAF = 32
 SAMPLES = 4
 #: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
 #: branch well; they, and all large nodes at the last depth, are compared in pairs of blocks, on the full sets.
-DENSE, MAX_DEPTH, BLOCK = 36, 4, 128
+DENSE, MAX_DEPTH, BLOCK = 36, 3, 128
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, mh array<int>"
 

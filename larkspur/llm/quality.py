@@ -22,7 +22,7 @@ from larkspur.llm import textnp as tx
 from larkspur.llm.common import fold
 
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 48, 6, 2
-MAX_FIT_ROWS, MAX_FIT_CHARS = 5000, 12_000_000
+MAX_FIT_ROWS, MAX_FIT_CHARS = 5000, 10_000_000
 HIDDEN = 24
 THRESHOLD = 0.3
 
@@ -152,7 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: F.Column, max_fit_rows: in
     if not len(rows):
         return None
     offs, data = tx.text_buffers(pa.array(rows.text.tolist(), pa.string()))
-    buckets, first = tokens(data, offs)
+    parts, first = [], np.zeros(len(rows) + 1, np.int64)
+    for at, to in tx.row_slices(offs):
+        own, begin = tokens(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
+        parts.append(own.astype(np.int32))
+        first[at + 1 : to + 1] = first[at] + begin[1:]
+    buckets = np.concatenate(parts)
     vectors = word_vectors(buckets, first)
     return train(pooled(buckets, first, vectors), rows.quality.to_numpy()) | {"vectors": vectors}
 
