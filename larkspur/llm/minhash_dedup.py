@@ -37,7 +37,7 @@ LEAF = 32
 SAMPLES = 4
 #: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
 #: branch well; they, and all large nodes at the last depth, are compared in pairs of blocks, on the full sets.
-DENSE, MAX_DEPTH, BLOCK = 36, 3, 128
+DENSE, MAX_DEPTH, BLOCK = 36, 3, 512
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, mh array<int>"
 
@@ -211,7 +211,8 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, width: int, percent: in
     minor = placed.where("grp <> top").groupBy("node").agg(F.collect_set("block").alias("xs"))
     x = placed.where("grp <> top").select("node", F.col("block").alias("x"), every.alias("y"), F.lit(0).alias("side"), "doc_id", "grp")
     y = placed.join(minor, "node").select("node", F.explode("xs").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "doc_id", "grp")
-    met = x.union(y).join(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    ids = written(rows.select("doc_id").distinct())
+    met = x.union(y).join(texts.join(small(ids, ids.count()), "doc_id", "left_semi"), "doc_id")
     met = met.select("node", "x", "y", "side", "doc_id", "grp", "text").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
     return written(met.mapInArrow(_block_linker(width, percent), "a bigint, b bigint"))
 
