@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import performance, relational, series
+from larkspur.plans import performance, relational, series, valuation
 
-ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES}
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES}
 FLAGSHIP = relational.snapshot
 
 
