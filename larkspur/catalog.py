@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import performance, relational, series, valuation
+from larkspur.plans import performance, relational, series, signals, valuation
 
-ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES}
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES}
 FLAGSHIP = relational.snapshot
 
 
