@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from larkspur.operators.indicators import RUN, full, lagged
 from larkspur.plans.performance import BM25, _terms, bm25, trades
 from larkspur.plans.valuation import _MOMENTS, normal_cdf, staged, staged_sql
-from larkspur.sources.roles import BARS_SQL, WIDE_SQL, bars, table, wide_features
+from larkspur.sources.roles import BARS_SQL, WIDE_SQL, bars, micros, table, wide_features
+from larkspur.streaming.limits import sliding_limit
 
 # Coefficients of a rational approximation of the normal quantile, for the middle and for the tails.
 MIDDLE_TOP = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -252,7 +253,16 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(3)])
 
 
+LIMIT, WIDTH = 2, 6 * 3_600_000_000
+
+
+def sliding_log_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event against a limit of two let through in six hours per user; refused ones don't count."""
+    e = table(spark, sf_dir, "events").select("user_id", micros("ts").alias("at"), "event_id")
+    return sliding_limit(e, "user_id", "at", "event_id", LIMIT, WIDTH)
+
+
 QUERIES = {
     "signal_scan": (signal_scan, SIGNALS), "barrier_exits": (barrier_exits, EXITS), "unit_root": (unit_root, UNIT_ROOT), "rank_dependence": (rank_dependence, DEPENDENCE), "rank_fusion": (rank_fusion, FUSION),
-    "slot_volume": (slot_volume, SLOT), "deflated_sharpe": (deflated_sharpe, DEFLATED), "purged_split": (purged_split, PURGED), "boosted_trees": (boosted_trees, None), "cluster_vectors": (cluster_vectors, None), "principal_components": (principal_components, None),
+    "slot_volume": (slot_volume, SLOT), "deflated_sharpe": (deflated_sharpe, DEFLATED), "purged_split": (purged_split, PURGED), "boosted_trees": (boosted_trees, None), "cluster_vectors": (cluster_vectors, None), "principal_components": (principal_components, None), "sliding_log_limit": (sliding_log_limit, None),
 }

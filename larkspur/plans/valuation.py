@@ -54,6 +54,26 @@ def option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPTIONS = f"SELECT p_partkey, {_OUT} FROM ({staged_sql('SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_retailprice > 0 AND p_size > 0', OPTION_STEPS)})"
 
+#: A stochastic-volatility smile (elasticity 0.5) whose level, slope and curvature come from the part's key.
+SMILE_STEPS = [
+    {"s": "CAST(p_retailprice AS DOUBLE)", "tau": "CAST(p_size AS DOUBLE) / 50", "rho": "CAST(p_partkey % 13 AS DOUBLE) / 20 - 0.4", "nu": "0.2 + CAST(p_partkey % 7 AS DOUBLE) / 10"},
+    {"strike": "s * (0.8 + CAST(p_size % 9 AS DOUBLE) / 20)", "alpha": "0.2 * sqrt(s)"},
+    {"m": "ln(s / strike)", "fk": "sqrt(sqrt(s * strike))"},
+    {"z": "nu / alpha * fk * m", "den": "fk * (1 + m * m / 96 + m * m * m * m / 30720)"},
+    {"x": "ln((sqrt(1 - 2 * rho * z + z * z) + z - rho) / (1 - rho))", "later": "1 + (alpha * alpha / (96 * fk * fk) + rho * nu * alpha / (8 * fk) + (2 - 3 * rho * rho) / 24 * nu * nu) * tau"},
+    {"vol": "alpha / den * CASE WHEN abs(z) > 1e-7 THEN z / x ELSE 1.0 END * later", "level": "alpha / sqrt(s) * (1 + (alpha * alpha / (96 * s) + rho * nu * alpha / (8 * sqrt(s)) + (2 - 3 * rho * rho) / 24 * nu * nu) * tau)"},
+]
+_SMILE_OUT = {"p_partkey": "p_partkey", "moneyness": "round(m, 6)", "implied": "round(vol, 6)", "at_the_money": "round(level, 6)", "skew": "round(vol - level, 6)"}
+
+
+def smile_vols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Implied volatility at each part's strike by the expansion of a stochastic-volatility model; one projection."""
+    priced = staged(table(spark, sf_dir, "part").where("p_retailprice > 0 AND p_size > 0").select("p_partkey", "p_size", "p_retailprice"), SMILE_STEPS)
+    return priced.selectExpr(*[f"{v} AS {k}" for k, v in _SMILE_OUT.items()])
+
+
+SMILE = f"SELECT {', '.join(f'{v} AS {k}' for k, v in _SMILE_OUT.items())} FROM ({staged_sql('SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_retailprice > 0 AND p_size > 0', SMILE_STEPS)})"
+
 BUCKET, CLOCK_BUCKETS = 500, 50
 
 
@@ -160,6 +180,6 @@ s AS (SELECT item_id, len(list_intersect(asked, given)) / len(asked) AS share FR
 SELECT item_id, round(max(share), 6) AS coverage, count(*) FILTER (share >= 0.6) AS sources, count(*) FILTER (share >= 0.6) > 0 AS supported FROM s GROUP BY item_id"""
 
 QUERIES = {
-    "option_values": (option_values, OPTIONS), "volume_clock": (volume_clock, CLOCK), "rolling_reversion": (rolling_reversion, REVERSION), "probabilistic_sharpe": (probabilistic_sharpe, SHARPE),
+    "option_values": (option_values, OPTIONS), "smile_vols": (smile_vols, SMILE), "volume_clock": (volume_clock, CLOCK), "rolling_reversion": (rolling_reversion, REVERSION), "probabilistic_sharpe": (probabilistic_sharpe, SHARPE),
     "risk_checks": (risk_checks, RISK), "ledger_replay": (ledger_replay, REPLAY), "claim_coverage": (claim_coverage, COVERAGE),
 }

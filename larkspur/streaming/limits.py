@@ -1,4 +1,5 @@
-"""Structured Streaming operators: tumbling counts, exact duplicates within a watermark, and a sequence barrier."""
+"""Stateful operators: tumbling counts, exact duplicates within a watermark, a sequence barrier, and a sliding-log rate limit
+(as a stream and in batch)."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,3 +42,44 @@ def sequence_barrier(stream: DataFrame, key: str, seq: str, payload: str) -> Dat
 
     kinds = dict(stream.dtypes)
     return stream.groupBy(key).applyInPandasWithState(release, f"{key} {kinds[key]}, {seq} bigint, {payload} string", "following bigint, waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
+def admit(times: list[int], limit: int, width: int, log: list[int]) -> list[bool]:
+    """Whether each hit is let through: fewer than limit hits let through in (time - width, time]. log, the times let
+    through before, is updated; refused hits don't count."""
+    out = []
+    for t in times:
+        while log and log[0] <= t - width:
+            log.pop(0)
+        out.append(len(log) < limit)
+        if out[-1]:
+            log.append(t)
+    return out
+
+
+def sliding_limit_stream(stream: DataFrame, key: str, at: str, limit: int, width: int) -> DataFrame:
+    """Hits (key, at in microseconds) with allowed. State per key: at most limit times. Hits of one micro-batch are taken in time order."""
+
+    def decide(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        log = json.loads(state.get[0]) if state.exists else []
+        times = sorted(int(t) for batch in batches for t in batch[at])
+        allowed = admit(times, limit, width, log)
+        state.update((json.dumps(log),))
+        yield pd.DataFrame({key: [keys[0]] * len(times), at: times, "allowed": allowed})
+
+    kind = dict(stream.dtypes)[key]
+    return stream.groupBy(key).applyInPandasWithState(decide, f"{key} {kind}, {at} bigint, allowed boolean", "log string", "append", GroupStateTimeout.NoTimeout)
+
+
+def sliding_limit(hits: DataFrame, key: str, at: str, tie: str, limit: int, width: int) -> DataFrame:
+    """The same in batch: hits (key, at, tie) with allowed. A pause of width empties the log, so each run of hits without
+    one is a group of its own, and a busy key is dealt to many tasks."""
+    w = Window.partitionBy(key).orderBy(at, tie)
+    runs = hits.select(key, at, tie).withColumn("pause", F.when(F.col(at) - F.lag(at).over(w) >= width, 1).otherwise(0)).withColumn("run", F.sum("pause").over(w))
+
+    def decide(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([at, tie], ignore_index=True)
+        return p[[key, at, tie]].assign(allowed=admit(p[at].tolist(), limit, width, []))
+
+    kinds = dict(hits.dtypes)
+    return runs.groupBy(key, "run").applyInPandas(decide, f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, allowed boolean")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.plans import signals
 from larkspur.sources.roles import bars
+from larkspur.streaming.limits import sliding_limit_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,23 @@ def test_boosted_trees_are_calibrated(spark):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     r = signals.boosted_trees(spark, SF).agg(F.count("*").alias("n"), F.avg("score").alias("p"), F.avg("returned").alias("y"), F.count_if("held_out").alias("held")).first()
     assert r.n == n and 0 < r.held < n and abs(r.p - r.y) < 0.05
+
+
+def test_sliding_limit_equals_brute_force(spark, tmp_path):
+    got = signals.sliding_log_limit(spark, SF).collect()
+    by_user: dict = {}
+    for r in sorted(got, key=lambda r: (r.user_id, r["at"], r.event_id)):
+        passed = by_user.setdefault(r.user_id, [])
+        allowed = sum(t > r["at"] - signals.WIDTH for t in passed) < signals.LIMIT
+        assert r.allowed == allowed
+        if allowed:
+            passed.append(r["at"])
+    assert len(got) == spark.read.parquet(f"{SF}/events.parquet").count() and {r.allowed for r in got} == {True, False}
+    # The stream decides alike.
+    rows = spark.createDataFrame([(r.user_id, r["at"]) for r in got], "user_id bigint, at bigint")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = sliding_limit_stream(stream, "user_id", "at", signals.LIMIT, signals.WIDTH).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    key = lambda r: (r.user_id, r["at"], r.allowed)
+    assert sorted(map(key, spark.sql("SELECT * FROM limited").collect())) == sorted(map(key, got))
