@@ -3,7 +3,9 @@
 Character 1- to 3-grams of the lower-cased text, hashed to FEATURES columns, weighted by 1 + log(count) and inverse
 document frequency, scaled to unit length. Document frequencies cover every document that may be learned from;
 the weights are trained on the driver by follow-the-regularised-leader with elastic-net penalties on a sample of
-at most about max_fit_rows of them, and a temperature is fitted on a fifth of the sample held back.
+at most about max_fit_rows of them, and a temperature is fitted on a fifth of the sample held back. The sample is
+drawn language by language, so that every language is learned whatever its share of the corpus; the fifth is held
+back of each language, and counts there by the documents that a sampled one stands for.
 
 Defined results: null or letterless text gives `und` with score 0; without any document to learn from, every
 text gives `und` with score 0. Extra columns are not read."""
@@ -11,6 +13,7 @@ text gives `und` with score 0. Extra columns are not read."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from larkspur.llm.common import fold
 FEATURES = 1 << 13
 #: Documents the regression sees, and characters of them in all (both on average; chosen by a hash of doc_id).
 MAX_FIT_ROWS, MAX_FIT_CHARS = 2500, 5_000_000
+#: Documents of a language that are seen whatever the bounds (all where it has fewer; on average).
+LEAST_ROWS = 20
 SLICE = 1 << 19
 
 
@@ -80,9 +85,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001) -> tuple[np.ndarray, float]:
-    """FTRL-proximal weights (features + 1 for the bias, classes) and the temperature. x: (columns, values) of each document."""
-    held = np.arange(len(x)) % 5 == 4
+def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """FTRL-proximal weights (features + 1 for the bias, classes) and the temperature. x: (columns, values) of each document;
+    stands_for: by class, the documents that a held-back one counts for."""
+    held = np.zeros(len(x), bool)
+    for c in range(classes):
+        held[np.flatnonzero(y == c)[4::5]] = True
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
     order = np.flatnonzero(~held) if (~held).any() else np.arange(len(x))
     rng = np.random.default_rng(11)
@@ -105,10 +113,25 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, e
     test = held if held.any() else ~held
     logits = np.array([v @ w[rows] + w[-1] for (rows, v), use in zip(x, test, strict=True) if use])
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 120))
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(logits)), y[test]], 1e-12)).mean() for t in grid]
+    counts_for = np.ones(len(logits)) if stands_for is None else stands_for[y[test]]
+    loss = [np.average(-np.log(np.maximum(_softmax(logits / t)[np.arange(len(logits)), y[test]], 1e-12)), weights=counts_for) for t in grid]
     return w.astype(np.float32), float(grid[int(np.argmin(loss))])
 
 
+def _quotas(have: np.ndarray, bound: float) -> np.ndarray:
+    """The bound dealt out, half by size and half evenly; what one language cannot use goes to the others."""
+    out, left = np.zeros(len(have)), np.ones(len(have), bool)
+    wish = have / have.sum() + 1 / len(have)
+    while left.any():
+        out[left] = (bound - have[~left].sum()) * wish[left] / wish[left].sum()
+        full = left & (out >= have)
+        out[full] = have[full]
+        if not full.any():
+            break
+        left &= ~full
+    return out
+
+
 def fit(docs: DataFrame, eligible: F.Column, max_fit_rows: int = MAX_FIT_ROWS, max_fit_chars: int = MAX_FIT_CHARS) -> dict | None:
     """A model from the rows of docs (doc_id, text, lang) where eligible holds and lang is not null."""
     rows = docs.where(eligible & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -116,20 +139,27 @@ def fit(docs: DataFrame, eligible: F.Column, max_fit_rows: int = MAX_FIT_ROWS, m
     total = frequency.pop(-1, 0)
     if not total:
         return None
-    chars = rows.agg(F.sum(F.length("text"))).first()[0]
-    share = min(1.0, max_fit_rows / total, max_fit_chars / chars)
-    sample = rows.where((F.xxhash64(F.lit("fit"), "doc_id") / float(1 << 63) + 1) / 2 < share).toPandas().sort_values("doc_id")
-    if not len(sample):
-        sample = rows.orderBy("doc_id").limit(1).toPandas()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy("lang").collect()
+    langs = [r.lang for r in sizes]
+    n, chars = np.array([r.n for r in sizes], float), np.array([r.chars for r in sizes], float)
+    share = np.minimum(1.0, np.maximum(np.minimum(_quotas(n, max_fit_rows) / n, _quotas(chars, max_fit_chars) / chars), LEAST_ROWS / n))
+    drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(list(zip(langs, share.tolist(), strict=True)), "lang string, share double")), "lang")
+    sample = drawn.where((F.col("share") >= 1) | ((F.xxhash64(F.lit("fit"), "doc_id") / float(1 << 63) + 1) / 2 < F.col("share"))).select("doc_id", "text", "lang").toPandas()
+    missed = sorted(set(langs) - set(sample.lang))
+    if missed:
+        # Repeats of one doc_id are drawn together or not at all.
+        first = rows.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+        sample = pd.concat([sample, first.select("r.doc_id", "r.text", "lang").toPandas()])
+    sample = sample.sort_values("doc_id")
     idf = np.ones(FEATURES, np.float32) * (np.log(1 + total) + 1)
     at = np.fromiter(frequency.keys(), int, len(frequency))
     idf[at] = np.log((1 + total) / (1 + np.fromiter(frequency.values(), float, len(frequency)))) + 1
     x = []
     for _, counts in features(sample.text.tolist()):
         x += [(np.flatnonzero(row), row[row != 0]) for row in _weighted(counts, idf)]
-    langs = sorted(set(sample.lang))
-    y = np.array([langs.index(v) for v in sample.lang])
-    w, temperature = train(x, y, len(langs))
+    number = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([number[v] for v in sample.lang])
+    w, temperature = train(x, y, len(langs), stands_for=n / np.bincount(y, minlength=len(langs)))
     return {"idf": idf, "weights": w, "temperature": temperature, "langs": langs}
 
 

@@ -157,6 +157,23 @@ def test_language_held_out_accuracy(spark):
     assert out.score.between(0, 1).all()
 
 
+def test_rare_language_is_learned(spark):
+    """A language with few of many documents is drawn and held back by itself, whatever the bound."""
+    rng = random.Random(8)
+    kinds = {"aa": "abcdef", "bb": "ghijkl", "rr": "mnopqr"}
+    lang = ["rr" if i % 100 == 7 else "aa" if i % 2 else "bb" for i in range(3000)]
+    rows = [(i, " ".join("".join(rng.choices(kinds[v], k=5)) for _ in range(12)), v) for i, v in enumerate(lang)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), max_fit_rows=40)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert model["langs"] == ["aa", "bb", "rr"]
+    assert [got[i] for i, v in enumerate(lang) if v == "rr"] == ["rr"] * 30
+    # Few rows at the places of the held-back fifth are trained on all the same.
+    x = [(np.array([v]), np.ones(1)) for v in (0, 0, 0, 0, 1, 0, 0, 0, 0, 1)]
+    w, _ = language_id.train(x, np.array([0, 0, 0, 0, 1, 0, 0, 0, 0, 1]), 2)
+    assert w[1, 1] > 0
+
+
 def test_language_without_letters(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(d, fold("doc_id", 4) != 2)
