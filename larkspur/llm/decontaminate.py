@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnp as tx
+from larkspur.llm.common import written
 
 WIDTH = 13
 #: Benchmarks are searched in blocks of about so many characters, each held by the search tasks.
@@ -138,17 +139,50 @@ def _scan(shared):
 
 
 def _union_of_blocks(batches):
-    """Rows (row columns, edges of each block, items of each block) to covered words."""
+    """Rows (row, edges of each block, other columns) to covered words."""
     for batch in batches:
         hit = []
-        for blocks in batch.column(2).to_pylist():
+        for blocks in batch.column(1).to_pylist():
             pairs = sorted((e[i], e[i + 1]) for e in blocks or () for i in range(0, len(e), 2))
             total, reach = 0, 0
             for a, b in pairs:
                 total += max(0, b - max(a, reach))
                 reach = max(reach, b)
             hit.append(total)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), batch.column(3)], names=["doc_id", "n_words", "n_hit", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(hit, pa.int64()), batch.column(4)], names=["doc_id", "n_words", "n_hit", "items"])
+
+
+def _pieces(width: int, chars: int):
+    """Items (item_id, text) to runs of whole words of about so many characters; a run shares width - 1 words with the
+    next, so each window is in one of them."""
+
+    def pieces(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                if len(raw) <= chars:
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([text], pa.string())], names=["item_id", "text"])
+                    continue
+                w = tx.split(raw, np.array([0, len(raw)]), tx.NOT_ALNUM, lower=False)
+                at, last = 0, len(w.start)
+                while at < last:
+                    to = min(last, max(at + width, int(np.searchsorted(w.end, w.start[at] + chars, "right"))))
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([raw[w.start[at] : w.end[to - 1]].tobytes().decode()], pa.string())], names=["item_id", "text"])
+                    at = last if to == last else to - width + 1
+
+    return pieces
+
+
+def _blocks(rows, chars: int):
+    """Rows (item_id, text) to lists of at most so many characters; a longer text stands alone."""
+    out, size = [], 0
+    for r in rows:
+        if out and size + len(r.text) > chars:
+            yield out
+            out, size = [], 0
+        out.append((r.item_id, r.text))
+        size += len(r.text)
+    yield out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5) -> DataFrame:
@@ -156,25 +190,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, per
     benchmark (item_id, text)), items (item_ids with occurring windows, sorted as strings) and contaminated
     (n_hit > 0 and 100 * n_hit >= percent * n_words).
 
-    The benchmark is read in blocks of a bounded number of characters; each block is sent to the tasks and meets
-    all documents. With one block, the usual case, nothing is shuffled. With more, the rows of a document are
-    brought together again by its key, one per block; doc_ids must then be unique."""
+    The benchmark is read in blocks of a bounded number of characters, long items in several pieces; each block is
+    sent to the tasks and meets all documents. With one block, the usual case, nothing is shuffled. With more, the rows
+    of docs are numbered and written once, the hits of each block are written, and brought together by that number."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
+    kind = "doc_id bigint, n_words bigint, n_hit bigint, edges array<bigint>, items array<string>"
+    if chars <= BLOCK_CHARS:
+        shared = spark.sparkContext.broadcast(windows_of([(r.item_id, r.text) for r in asked.toLocalIterator()], width))
+        hit = texts.mapInArrow(_scan(shared), kind).select("doc_id", "n_words", "n_hit", "items")
+    else:
+        hit = _in_blocks(texts, asked, chars, width, kind)
+    return hit.select("*", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+
+
+def _in_blocks(texts: DataFrame, asked: DataFrame, chars: int, width: int, kind: str) -> DataFrame:
+    """The same for a benchmark of several blocks."""
+    spark = texts.sparkSession
+    row = F.monotonically_increasing_id()
+    numbered = written(texts.select(row.alias("row"), "text", "doc_id"))
+    # So many parts that the driver holds about a quarter of a block at a time.
+    parts = asked.mapInArrow(_pieces(width, max(1, BLOCK_CHARS // 4)), "item_id string, text string").repartition(-(-4 * chars // BLOCK_CHARS))
     found = None
-    for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(windows_of(rows, width))
-        part = texts.mapInArrow(_scan(shared), "doc_id bigint, n_words bigint, n_hit bigint, edges array<bigint>, items array<string>")
+    for b, block in enumerate(_blocks(parts.toLocalIterator(), BLOCK_CHARS)):
+        shared = spark.sparkContext.broadcast(windows_of(block, width))
+        # The scan hands its first column through: here the number of the row.
+        part = numbered.select("row", "text").mapInArrow(_scan(shared), kind.replace("doc_id", "row", 1))
+        # Every row comes from the first block, from the others those with hits.
+        part = written(part.select("row", "n_words", "edges", "items").where(F.lit(not b) | (F.col("n_hit") > 0)))
+        shared.destroy()
         found = part if found is None else found.union(part)
-    hit = found.select("doc_id", "n_words", "n_hit", "items")
-    if blocks > 1:
-        merged = found.groupBy("doc_id", "n_words").agg(F.collect_list("edges").alias("edges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        hit = merged.mapInArrow(_union_of_blocks, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
-    return hit.select("*", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+    merged = found.groupBy("row").agg(F.first("n_words").alias("n_words"), F.collect_list("edges").alias("edges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    named = merged.join(numbered.select("row", "doc_id"), "row").select("row", "edges", "doc_id", "n_words", "items")
+    return named.mapInArrow(_union_of_blocks, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
 
 
 def items_digest(items: str = "items") -> F.Column:

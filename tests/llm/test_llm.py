@@ -135,6 +135,29 @@ def test_decontamination_equals_brute_force(spark, texts, monkeypatch):
             assert got[i] == (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)), i
 
 
+@pytest.mark.parametrize("chars", [8_000_000, 150])
+def test_decontamination_keeps_rows(spark, monkeypatch, chars):
+    """Repeated and null doc_ids at any benchmark size, one item longer than a block."""
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+    rng = random.Random(4)
+    long = words(rng, 120, 10**6)
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(words(rng, 20, 10**6)))], "item_id bigint, text string")
+    clean = [" ".join(words(rng, 30)) for _ in range(2)]
+    # A passage of the long item at each place, so that some lie across the cuts.
+    hits = [" ".join(long[k : k + 13]) for k in range(108)]
+    rows = [(None, clean[0]), (None, clean[0]), (None, " ".join(long[50:80])), (5, clean[0]), (5, clean[0]), (5, " ".join(long[:30])), *((6, t) for t in hits)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.contamination(docs, bench).collect()]
+    no, yes = (30, 0, (), False), (30, 30, ("1",), True)
+    want = [(None, *no)] * 2 + [(None, *yes)] + [(5, *no)] * 2 + [(5, *yes)] + [(6, 13, 13, ("1",), True)] * 108
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_blocks_of_the_benchmark_are_bounded():
+    rows = [type("Row", (), {"item_id": str(i), "text": "x" * n})() for i, n in enumerate([40, 70, 20, 90, 5])]
+    assert [[len(t) for _, t in b] for b in decontaminate._blocks(rows, 100)] == [[40], [70, 20], [90, 5]]
+
+
 def test_embedding_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     rng = np.random.default_rng(2)
