@@ -4,10 +4,13 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -72,15 +75,21 @@ def sliding_limit_stream(stream: DataFrame, key: str, at: str, limit: int, width
 
 
 def sliding_limit(hits: DataFrame, key: str, at: str, tie: str, limit: int, width: int) -> DataFrame:
-    """The same in batch: hits (key, at, tie) with allowed. A pause of width empties the log, so each run of hits without
-    one is a group of its own, and a busy key is dealt to many tasks."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    runs = hits.select(key, at, tie).withColumn("pause", F.when(F.col(at) - F.lag(at).over(w) >= width, 1).otherwise(0)).withColumn("run", F.sum("pause").over(w))
+    """The same in batch: hits (key, at, tie) with allowed. Each key's hits come sorted in Arrow batches; only its log, at
+    most limit times, is carried from one to the next, so no key is held in memory. Hits without a time come last."""
 
-    def decide(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([at, tie], ignore_index=True)
-        return p[[key, at, tie]].assign(allowed=admit(p[at].tolist(), limit, width, []))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, log = None, []
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            times = [math.nan if t is None else t for t in batch.column(1).to_pylist()]
+            allowed = []
+            for k, run in groupby(range(len(keys)), keys.__getitem__):
+                if k != last:
+                    last, log = k, []
+                allowed += admit([times[i] for i in run], limit, width, log)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=[key, at, tie, "allowed"])
 
     kinds = dict(hits.dtypes)
-    # Several whole runs a group: a group of few rows costs more than its rows.
-    return runs.withColumn("run", F.floor(F.col("run") / 64)).groupBy(key, "run").applyInPandas(decide, f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, allowed boolean")
+    dealt = hits.select(key, at, tie).repartition(key).sortWithinPartitions(key, F.asc_nulls_last(at), tie)
+    return dealt.mapInArrow(decide, f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, allowed boolean")

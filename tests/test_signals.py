@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.plans import signals
 from larkspur.sources.roles import bars
-from larkspur.streaming.limits import sliding_limit_stream
+from larkspur.streaming.limits import admit, sliding_limit, sliding_limit_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,21 @@ def test_sliding_limit_equals_brute_force(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda r: (r.user_id, r["at"], r.allowed)
     assert sorted(map(key, spark.sql("SELECT * FROM limited").collect())) == sorted(map(key, got))
+
+
+def test_sliding_limit_of_a_busy_key_is_not_held(spark):
+    """Keys without a pause, cut over many Arrow batches; no group goes to one frame."""
+    rows = [(k, t * 7 % 1000 + t // 50, t) for k, n in ((1, 900), (2, 3), (None, 40)) for t in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = sliding_limit(spark.createDataFrame(rows, "who bigint, at bigint, id bigint"), "who", "at", "id", 5, 60)
+        got = {(r.who, r.id): r.allowed for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for who in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == who), key=lambda r: r[1:])
+        want |= {(who, r[2]): ok for r, ok in zip(own, admit([r[1] for r in own], 5, 60, []), strict=True)}
+    assert got == want and set(got.values()) == {True, False}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
