@@ -7,9 +7,9 @@ the smallest document that holds it.
 
 Before anything is packed, a light pass over (minimiser, document) finds the minimisers of at least two
 documents; windows under any other minimiser cannot repeat. Equal packed strings are merged before the shuffle,
-with the smallest document. A minimiser with very many super-k-mers (a passage in a third of all documents) is
-divided by a second minimiser of another hash order, so no bucket is hot: what still meets has equal words, and
-has been merged.
+with the smallest document. Under a minimiser with very many super-k-mers (a passage in a third of all documents,
+or a line with different words around it) each window travels by itself as a digest of its own words: only equal
+windows meet, and they are merged with the smallest document before the shuffle, so no bucket is hot.
 
 Defined results: null or short text has no windows and loses nothing; null doc_id rows keep all words and
 remove none elsewhere; rows with one doc_id are one document, so they do not remove each other's words.
@@ -18,6 +18,7 @@ Extra columns are not read."""
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,10 @@ from larkspur.llm import textnp as tx
 from larkspur.llm.common import written
 
 WINDOW, MINIMIZER = 50, 20
-#: A minimiser with more super-k-mers than this is divided by a second one.
+#: Under a minimiser with more super-k-mers than this, windows travel one by one.
 HOT = 500
 #: A super-k-mer is cut after so many windows (texts of one repeated word).
 LONGEST = 2048
-SECOND_ORDER = np.uint64(0x632BE59BD9B4E019)
 
 
 def _cuts(*keys: np.ndarray) -> np.ndarray:
@@ -77,59 +77,69 @@ def _light(window: int, minimizer: int):
 
 
 def _pack(window: int, minimizer: int):
-    """(doc_id, text, cold, hot): the super-k-mers of the document under its shared minimisers."""
+    """(doc_id, text, cold, hot): the super-k-mers of the document under its shared minimisers; under hot ones the digests
+    of their windows. Equal windows that overlap or touch are one row: all words between them go or stay together."""
 
     def pack(batches):
         for batch in batches:
             offs, data = tx.text_buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             cold, hot = batch.column(2), batch.column(3)
-            out, size = [[], [], [], []], 0
+            out, size = [[] for _ in range(7)], 0
             for i in range(batch.num_rows):
                 words = tx.split(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]), tx.SPACE, lower=False)
                 hashes = words.hashes()
                 if len(hashes) < window:
                     continue
                 least = _minimisers(hashes, window, minimizer)
-                dense = np.array(hot[i].as_py() or [], np.int64).view(np.uint64)
-                wanted = np.concatenate([np.array(cold[i].as_py() or [], np.int64).view(np.uint64), dense])
-                shared = np.isin(least, wanted)
-                second = np.zeros(len(least), np.uint64)
-                if len(dense):
-                    other = tx.run_minimum(tx.mix(tx.run_hashes(hashes, minimizer) ^ SECOND_ORDER), window - minimizer + 1)
-                    second = np.where(np.isin(least, dense), other, second)
-                cuts = _cuts(least, second, shared)
+                dense = np.isin(least, np.array(hot[i].as_py() or [], np.int64).view(np.uint64))
+                shared = dense | np.isin(least, np.array(cold[i].as_py() or [], np.int64).view(np.uint64))
+                cuts = _cuts(least, shared)
                 # The words with one space between them, and where each begins and ends there.
                 raw = b" ".join(words.data.tobytes().split()).decode()
+                seen: dict[bytes, int] = {}
                 own = np.cumsum(_code_points(words) + 1)
                 begin, end = np.append(0, own[:-1]), own - 1
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    if shared[a]:
+                    if dense[a]:
+                        for k, low, high in zip(range(a, b), begin[a:b].tolist(), end[a + window - 1 : b + window - 1].tolist(), strict=True):
+                            digest = hashlib.blake2b(raw[low:high].encode(), digest_size=16).digest()
+                            row = seen.get(digest)
+                            if row is not None and k - (out[5][row] + out[6][row] - 1) <= window:
+                                out[6][row] = k - out[5][row] + 1
+                                continue
+                            seen[digest] = len(out[0])
+                            for column, x in zip(out, (None, None, *struct.unpack("<qq", digest), ids[i], k, 1), strict=True):
+                                column.append(x)
+                            size += 64
+                    elif shared[a]:
                         packed = raw[begin[a] : end[b + window - 2]]
-                        out[0].append(least[a] ^ tx.mix(second[a : a + 1] + np.uint64(1))[0])
-                        out[1].append(packed)
-                        out[2].append(ids[i])
-                        out[3].append(a)
+                        for column, x in zip(out, (int(least[a].view(np.int64)), packed, None, None, ids[i], a, b - a), strict=True):
+                            column.append(x)
                         size += len(packed)
-                if size > 8 << 20:
-                    yield _packed(out)
-                    out, size = [[], [], [], []], 0
+                    if size > 8 << 20:
+                        yield _packed(out)
+                        out, size, seen = [[] for _ in range(7)], 0, {}
             if out[0]:
                 yield _packed(out)
 
     return pack
 
 
+PACKED = "key bigint, packed string, d1 bigint, d2 bigint, doc_id bigint, at bigint, n bigint"
+
+
+def _packed(out: list) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "packed", "d1", "d2", "doc_id", "at", "n"])
+
+
 def _code_points(words: tx.Words) -> np.ndarray:
     """The length of each word in code points."""
     heads = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
     return heads[words.end] - heads[words.start]
 
 
-def _packed(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.string()), pa.array(np.array(out[2], np.int64)), pa.array(np.array(out[3], np.int64))], names=["key", "packed", "doc_id", "at"])
-
-
 def _first_documents(window: int):
     """Rows (key, packed, first_doc) in order of key: for each packed string, its runs of windows and their first document."""
 
@@ -189,7 +199,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMI
     light = known.mapInArrow(_light(window, minimizer), "m bigint, doc_id bigint")
     shared = light.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("m", (F.col("c") > HOT).alias("hot"))
     asked = light.join(shared, "m").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("dense"))
-    packed = written(known.join(asked, "doc_id").select("doc_id", "text", "cold", "dense").mapInArrow(_pack(window, minimizer), "key bigint, packed string, doc_id bigint, at bigint"))
+    every = written(known.join(asked, "doc_id").select("doc_id", "text", "cold", "dense").mapInArrow(_pack(window, minimizer), PACKED))
+    packed = every.where("packed is not null").select("key", "packed", "doc_id", "at")
     distinct = packed.groupBy("key", "packed").agg(F.min("doc_id").alias("first_doc"))
     sorted_in_buckets = distinct.repartition("key").sortWithinPartitions("key")
     runs = "key bigint, packed string, offsets array<bigint>, lengths array<bigint>, docs array<bigint>"
@@ -197,7 +208,12 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMI
     digest = [F.xxhash64("packed").alias("p1"), F.crc32(F.encode("packed", "UTF-8")).alias("p2"), F.length("packed").alias("p3")]
     back = packed.select("key", *digest, "doc_id", "at").join(firsts.select("key", *digest, "offsets", "lengths", "docs"), ["key", "p1", "p2", "p3"])
     spans = back.select("doc_id", "at", F.explode(F.arrays_zip("offsets", "lengths", "docs")).alias("r")).where("r.docs < doc_id")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("at") + F.col("r.offsets")).alias("s"), (F.col("r.lengths") + (window - 1)).alias("n"))).alias("spans"))
+    spans = spans.select("doc_id", (F.col("at") + F.col("r.offsets")).alias("s"), F.col("r.lengths").alias("n"))
+    # The windows under hot minimisers, and the first document of each that several hold.
+    single = every.where("d1 is not null").select("d1", "d2", "doc_id", "at", "n")
+    repeated = single.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
+    spans = spans.union(single.join(repeated, ["d1", "d2"]).where("lo < doc_id").select("doc_id", "at", "n"))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", (F.col("n") + (window - 1)).alias("n"))).alias("spans"))
 
 
 def _cut(with_text: bool):

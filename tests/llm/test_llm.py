@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,33 @@ def test_substring_dedup_equals_brute_force(spark, texts, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == removed(texts, 50)
 
 
+def test_repeated_words_under_hot_minimisers(spark, monkeypatch):
+    """Windows of a period overlap and are one row each."""
+    monkeypatch.setattr(substring_dedup, "HOT", 0)
+    rng = random.Random(12)
+    passage = " ".join(words(rng, 60))
+    own = ["a b " * 200, "x y " + "a b " * 90, f"{passage} " + " ".join(words(rng, 70)) + f" {passage}", f"{passage} {passage} end"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs_of(spark, own)).collect()}
+    assert [got[i] for i in range(len(own))] == removed(own, 50)
+
+
+def test_windows_around_a_common_line_do_not_meet():
+    """A line with different words around it: under its minimisers only equal windows share a key."""
+    rng = random.Random(6)
+    line = words(rng, 30, 10**6)
+    texts = [" ".join(words(rng, 40, 10**6) + line + words(rng, 40, 10**6)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    light = next(iter(substring_dedup._light(50, 20)([batch]))).column(0).to_pylist()
+    hot = [m for m in set(light) if light.count(m) > 20]
+    assert hot
+    asked = pa.RecordBatch.from_arrays([*batch.columns, pa.array([[]] * 40, pa.list_(pa.int64())), pa.array([hot] * 40, pa.list_(pa.int64()))], names=["doc_id", "text", "cold", "hot"])
+    met: dict = {}
+    for out in substring_dedup._pack(50, 20)([asked]):
+        for r in out.to_pylist():
+            met.setdefault((r["key"], r.get("d1"), r.get("d2")), set()).add(r["packed"])
+    assert met and max(map(len, met.values())) == 1
+
+
 def test_decontamination_equals_brute_force(spark, texts, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate([30, 13, 14, 5, 1, 2])] + [(6, None), (7, "!!"), (None, "w1 w2"), (8, "漢字 words")]
