@@ -8,12 +8,20 @@ members with one pivot, near to most of them, which gathers a family of near cop
 branches; members known to be of one component are not compared again. Several
 independent trees run side by side. All candidate pairs are confirmed on the full sets.
 
+Minimums hardly tell the members of a dense node apart. Such a node branches by shingles in which its members
+differ from the pivot p: let D(x) hold the shingles of just one of x and p. For sizes |x|, |y| and similarity s, a
+link needs |D(x) - D(y)| + |D(y) - D(x)| <= r (|x| + |y|), r = (1 - s) / (1 + s). So a linked pair that isn't wholly linked with
+the pivot shares more than (|D(y)| - r (|y| - |p|)) / 2 of D(y), and as a rule none of its many members share that: the
+child keys are the first shingles of D in a common order, just as many as must hold a shared one. No linked
+pair is lost there, and a family takes rows in proportion to its differences, not to its pairs.
+
 At a similarity of 0.8 a pair shares a child with probability 1 - 0.2^3 in each tree's first level and
 1 - 0.2^2 on later ones; three trees find it with probability above 1 - 1e-5 at any depth used here.
 
 Defined results: null text, empty text or text without words gives an empty set, linked with nothing; null
-doc_id rows are never linked and keep a null component; repeated rows share their fate (doc_ids are expected
-to differ between texts). Extra columns are not read."""
+doc_id rows are never linked and keep a null component; repeated rows share their fate; rows that share a doc_id
+but not a text are each judged by their own text, and others link with such a doc_id if they do with any of its
+texts. Extra columns are not read."""
 
 from __future__ import annotations
 
@@ -25,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnp as tx
-from larkspur.llm.common import small, whole_groups, written
+from larkspur.llm.common import small, written
 from larkspur.llm.graph import connected_components
 
 TREES, FIRST_BRANCHES, BRANCHES = 3, 3, 2
@@ -36,8 +44,8 @@ LEAF = 32
 #: Random members of a large node that its pivot should be near.
 SAMPLES = 4
 #: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
-#: branch well; they, and all large nodes at the last depth, are compared in pairs of blocks, on the full sets.
-DENSE, MAX_DEPTH, BLOCK = 36, 3, 512
+#: branch well; they, and all large nodes one level above the last, branch by their differences from the pivot.
+DENSE, MAX_DEPTH = 36, 4
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, mh array<int>"
 
@@ -141,14 +149,19 @@ def _confirm(width: int, percent: int):
     return confirm
 
 
+def _distinct(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) without repeated rows, dealt by doc_id."""
+    return texts.groupBy("doc_id").agg(F.collect_set("text").alias("own")).select("doc_id", F.explode("own").alias("text"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. texts: (doc_id, text), one row per doc_id."""
+    """The pairs (a, b) whose full shingle sets are similar enough. texts: (doc_id, text); repeated rows are read once."""
     pairs = written(pairs)
     n = pairs.count()
     if not n:
         return pairs
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    asked = texts.join(small(ids, 2 * n), "doc_id", "left_semi")
+    asked = _distinct(texts.join(small(ids, 2 * n), "doc_id", "left_semi"))
     a, b = asked.toDF("a", "ta"), asked.toDF("b", "tb")
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a bigint, b bigint"))
 
@@ -165,7 +178,7 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
         groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"))
         nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top")).where("n * n > s2")
         work = (F.col("n") * F.col("n") - F.col("s2")) / 2
-        nodes = written(nodes.select("node", "top", (work <= F.col("n") * LEAF / 2).alias("leaf"), "n"))
+        nodes = written(nodes.select("node", "top", ((work <= F.col("n") * LEAF / 2) | F.lit(depth == MAX_DEPTH)).alias("leaf"), "n"))
         n_large = nodes.where("not leaf").count()
         inner = rows.join(nodes.where("leaf").select("node", "top"), "node")
         met = inner.where("grp <> top").alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & _pair() & _near("x", "y", percent))
@@ -184,89 +197,75 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
         star = confirmed(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), texts, width, percent)
         found = star if found is None else found.union(star)
         linked = star.union(star.select("b", "a")).toDF("pivot", "doc_id").withColumn("linked", F.lit(True))
-        met = outer.join(pivots.select("node", F.col("x.doc_id").alias("pivot"), F.col("x.grp").alias("pgrp"), (F.col("dense") | F.lit(depth == MAX_DEPTH)).alias("dense")), "node").join(linked, ["pivot", "doc_id"], "left")
+        met = outer.join(pivots.select("node", F.col("x.doc_id").alias("pivot"), F.col("x.grp").alias("pgrp"), (F.col("dense") | F.lit(depth == MAX_DEPTH - 1)).alias("dense")), "node").join(linked, ["pivot", "doc_id"], "left")
         met = met.withColumn("linked", F.coalesce("linked", F.lit(False)) | (F.col("pivot") == F.col("doc_id")))
         # Where the pivot is linked into the node's main group, its family joins that group.
         joins = met.groupBy("node").agg(F.max(F.col("linked") & (F.col("grp") == F.col("top"))).alias("joins"))
         family = F.when(F.col("joins"), F.col("top")).otherwise(F.col("pgrp"))
         grouped = met.join(joins, "node").withColumn("grp", F.when((F.col("linked") & (F.col("grp") == F.col("doc_id"))) | (F.col("grp") == F.col("pgrp")), family).otherwise(F.col("grp")))
-        grouped = written(grouped.select("node", "dense", *member))
-        blocks = _linked_in_blocks(grouped.where("dense"), texts, width, percent)
-        found = found.union(blocks)
-        if depth == MAX_DEPTH:
-            break
-        rows = written(grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").select(_children(F.col("node"), BRANCHES).alias("node"), *member))
+        grouped = written(grouped.select("node", "dense", "pivot", *member))
+        spread = grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").select(_children(F.col("node"), BRANCHES).alias("node"), *member)
+        if not grouped.where("dense").isEmpty():
+            children, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, width, percent)
+            spread, found = spread.union(children), found.union(of_pivots)
+        rows = written(spread)
     direct = confirmed(candidates.distinct(), texts, width, percent)
     return direct if found is None else direct.union(found)
 
 
-def _linked_in_blocks(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join groups of the same node of rows (node, doc_id, grp). Members outside the node's main group
-    meet all members, a block of them with a block at a time; a text travels to each of its pairs of blocks."""
-    groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c"))
-    nodes = groups.groupBy("node").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("c", "grp"))["grp"].alias("top"))
-    placed = rows.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # A block of minor members is x; only such blocks need others to come to them.
-    minor = placed.where("grp <> top").groupBy("node").agg(F.collect_set("block").alias("xs"))
-    x = placed.where("grp <> top").select("node", F.col("block").alias("x"), every.alias("y"), F.lit(0).alias("side"), "doc_id", "grp")
-    y = placed.join(minor, "node").select("node", F.explode("xs").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "doc_id", "grp")
-    ids = written(rows.select("doc_id").distinct())
-    met = x.union(y).join(texts.join(small(ids, ids.count()), "doc_id", "left_semi"), "doc_id")
-    met = met.select("node", "x", "y", "side", "doc_id", "grp", "text").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
-    return written(met.mapInArrow(_block_linker(width, percent), "a bigint, b bigint"))
-
-
-def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets x with other sets, y, by products of 0/1 matrices over the shared values."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    shared = count[value] > 1
-    owner, value = owner[shared], number[value[shared]]
-    order = np.argsort(value, kind="stable")
-    owner, value = owner[order], value[order]
-    out = np.zeros((len(x), len(y)), np.float32)
-    for low in range(0, int(value[-1]) + 1 if len(value) else 0, 1 << 13):
-        a, b = np.searchsorted(value, [low, low + (1 << 13)])
-        has = np.zeros((len(sets), 1 << 13), np.float32)
-        has[owner[a:b], value[a:b] - low] = 1
-        out += has[x] @ has[y].T
-    return out
-
-
-def _block_linker(width: int, percent: int):
-    def link(batches):
-        for group in whole_groups(batches, 3):
-            ids, first = np.unique(group.column(4).to_numpy(), return_index=True)
-            side, grp = group.column(3).to_numpy(), group.column(5).to_numpy()[first]
-            position = np.searchsorted(ids, group.column(4).to_numpy())
-            x, y = np.unique(position[side == 0]), np.unique(position[side == 1])
-            if not len(x) or not len(y):
-                continue
-            offs, data = tx.text_buffers(group.column(6).take(pa.array(first)))
-            sets = list(shingle_sets(offs, data, width))
-            size = np.array([len(s) for s in sets], np.float64)
-            both = intersections(sets, x, y).astype(np.float64)
-            near = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (both > 0) & (grp[x][:, None] != grp[y][None, :])
-            # A forest over the groups is enough.
-            root = {g: g for g in grp.tolist()}
-            out: tuple[list[int], list[int]] = ([], [])
-            for i, j in zip(*np.nonzero(near), strict=True):
-                pair = []
-                for g in (grp[x[i]], grp[y[j]]):
-                    g = int(g)
-                    while root[g] != g:
-                        root[g] = root[root[g]]
-                        g = root[g]
-                    pair.append(g)
-                if pair[0] != pair[1]:
-                    root[pair[0]] = pair[1]
-                    out[0].append(int(ids[x[i]]))
-                    out[1].append(int(ids[y[j]]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
-
-    return link
+def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) to the members of child nodes named by differences from the pivot, and
+    the links (a, b) of pivots. Nodes whose pivots are linked are taken together, so that a family is dealt once."""
+    pivots = rows.select("pivot").distinct()
+    same = linked.select("pivot", F.col("doc_id").alias("other")).join(pivots, "pivot", "left_semi").join(pivots.toDF("other"), "other", "left_semi").groupBy("pivot").agg(F.min("other").alias("other"))
+    named = rows.join(same, "pivot", "left").withColumn("pivot", F.least("pivot", "other"))
+    named = written(named.groupBy("pivot", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("grp").alias("grp")))
+    ids = written(named.select("doc_id").union(named.select("pivot")).distinct())
+    asked = _distinct(texts.join(small(ids, ids.count()), "doc_id", "left_semi"))
+    pairs = named.join(asked, "doc_id").join(asked.toDF("pivot", "own"), "pivot").select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
+    kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, near array<bigint>, far array<bigint>"
+    told = written(pairs.mapInArrow(_differences(width, percent), kind))
+    member = ["doc_id", "n_shingles", "k1", "k2", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("grp")).alias("grp")]
+    near = told.select(F.explode("near").alias("e"), "pivot", "linked", *member)
+    # The longer lists of the members that aren't linked with the pivot meet the shorter ones of those that are.
+    far = told.where("not linked").select(F.explode("far").alias("e"), "pivot", "linked", *member)
+    meet = far.select("pivot", "e").distinct().join(near.where("linked").select("pivot", "e").distinct(), ["pivot", "e"])
+    extra = near.where("linked").union(far).join(meet, ["pivot", "e"], "left_semi").withColumn("kind", F.lit(1))
+    every = near.withColumn("kind", F.lit(0)).unionByName(extra)
+    children = every.select(F.xxhash64("pivot", "e", "kind").alias("node"), "doc_id", "n_shingles", "k1", "k2", "grp").distinct()
+    return children, told.where("linked and pivot <> doc_id").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
+
+
+def _differences(width: int, percent: int):
+    """(pivot, doc_id, n_shingles, k1, k2, grp, own text of the pivot, text) to whether the two are linked, and the first
+    shingles of the document's differences: near, which meets any other list, and far, which meets those of linked members."""
+
+    def differ(batches):
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            pivots, sides = batch.column(0).to_pylist(), [tx.text_buffers(batch.column(i)) for i in (6, 7)]
+            out: tuple[list, list, list] = ([], [], [])
+            for i, pivot in enumerate(pivots):
+                p, x = (_set_at(i, *side, width) if k or pivot not in known else known[pivot] for k, side in enumerate(sides))
+                if len(known) > 200:
+                    known.clear()
+                known[pivot] = p
+                added, missing = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                # Shingles that the pivot lacks first: fewer members share them.
+                both, n = np.concatenate([added, missing]).view(np.int64), len(added) + len(missing)
+                near = n - max(0, (n * (100 + percent) - (len(x) - len(p)) * (100 - percent)) // (2 * (100 + percent)))
+                far = len(x) * (100 - percent) // percent + 1
+                out[0].append(n * (100 + percent) <= (len(x) + len(p)) * (100 - percent))
+                out[1].append(both[: min(near, n)] if out[0][-1] else both[: min(near, far, n)])
+                out[2].append(both[min(near, far, n) : far])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in out[1:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out[0], pa.bool_()), *lists], names=[*batch.schema.names[:6], "linked", "near", "far"])
+
+    return differ
+
+
+def _set_at(i: int, offs: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
+    return next(shingle_sets(offs[i : i + 2] - offs[i], data[offs[i] : offs[i + 1]], width))
 
 
 def _pair() -> F.Column:

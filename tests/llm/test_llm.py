@@ -81,11 +81,32 @@ def test_near_duplicates_equal_brute_force(spark, texts):
     assert all(got[i].kept == (want[i] == i) for i in range(len(sets)))
 
 
-def test_block_intersections():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 50_000, 3000)).astype(np.uint64) for _ in range(6)]
-    x, y = np.array([0, 1, 2]), np.array([3, 4, 5])
-    assert minhash_dedup.intersections(sets, x, y).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in y] for i in x]
+@pytest.mark.parametrize("depth", [2, 4])
+def test_large_nodes_of_families_equal_brute_force(spark, monkeypatch, depth):
+    """Every node is large, families hold chains, families within families and members just below the threshold; any depth ends right."""
+    monkeypatch.setattr(minhash_dedup, "LEAF", 2)
+    monkeypatch.setattr(minhash_dedup, "MAX_DEPTH", depth)
+    rng = random.Random(depth)
+    own = []
+    for _ in range(4):
+        base = words(rng, 120, 10**6)
+        for _ in range(40):
+            copy = list(rng.choice([base, *own[-3:]])) if rng.random() < 0.8 else base[: rng.randrange(80, 120)]
+            for _ in range(rng.randrange(0, 9)):
+                copy[rng.randrange(len(copy))] = rng.choice([f"n{rng.randrange(10**6)}", "same"])
+            own.append(copy)
+    sets = [shingles(" ".join(t), 4) for t in own]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs_of(spark, [" ".join(t) for t in own])).collect()}
+    assert [got[i] for i in range(len(own))] == components(len(own), links)
+
+
+def test_documents_that_share_a_doc_id(spark):
+    rng = random.Random(2)
+    one, two, near = (words(rng, 60) for _ in range(3))
+    rows = [(1, " ".join(one))] * 3 + [(1, " ".join(two)), (2, " ".join(one)), (3, " ".join([*two, "more"])), (None, " ".join(one)), (4, " ".join(near))]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, 57, 0), (1, 57, 1), (1, 57, 1), (1, 57, 1), (1, 57, 1), (2, 57, 1), (3, 58, 1), (4, 57, 4)]
 
 
 def removed(texts, window):
