@@ -39,13 +39,18 @@ from larkspur.llm.graph import connected_components
 TREES, FIRST_BRANCHES, BRANCHES = 3, 3, 2
 #: Minhash functions, of which a node draws its own; bits of the sketch that drops candidates far below the threshold.
 COORDINATES, SKETCH_BITS = 48, 128
+#: Steps through the coordinates, none with a factor in common with their number.
+STRIDES = (5, 7, 11, 13, 17, 19, 23)
 #: A node whose pairs to compare are at most LEAF / 2 for each member is compared exhaustively.
 LEAF = 32
 #: Random members of a large node that its pivot should be near.
 SAMPLES = 4
 #: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
 #: branch well; they, and all large nodes one level above the last, branch by their differences from the pivot.
-DENSE, MAX_DEPTH = 36, 4
+DENSE, MAX_DEPTH = 36, 5
+#: Documents whose shingles tell, by their counts, which shingles are common: these come last in the order of differences.
+#: The order decides how many meet, never what is found. Longer documents are not drawn.
+COMMON_SAMPLE, COMMON_LENGTH = 2000, 5000
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, mh array<int>"
 
@@ -121,9 +126,12 @@ def _near(x: str, y: str, percent: int) -> F.Column:
 
 
 def _children(node: F.Column, branches: int) -> F.Column:
-    """The child keys: the node's own draw of coordinates, and the member's minimum under each."""
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(branches)), lambda j: F.pmod(F.xxhash64(node, j), F.lit(COORDINATES)).cast("int"))
-    return F.explode(F.transform(F.array_distinct(drawn), lambda i: F.xxhash64(node, i, F.element_at("mh", i + 1))))
+    """The child keys: the member's minimum under the first coordinates of the node's own sequence at which it differs from
+    the pivot's (what most members share, such as a common passage, would not divide them)."""
+    stride = F.element_at(F.array(*[F.lit(x) for x in STRIDES]), F.pmod(F.xxhash64(node), F.lit(len(STRIDES))).cast("int") + 1)
+    sequence = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda j: F.pmod(F.xxhash64(node, F.lit(1)) % COORDINATES + j * stride, F.lit(COORDINATES)).cast("int"))
+    drawn = F.slice(F.filter(sequence, lambda i: F.element_at("mh", i + 1) != F.element_at("pivot_mh", i + 1)), 1, branches)
+    return F.explode(F.transform(drawn, lambda i: F.xxhash64(node, i, F.element_at("mh", i + 1))))
 
 
 def _confirm(width: int, percent: int):
@@ -173,7 +181,7 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
     rows = reps.select(
         F.explode(F.array([F.xxhash64(F.lit(t), F.lit(j), F.element_at("mh", t * FIRST_BRANCHES + j + 1)) for t in range(TREES) for j in range(FIRST_BRANCHES)])).alias("node"), *member[:-1], F.col("doc_id").alias("grp")
     )
-    candidates, found = None, None
+    candidates, found, common = None, None, None
     for depth in range(1, MAX_DEPTH + 1):
         groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"))
         nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top")).where("n * n > s2")
@@ -204,18 +212,38 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
         family = F.when(F.col("joins"), F.col("top")).otherwise(F.col("pgrp"))
         grouped = met.join(joins, "node").withColumn("grp", F.when((F.col("linked") & (F.col("grp") == F.col("doc_id"))) | (F.col("grp") == F.col("pgrp")), family).otherwise(F.col("grp")))
         grouped = written(grouped.select("node", "dense", "pivot", *member))
-        spread = grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").select(_children(F.col("node"), BRANCHES).alias("node"), *member)
+        of_pivot = reps.join(small(pivots.select(F.col("x.doc_id").alias("doc_id")).distinct(), n_large), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("mh").alias("pivot_mh"))
+        spread = grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").join(small(of_pivot, 10 * n_large), "pivot").select(_children(F.col("node"), BRANCHES).alias("node"), *member)
         if not grouped.where("dense").isEmpty():
-            children, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, width, percent)
-            spread, found = spread.union(children), found.union(of_pivots)
+            common = _common(reps, texts, width) if common is None else common
+            children, met, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, common, width, percent)
+            spread, candidates, found = spread.union(children), candidates.union(met), found.union(of_pivots)
         rows = written(spread)
     direct = confirmed(candidates.distinct(), texts, width, percent)
     return direct if found is None else direct.union(found)
 
 
-def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) to the members of child nodes named by differences from the pivot, and
-    the links (a, b) of pivots. Nodes whose pivots are linked are taken together, so that a family is dealt once."""
+def _common(reps: DataFrame, texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles of at least three of about COMMON_SAMPLE documents, and how many hold each."""
+    n = reps.count()
+    draw = F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, COMMON_SAMPLE / max(n, 1))))
+    drawn = reps.where(draw & (F.col("n_shingles") <= COMMON_LENGTH)).select("doc_id")
+
+    def of_sample(batches):
+        for batch in batches:
+            offs, data = tx.text_buffers(batch.column(0))
+            for at, to in tx.row_slices(offs):
+                sets = list(shingle_sets(offs[at : to + 1] - offs[at], data[offs[at] : offs[to]], width))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["e"])
+
+    counts = _distinct(texts.join(small(drawn, 2 * COMMON_SAMPLE), "doc_id", "left_semi")).select("text").mapInArrow(of_sample, "e bigint").groupBy("e").agg(F.count("*").alias("c")).where("c > 2")
+    rows = counts.orderBy(F.desc("c"), "e").limit(100_000).collect()
+    return np.array(sorted((r.e, r.c) for r in rows), np.int64).reshape(-1, 2)
+
+
+def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, common: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) to the members of child nodes named by differences from the pivot, more
+    candidates (a, b), and the links (a, b) of pivots. Nodes whose pivots are linked are taken together, so that a family is dealt once."""
     pivots = rows.select("pivot").distinct()
     same = linked.select("pivot", F.col("doc_id").alias("other")).join(pivots, "pivot", "left_semi").join(pivots.toDF("other"), "other", "left_semi").groupBy("pivot").agg(F.min("other").alias("other"))
     named = rows.join(same, "pivot", "left").withColumn("pivot", F.least("pivot", "other"))
@@ -223,20 +251,24 @@ def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, width:
     ids = written(named.select("doc_id").union(named.select("pivot")).distinct())
     asked = _distinct(texts.join(small(ids, ids.count()), "doc_id", "left_semi"))
     pairs = named.join(asked, "doc_id").join(asked.toDF("pivot", "own"), "pivot").select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
-    kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, near array<bigint>, far array<bigint>"
-    told = written(pairs.mapInArrow(_differences(width, percent), kind))
-    member = ["doc_id", "n_shingles", "k1", "k2", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("grp")).alias("grp")]
-    near = told.select(F.explode("near").alias("e"), "pivot", "linked", *member)
-    # The longer lists of the members that aren't linked with the pivot meet the shorter ones of those that are.
-    far = told.where("not linked").select(F.explode("far").alias("e"), "pivot", "linked", *member)
-    meet = far.select("pivot", "e").distinct().join(near.where("linked").select("pivot", "e").distinct(), ["pivot", "e"])
-    extra = near.where("linked").union(far).join(meet, ["pivot", "e"], "left_semi").withColumn("kind", F.lit(1))
-    every = near.withColumn("kind", F.lit(0)).unionByName(extra)
-    children = every.select(F.xxhash64("pivot", "e", "kind").alias("node"), "doc_id", "n_shingles", "k1", "k2", "grp").distinct()
-    return children, told.where("linked and pivot <> doc_id").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
-
-
-def _differences(width: int, percent: int):
+    kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, n bigint, near array<bigint>, far array<bigint>"
+    told = written(pairs.mapInArrow(_differences(width, percent, common), kind))
+    grp = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("grp")).alias("grp")
+    children = told.select(F.explode("near").alias("e"), "pivot", "doc_id", "n_shingles", "k1", "k2", grp)
+    children = children.select(F.xxhash64("pivot", "e").alias("node"), "doc_id", "n_shingles", "k1", "k2", "grp").distinct()
+    # The longer lists of members not linked with the pivot meet the shorter ones of those that are, where as many of both
+    # differences are left from there on as the two must share.
+    placed = ["pivot", "doc_id", "n_shingles", "k1", "k2", "n"]
+    x = told.where("not linked").select(*placed, F.size("near").alias("before"), F.posexplode("far").alias("i", "e")).withColumn("i", F.col("i") + F.col("before")).alias("x")
+    y = told.where("linked").select(*placed, F.posexplode("near").alias("i", "e")).alias("y")
+    share = F.col("x.n") + F.col("y.n") - (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - percent) / (100 + percent)
+    left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & (2 * left >= share - 1e-6) & _near("x", "y", percent))
+    met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return children, met, told.where("linked and pivot <> doc_id").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
+
+
+def _differences(width: int, percent: int, common: np.ndarray):
     """(pivot, doc_id, n_shingles, k1, k2, grp, own text of the pivot, text) to whether the two are linked, and the first
     shingles of the document's differences: near, which meets any other list, and far, which meets those of linked members."""
 
@@ -244,22 +276,26 @@ def _differences(width: int, percent: int):
         for batch in batches:
             known: dict[int, np.ndarray] = {}
             pivots, sides = batch.column(0).to_pylist(), [tx.text_buffers(batch.column(i)) for i in (6, 7)]
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for i, pivot in enumerate(pivots):
                 p, x = (_set_at(i, *side, width) if k or pivot not in known else known[pivot] for k, side in enumerate(sides))
                 if len(known) > 200:
                     known.clear()
                 known[pivot] = p
                 added, missing = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-                # Shingles that the pivot lacks first: fewer members share them.
                 both, n = np.concatenate([added, missing]).view(np.int64), len(added) + len(missing)
+                # Rare shingles first, of these the ones that the pivot lacks: fewer members share them.
+                at = np.minimum(np.searchsorted(common[:, 0], both), max(len(common) - 1, 0))
+                count = np.where(common[at, 0] == both, common[at, 1], 0) if len(common) else np.zeros(n, np.int64)
+                both = both[np.lexsort((both, np.arange(n) >= len(added), count))]
                 near = n - max(0, (n * (100 + percent) - (len(x) - len(p)) * (100 - percent)) // (2 * (100 + percent)))
                 far = len(x) * (100 - percent) // percent + 1
                 out[0].append(n * (100 + percent) <= (len(x) + len(p)) * (100 - percent))
-                out[1].append(both[: min(near, n)] if out[0][-1] else both[: min(near, far, n)])
-                out[2].append(both[min(near, far, n) : far])
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in out[1:]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out[0], pa.bool_()), *lists], names=[*batch.schema.names[:6], "linked", "near", "far"])
+                out[1].append(n)
+                out[2].append(both[: min(near, far, n)])
+                out[3].append(both[min(near, far, n) : far])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in out[2:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), *lists], names=[*batch.schema.names[:6], "linked", "n", "near", "far"])
 
     return differ
 
