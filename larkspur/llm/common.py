@@ -19,12 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where none is configured."""
+    """The folder shared by driver and executors (spark.checkpoint.dir). A temporary one only where none is set and
+    driver and executors are one process; on a cluster without a shared folder this is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-larkspur-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "scratch" not in _own:
+        _own["scratch"] = tempfile.mkdtemp(prefix="spark-larkspur-")
+    return _own["scratch"]
+
+
+_own: dict[str, str] = {}
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -13,8 +13,9 @@ ordered by rows.
 
 Defined results: null text and texts without words have no tokens and are never selected; a null domain,
 language or source is a branch of its own; unknown names have weight 1, a weight of 0 or less gives nothing;
-repeated rows count as documents, tied in the order; rows with null doc_id are not selected. Extra columns are
-kept, but for earlier columns domain, n_tokens and copies."""
+repeated rows count as documents, one after the other in the order; rows with null doc_id have no part in budgets
+and are not selected. A bucket in which many rows repeat one doc_id grows with them. Extra columns are kept, but for
+earlier columns domain, n_tokens and copies."""
 
 from __future__ import annotations
 
@@ -87,8 +88,10 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed: s
 
     budget_share: the budget as a share of all tokens; weights: by level (domain, lang, source) and name."""
     domain = default_domain() if domain is None else domain
-    light = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), n_tokens().alias("tokens")).where("tokens > 0")
-    light = written(light)
+    ours = {k: unused(docs, k + "_new") for k in ("row", "domain", "n_tokens", "copies")}
+    # The rows are numbered once, so that repeats of one doc_id are picked row by row.
+    numbered = written(docs.withColumns({ours["row"]: F.monotonically_increasing_id(), ours["domain"]: domain, ours["n_tokens"]: n_tokens()}))
+    light = numbered.select(F.col(ours["row"]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ours["domain"]).alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col(ours["n_tokens"]).alias("tokens")).where("tokens > 0 and doc_id is not null")
     leaves = written(light.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share
     plan = leaf_budgets(leaves, total, max_epochs, weights or {})
@@ -96,17 +99,15 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed: s
     plan = written(plan.select(*[F.col(c).alias(f"up_{c}") for c in LEVELS], "passes", "rest", "buckets"))
     match = [F.col(c).eqNullSafe(F.col(f"up_{c}")) for c in LEVELS]
     placed = light.join(plan, match).withColumn("ord", F.md5(F.concat_ws("|", F.lit(seed), F.col("passes").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
-    placed = placed.withColumn("bucket", F.floor(F.conv(F.substring("ord", 1, 8), 16, 10).cast("bigint") * F.col("buckets") / F.lit(1 << 32))).select("doc_id", *LEVELS, "tokens", "passes", "rest", "ord", "bucket")
+    placed = placed.withColumn("bucket", F.floor(F.conv(F.substring("ord", 1, 8), 16, 10).cast("bigint") * F.col("buckets") / F.lit(1 << 32))).select("row", "doc_id", *LEVELS, "tokens", "passes", "rest", "ord", "bucket")
     sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("in_bucket"))
     sums = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("in_bucket"))
     sums = sums.select(*[F.col(c).alias(f"up_{c}") for c in LEVELS], F.col("bucket").alias("up_bucket"), "in_bucket", "before")
-    known = written(placed.join(sums, [*match, F.col("bucket") == F.col("up_bucket")]).select(*LEVELS, "doc_id", "tokens", "passes", "rest", "ord", "bucket", "before", "in_bucket"))
-    sure = known.where("before >= rest or before + in_bucket <= rest").select("doc_id", "tokens", (F.col("passes") + F.when(F.col("before") + F.col("in_bucket") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    known = written(placed.join(sums, [*match, F.col("bucket") == F.col("up_bucket")]).select(*LEVELS, "row", "doc_id", "tokens", "passes", "rest", "ord", "bucket", "before", "in_bucket"))
+    sure = known.where("before >= rest or before + in_bucket <= rest").select("row", (F.col("passes") + F.when(F.col("before") + F.col("in_bucket") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
     border = known.where("before < rest and before + in_bucket > rest")
-    running = F.sum("tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("ord", "doc_id"))
-    border = border.withColumn("upto", F.col("before") + running).select("doc_id", "tokens", (F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
-    ours = {k: unused(docs, k + "_new") for k in ("id", "domain", "n_tokens", "copies")}
-    chosen = sure.union(border).where("copies > 0").groupBy(F.col("doc_id").alias(ours["id"])).agg(F.max("copies").cast("bigint").alias(ours["copies"]), F.max("tokens").alias(ours["n_tokens"]))
-    out = docs.withColumn(ours["domain"], domain).join(chosen, F.col("doc_id") == F.col(ours["id"]))
+    running = F.sum("tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("ord", "doc_id", "tokens", "row").rowsBetween(Window.unboundedPreceding, 0))
+    border = border.withColumn("upto", F.col("before") + running).select("row", (F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    chosen = sure.union(border).where("copies > 0").select(F.col("row").alias(ours["row"]), F.col("copies").cast("bigint").alias(ours["copies"]))
     added = ("domain", "n_tokens", "copies")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[F.col(ours[c]).alias(c) for c in added])
+    return numbered.join(chosen, ours["row"]).select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[F.col(ours[c]).alias(c) for c in added])

@@ -77,7 +77,7 @@ WITH RECURSIVE light AS (
               ELSE 'domain' || (CAST(regexp_extract(source, '(\d{1,9})', 1) AS BIGINT) % 4) END AS domain,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
   FROM documents),
-d AS (SELECT * FROM light WHERE tokens > 0),
+d AS (SELECT * FROM light WHERE tokens > 0 AND doc_id IS NOT NULL),
 leaves AS (SELECT domain, lang, source, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
 n1 AS (SELECT domain, sum(tokens) * 2.0::DOUBLE AS capacity, CASE domain WHEN 'domain0' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM leaves GROUP BY ALL),
 b1 AS (SELECT *, least((SELECT sum(tokens) FROM leaves)::DOUBLE * 0.5::DOUBLE, sum(capacity) OVER ()) AS budget FROM n1),

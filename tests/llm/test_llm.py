@@ -300,6 +300,17 @@ def test_mixing_keeps_budgets(spark):
     assert set(d.columns) < set(out.columns)
 
 
+def test_mixing_of_repeats_and_null_ids(spark):
+    """Rows that share a doc_id are picked one by one; rows without one have no budget."""
+    row = "ten tokens " * 5
+    repeats = spark.createDataFrame([(7, row, "en", "src1")] * 50 + [(100 + i, row, "en", "src1") for i in range(50)], "doc_id bigint, text string, lang string, source string")
+    out = mixing.mix(repeats, 0.5, 1).collect()
+    assert sum(r.n_tokens * r.copies for r in out) == 500
+    some = spark.createDataFrame([(None if i % 2 else i, row, "en", "src1") for i in range(200)], "doc_id bigint, text string, lang string, source string")
+    out = mixing.mix(some, 0.5, 1).collect()
+    assert sum(r.n_tokens * r.copies for r in out) == 500 and all(r.doc_id is not None for r in out)
+
+
 def test_water_filling(spark):
     leaves = spark.createDataFrame([("a", "en", "x", 1, 10), ("a", "en", "y", 1, 100), ("a", "de", "x", 1, 5), ("b", "en", "x", 1, 1000)], "domain string, lang string, source string, docs bigint, tokens bigint")
     got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(leaves, 200, 1, {}).collect()}
