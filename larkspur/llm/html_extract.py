@@ -1,13 +1,15 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
 A page is cut into tokens by one pattern: comments, scripts and styles, tags, and text between them. Words score
-positive and tags negative; one linear scan finds the contiguous run of tokens with the greatest sum. Scores are
-weights from labelled pages: pages that mark their content with an article or main element say, per kind of
-token, how much more often it stands inside than outside. What stands in known boilerplate elements costs little,
-so a run may cross a notice or form inside an article; it is left out when the run is rendered block by block.
+positive and tags negative; one linear scan finds the contiguous run of tokens with the greatest sum, which is then
+widened to whole blocks of text. Scores are weights from labelled pages: pages that mark their content with an article
+or main element say, per kind of tag and per element that words stand in (a link, a paragraph, a menu), how much more
+often it is found inside than outside. So the words of a list of links cost, wherever they stand; on a page with an
+article or main element, all words outside of it cost. What stands in known boilerplate elements costs little, so a run
+may cross a notice or form inside an article; it is left out when the run is rendered block by block.
 
-Defined results: null or empty html, and pages without a word that scores, give an empty text. Extra columns
-are not read."""
+Defined results: null or empty html, and pages without a word that scores, give an empty text; a tag whose quotes don't
+end is a tag up to its first `>`. Extra columns are not read."""
 
 from __future__ import annotations
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 MAX_FIT_PAGES = 2000
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))|([^<]+|<)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -38,17 +40,34 @@ BOILERPLATE = frozenset("head title nav header footer aside form button label in
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner banners breadcrumb breadcrumbs comment comments cookie cookies consent discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that end the name of a class and only say what it holds; names of contents, whose headers belong to them.
+HOLDERS = frozenset("area bar block body box button buttons container content entry group holder icon inner item items label layer line link links list outer panel row section slot space text title top unit wrap wrapper zone".split())
+OF_CONTENT = frozenset("article content entry headline main page post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Elements that a start tag closes where they are still open (HTML's implied end tags).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT = frozenset(("article", "main"))
-#: What a token inside a boilerplate element costs.
-BOILERPLATE_COST = 0.05
+#: What a token inside a boilerplate element costs (nothing inside an article or main element); what a tag inside an
+#: article or main element, and an unknown tag, costs; what a word of a page's title adds.
+BOILERPLATE_COST, CONTENT_TAG, UNKNOWN_TAG, TITLE_WORD = 0.05, -0.1, -0.5, 3.0
+#: Words of evidence that a kind of words scores like the text of a page, before any page is counted.
+PRIOR_WORDS = 200
+
+
+def _names_boilerplate(value: str, content: bool) -> bool:
+    """Whether one of the names in a class or id is one of boilerplate: what it ends with counts, apart from holders."""
+    for name in value.split():
+        words = WORDS.findall(name)
+        while len(words) > 1 and words[-1] in HOLDERS:
+            words.pop()
+        if words and words[-1] in BOILERPLATE_WORDS and not (words[-1] == "header" and (content or not OF_CONTENT.isdisjoint(words))):
+            return True
+    return False
 
 
-def _marks(attributes: str) -> bool:
+def _marks(attributes: str, content: bool) -> bool:
     """Whether a tag's attributes say boilerplate or hidden."""
-    if not attributes or attributes.isspace():
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -56,63 +75,77 @@ def _marks(attributes: str) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(WORDS.findall(value)):
+        if name in ("class", "id") and _names_boilerplate(value, content):
             return True
     return False
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(kind, text, boilerplate, inside an article or main element) for each token; kind is `word` or the tag's name with a slash where it closes."""
-    out, stack, noise, content = [], [], 0, 0
+    """(kind, text, boilerplate, inside an article or main element) for each token; kind is `@` and the element that text
+    stands in (a link or the nearest block), or the tag's name with a slash where it closes."""
+    out, stack, noise, content, links = [], [], 0, 0, 0
+    open_: dict[str, int] = {}
+
+    def close():
+        nonlocal noise, content, links
+        name, own, _ = stack.pop()
+        open_[name] -= 1
+        noise -= own
+        content -= name in CONTENT
+        links -= name == "a"
+
     for m in TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
-            out.append(("word", text, noise > 0, content > 0))
+            out.append(("@a" if links else stack[-1][2] if stack else "@body", text, noise > 0, content > 0))
             continue
         name = m.group(3)
         if name is None:
             continue
         name = name.lower()
         if m.group(2):
-            if any(x[0] == name for x in stack):
-                while True:
-                    top = stack.pop()
-                    noise -= top[1]
-                    content -= top[0] in CONTENT
-                    if top[0] == name:
-                        break
+            if open_.get(name):
+                while stack[-1][0] != name:
+                    close()
+                close()
             out.append(("/" + name, "", noise > 0, content > 0))
             continue
+        attributes = m.group(4).removesuffix(">")
         closes = CLOSED_BY.get(name, {"p"} if name in BLOCKS else ())
         if stack and stack[-1][0] in closes:
-            top = stack.pop()
-            noise -= top[1]
-        own = name in BOILERPLATE and not (name in ("header", "label") and content) or _marks(m.group(4))
+            close()
+        own = name in BOILERPLATE and not (name in ("header", "label") and content) or _marks(attributes, content > 0)
         if name in CONTENT or name in ("body", "html"):
             own = False
         out.append((name, "", noise + own > 0, content > 0))
-        if name not in VOID and not m.group(4).endswith("/"):
-            stack.append((name, int(own)))
+        if name not in VOID and not attributes.endswith("/"):
+            stack.append((name, int(own), f"@{name}" if name in BLOCKS or own else stack[-1][2] if stack else "@body"))
+            open_[name] = open_.get(name, 0) + 1
             noise += own
             content += name in CONTENT
+            links += name == "a"
     return out
 
 
-def _tag_score(kind: str, weights: dict[str, float]) -> float:
-    return weights.get(kind, weights.get("", -1.0))
+def scores(page: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> list[float]:
+    """What each token adds to a run."""
+    labelled, out = any(t[3] for t in page), []
+    for kind, text, boilerplate, content in page:
+        n = len(text.split()) if kind[0] == "@" else 1
+        if boilerplate:
+            out.append(0.0 if content else -BOILERPLATE_COST * n)
+        elif kind[0] == "@":
+            out.append(n * ((1.0 if content else weights.get("outside", -1.0)) if labelled else weights.get(kind, 1.0) * (TITLE_WORD if kind == "@h1" else 1.0)))
+        else:
+            out.append(CONTENT_TAG if content else weights.get(kind, UNKNOWN_TAG))
+    return out
 
 
-def best_run(page: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> tuple[int, int]:
-    """The run of tokens with the greatest sum, by one scan: (first, one beyond the last); the shortest of equals."""
+def best_run(values: list[float]) -> tuple[int, int]:
+    """The run with the greatest sum, by one scan: (first, one beyond the last); the shortest of equals."""
     best, run, at, found = 0.0, 0.0, 0, (0, 0)
-    word = weights.get("word", 1.0)
-    for i, (kind, text, boilerplate, _) in enumerate(page):
-        if boilerplate:
-            run -= BOILERPLATE_COST
-        elif kind == "word":
-            run += len(text.split()) * word
-        else:
-            run += _tag_score(kind, weights)
+    for i, value in enumerate(values):
+        run += value
         if run <= 0:
             run, at = 0.0, i + 1
         elif run > best:
@@ -120,11 +153,21 @@ def best_run(page: list[tuple[str, str, bool, bool]], weights: dict[str, float])
     return found
 
 
+def whole_blocks(page: list[tuple[str, str, bool, bool]], first: int, last: int) -> tuple[int, int]:
+    """The run widened to the ends of its first and its last block."""
+    ends = lambda i: page[i][0][0] != "@" and page[i][0].lstrip("/") in BLOCKS
+    while first < last and first > 0 and not ends(first) and not ends(first - 1):
+        first -= 1
+    while first < last < len(page) and not ends(last - 1) and not ends(last):
+        last += 1
+    return first, last
+
+
 def render(page: list[tuple[str, str, bool, bool]]) -> str:
     """Blocks of text, without boilerplate, white space made single, joined by an empty line."""
     blocks, now = [], []
     for kind, text, boilerplate, _ in page:
-        if kind == "word":
+        if kind[0] == "@":
             if not boilerplate:
                 now.append(text)
         elif kind == "br":
@@ -141,7 +184,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     found = tokens(page)
-    a, b = best_run(found, weights)
+    a, b = whole_blocks(found, *best_run(scores(found, weights)))
     return render(found[a:b])
 
 
@@ -154,9 +197,9 @@ def _tally(batches):
             if not any(t[3] for t in found):
                 continue
             for kind, text, boilerplate, content in found:
-                if boilerplate:
+                if boilerplate and content:
                     continue
-                n = len(text.split()) if kind == "word" else 1
+                n = len(text.split()) if kind[0] == "@" else 1
                 where = inside if content else outside
                 where[kind] = where.get(kind, 0) + n
         kinds = sorted({*inside, *outside})
@@ -164,18 +207,23 @@ def _tally(batches):
 
 
 def fit(pages: DataFrame, max_fit_pages: int = MAX_FIT_PAGES) -> dict[str, float]:
-    """Weights from the pages with an article or main element, in logarithms of how much likelier a kind of token is
-    inside; words stay above 0, tags below. Element names beyond the 200 commonest share one weight."""
+    """Weights from the pages with an article or main element: how much likelier a kind of token is inside than outside, in
+    logarithms; words from -1 to 1, tags from -1 to -0.1. `outside` is for words outside such elements, `@` and a name for
+    words of pages without them. Kinds beyond the 200 commonest get the values of unknown ones."""
     n = pages.count()
     share = min(1.0, max_fit_pages / n) if n else 0.0
     sample = pages.where((F.xxhash64(F.lit("fit"), "page_id") / float(1 << 63) + 1) / 2 < share)
     rows = sample.select(F.col("html").cast("string")).mapInArrow(_tally, "kind string, inside bigint, outside bigint")
     rows = rows.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "kind").limit(200).collect()
     total_in, total_out = sum(r.i for r in rows) + 1, sum(r.o for r in rows) + 1
-    out = {"word": 1.0, "": -1.0}
+    out = {}
     for r in rows:
-        score = math.log((r.i + 0.5) / total_in) - math.log((r.o + 0.5) / total_out)
-        out[r.kind] = max(score, 0.5) if r.kind == "word" else min(-0.1, 4 * score - 0.1)
+        if r.kind[0] == "@":
+            out[r.kind] = min(1.0, max(-1.0, math.log((r.i + PRIOR_WORDS) / (r.o + 1))))
+        else:
+            out[r.kind] = min(-0.1, max(-1.0, math.log((r.i + 0.5) / total_in) - math.log((r.o + 0.5) / total_out)))
+    words = [r for r in rows if r.kind[0] == "@"]
+    out["outside"] = min(-0.1, max(-1.0, -math.log((sum(r.o for r in words) + PRIOR_WORDS) / (PRIOR_WORDS + 1) + 1.0)))
     return out
 
 

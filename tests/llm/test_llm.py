@@ -335,13 +335,58 @@ def test_html_main_text(spark):
     assert got[1] == got[2] == got[3] == ("", 0) and got[4] == ("plain words only", 16)
 
 
+TEXT = "The text has a good many words in every one of its paragraphs, and it goes on."
+LINKS = "".join(f"<a href=/{w}>{w} of the site</a> " for w in ("news", "sport", "weather", "letters", "archive", "culture"))
+#: Pages and their main texts: what the scan decides, what names decide, broken markup.
+PAGES = {
+    "links around, nothing marked": (f"<body><div>{LINKS}</div><div><p>{TEXT}</p><p>{TEXT}</p></div><div>{LINKS}</div></body>", f"{TEXT}\n\n{TEXT}"),
+    "a link ends the text": (f"<body><div>{LINKS}</div><div><p>{TEXT}</p><p>{TEXT} <a href=x>More here</a></p></div><ul><li>{LINKS}</ul></body>", f"{TEXT}\n\n{TEXT} More here"),
+    "text after the article": (f"<body><article><h1>Head</h1><p>{TEXT}</p></article><div><p>{TEXT}</p></div></body>", f"Head\n\n{TEXT}"),
+    "header of the article": (f'<article><div class="article-header"><h1>Head</h1></div><p>{TEXT}</p></article>', f"Head\n\n{TEXT}"),
+    "header without an article": (f'<body><div class="site-header">Site</div><div class="post-header"><h1>Head</h1></div><p>{TEXT}</p></body>', f"Head\n\n{TEXT}"),
+    "a name that begins like one of boilerplate": (f'<article><p class="notice-period">{TEXT}</p><div class="cookie-notice">Cookies</div><div class="comment-list"><p>{TEXT}</p></div></article>', TEXT),
+    "an unclosed quote": (f'<article><p>{TEXT}</p><p><a title="foo>bar</a> {TEXT}</p></article>', f"{TEXT}\n\nbar {TEXT}"),
+    "notices inside": (f"<main><p>{TEXT}</p><aside>{TEXT * 9}</aside><form>{TEXT * 9}</form><p>Short end.</p></main>", f"{TEXT}\n\nShort end."),
+    "a table inside": ("<article><p>Values:</p><table><tr><td>1<td>2<tr><td>3<td>4</table></article>", "Values:\n\n1\n\n2\n\n3\n\n4"),
+    "hidden": (f'<article><p hidden>no</p><p style="display: none">no</p><p>{TEXT}</p></article>', TEXT),
+}
+
+
+def test_html_pages(spark):
+    weights = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert {k: html_extract.extract(page, weights) for k, (page, _) in PAGES.items()} == {k: text for k, (_, text) in PAGES.items()}
+
+
+def test_html_text_depends_on_the_scan(spark, monkeypatch):
+    weights = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    monkeypatch.setattr(html_extract, "best_run", lambda values: (0, len(values)))
+    same = {k for k, (page, text) in PAGES.items() if html_extract.extract(page, weights) == text}
+    assert not same & {"links around, nothing marked", "a link ends the text", "text after the article"}
+
+
+def test_html_of_given_pages_is_the_article(spark):
+    """The given pages hold their text in an article element without boilerplate in it."""
+    for r in html_extract.extract_text(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = r.html[r.html.index("<article>") : r.html.index("</article>")]
+        assert r.text.split() == html_extract.html.unescape(__import__("re").sub("<(/?)(?=[a-z/])[^>]*>", lambda m: " ", inner)).split()
+
+
+def test_html_of_deep_and_long_pages():
+    """Unclosed elements, one in the other; time and memory are in proportion."""
+    import time
+
+    for page in ("<div><b>" * 1_200_000 + TEXT, '<a title="' * 300_000, "<p>" + "word " * 2_000_000):
+        began = time.time()
+        html_extract.extract(page, {})
+        assert time.time() - began < 60
+
+
 def test_html_scan_finds_the_best_run():
     rng = random.Random(4)
     for _ in range(200):
-        page = [("word", "x " * rng.randrange(1, 5), False, False) if rng.random() < 0.5 else ("p", "", False, False) for _ in range(12)]
-        value = lambda a, b, p=page: sum(len(t[1].split()) if t[0] == "word" else -2.5 for t in p[a:b])
-        a, b = html_extract.best_run(page, {"word": 1.0, "p": -2.5})
-        assert value(a, b) == max([0, *(value(i, j) for i in range(13) for j in range(i, 13))])
+        values = [float(rng.randrange(1, 5)) if rng.random() < 0.5 else -2.5 for _ in range(12)]
+        a, b = html_extract.best_run(values)
+        assert sum(values[a:b]) == max([0, *(sum(values[i:j]) for i in range(13) for j in range(i, 13))])
 
 
 def brute(roles):
