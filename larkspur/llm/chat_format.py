@@ -4,21 +4,22 @@ Legal conversations have an optional system turn, then user and assistant turns
 the user and ending with the assistant. Each input turn may keep its role, take another (relabel), join the turn
 before it (merge), or follow an inserted empty turn; dynamic programming over the automaton's states finds the
 cheapest repair. The states are few, so a stretch of turns acts as a small min-plus matrix: conversations are cut
-into stretches by turn number, the matrices are chained per conversation, and each stretch is then repaired
-between its given end states. No task needs a whole conversation's texts.
+into stretches by turn number (and by rank, where many turns share a number), the matrices are chained per
+conversation, and each stretch is then repaired between its given end states. No task needs a whole conversation's
+turns, only the matrices; the rendered text of a conversation is one value.
 
 Costs: merge 1, relabel 2, insert 3. Ties: the option listed first in OPTIONS.
 
 Defined results: null or unknown roles (other than the known spellings in ROLES) must be relabelled; null text is
-an empty turn; null turn numbers come first; turns with equal numbers are ordered by role and text; rows with
-null conv_id form one conversation. Extra columns are not read."""
+an empty turn; null turn numbers come first; turns with equal numbers are ordered by role and text; repeated rows are
+turns of their own; a row with null conv_id is a conversation by itself. Extra columns are not read."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MERGE, RELABEL, INSERT = 1, 2, 3
@@ -89,7 +90,7 @@ def _role(role: str | None) -> int:
 
 
 MATRIX = "array<bigint>"
-CHAIN = "array<struct<seg:bigint,a:int,b:int,cost:bigint,last:boolean>>"
+CHAIN = "array<struct<seg:bigint,sub:bigint,a:int,b:int,cost:bigint,last:boolean>>"
 PIECE = "struct<piece:string,turns:bigint,merged:bigint,relabelled:bigint,inserted:bigint>"
 
 
@@ -112,7 +113,7 @@ def _chain(stretches: pd.Series) -> pd.Series:
         for i in range(len(own) - 1, -1, -1):
             m = own[i]["m"]
             before = next(s for s in range(4) if ways[i][s] + m[4 * s + state] == ways[i + 1][state])
-            rows.append({"seg": own[i]["seg"], "a": before, "b": state, "cost": total, "last": i == len(own) - 1})
+            rows.append({"seg": own[i]["seg"], "sub": own[i]["sub"], "a": before, "b": state, "cost": total, "last": i == len(own) - 1})
             state = before
         out.append(rows[::-1])
     return pd.Series(out)
@@ -154,13 +155,21 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     n_merged, n_relabelled, n_inserted. A turn is rendered as `<|role|>`, a newline, its text and `<|end|>`."""
     matrix, chain, render = F.pandas_udf(_matrix, MATRIX), F.pandas_udf(_chain, CHAIN), F.pandas_udf(_render, PIECE)
     turns = conversations.select(F.col("conv_id").cast("bigint"), F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 62))).alias("turn"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    stretch = turns.groupBy("conv_id", F.floor(F.col("turn") / STRETCH).cast("bigint").alias("seg")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    light = stretch.select("conv_id", "seg", matrix(F.transform("turns", lambda t: F.struct(t["role"].alias("role")))).alias("m"))
-    chained = light.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seg", "m"))).alias("own")).select("conv_id", F.explode(chain("own")).alias("c")).select(F.col("conv_id").alias("id"), "c.*")
-    both = stretch.join(chained.withColumnRenamed("seg", "s"), F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("seg") == F.col("s")))
-    pieces = both.select("conv_id", "seg", "cost", F.size("turns").alias("n_in"), render("turns", "a", "b", "last").alias("r"))
+    turn = F.struct("turn", "role", "text")
+    seg = F.floor(F.col("turn") / STRETCH).cast("bigint")
+    rank = F.row_number().over(Window.partitionBy("conv_id", "seg").orderBy("turn", "role", "text"))
+    ranked = turns.where("conv_id is not null").withColumn("seg", seg).withColumn("sub", F.floor((rank - 1) / STRETCH).cast("bigint"))
+    stretch = ranked.groupBy("conv_id", "seg", "sub").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    costs = matrix(F.transform("turns", lambda t: F.struct(t["role"].alias("role")))).alias("m")
+    light = stretch.select("conv_id", "seg", "sub", costs)
+    chained = light.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seg", "sub", "m"))).alias("own")).select("conv_id", F.explode(chain("own")).alias("c")).select("conv_id", "c.*")
+    pieces = stretch.join(chained, ["conv_id", "seg", "sub"]).select("conv_id", "seg", "sub", "cost", F.size("turns").alias("n_in"), render("turns", "a", "b", "last").alias("r"))
     whole = pieces.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "r.piece"))), lambda x: x["piece"]), "").alias("rendered"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "sub", "r.piece"))), lambda x: x["piece"]), "").alias("rendered"),
         F.sum("n_in").alias("n_in"), F.sum("r.turns").alias("n_out"), F.max("cost").alias("cost"), F.sum("r.merged").alias("n_merged"), F.sum("r.relabelled").alias("n_relabelled"), F.sum("r.inserted").alias("n_inserted"),
     )
-    return whole
+    # Rows without a conversation stand alone: nothing is brought together for them.
+    alone = turns.where("conv_id is null").select("conv_id", F.array(turn).alias("turns"))
+    alone = alone.select("conv_id", "turns", costs).select("conv_id", "turns", chain(F.array(F.struct(F.lit(0).cast("bigint").alias("seg"), F.lit(0).cast("bigint").alias("sub"), "m")))[0].alias("c"))
+    alone = alone.select("conv_id", "c.cost", render("turns", "c.a", "c.b", "c.last").alias("r"))
+    return whole.union(alone.select("conv_id", "r.piece", F.lit(1).cast("bigint"), "r.turns", "cost", "r.merged", "r.relabelled", "r.inserted"))

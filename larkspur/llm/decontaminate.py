@@ -30,28 +30,27 @@ SEGMENT = 512
 
 
 class Searcher:
-    """Wu-Manber tables for patterns (tuples of words as bytes) of one length."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
-        self.patterns = list(patterns)
-        self.items = [patterns[p] for p in self.patterns]
-        self.length = len(self.patterns[0])
-        self.block = min(2, self.length)
-        flat = np.concatenate([_word_hashes(p) for p in self.patterns])
-        blocks = self.blocks(flat)
-        starts = np.arange(len(self.patterns)) * self.length
-        self.shift = np.full(1 << TABLE_BITS, self.length - self.block + 1, np.int32)
-        for j in range(self.length - self.block + 1):
-            np.minimum.at(self.shift, blocks[starts + j] >> np.uint64(64 - TABLE_BITS), self.length - self.block - j)
-        suffix = blocks[starts + self.length - self.block]
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffix = suffix[self.order]
+    """Wu-Manber tables for the patterns of one length. A pattern is a run of words of the items, kept as the number of its
+    first word; the words' bytes are one buffer, so millions of patterns are a few arrays."""
+
+    def __init__(self, words: tx.Words, hashes: np.ndarray, firsts: np.ndarray, rows: np.ndarray, items: list[str], length: int):
+        self.words, self.firsts, self.rows, self.items, self.length = words, firsts, rows, items, length
+        self.block = min(2, length)
+        blocks = self.blocks(hashes)
+        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.int32)
+        for j in range(length - self.block + 1):
+            np.minimum.at(self.shift, blocks[firsts + j] >> np.uint64(64 - TABLE_BITS), length - self.block - j)
+        self.suffixes = np.unique(blocks[firsts + length - self.block])
+        # Inside a suffix bucket, patterns are found by the hash of all their words.
+        whole = tx.run_hashes(hashes, length)[firsts]
+        self.order = np.argsort(whole, kind="stable")
+        self.whole = whole[self.order]
 
     def blocks(self, hashes: np.ndarray) -> np.ndarray:
         return tx.run_hashes(hashes, self.block) if self.block > 1 else tx.mix(hashes)
 
     def search(self, words: tx.Words, hashes: np.ndarray):
-        """Yields (index of the first word, index of the pattern) of every occurrence."""
+        """Yields (index of the first word, item_id) of every occurrence."""
         n, m = len(hashes), self.length
         if n < m:
             return
@@ -66,45 +65,47 @@ class Searcher:
         if not lows:
             return
         at, stop = np.concatenate(lows), np.concatenate(highs)
-        tail = m - self.block
+        tail, runs = m - self.block, None
         while len(at):
             move = self.shift[ends[at + tail] >> np.uint64(64 - TABLE_BITS)]
             zero = move == 0
             if zero.any():
                 here = at[zero]
                 key = ends[here + tail]
-                left = np.searchsorted(self.suffix, key, "left")
-                right = np.searchsorted(self.suffix, key, "right")
-                for i, l, r in zip(here[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist(), strict=True):
-                    text = tuple(words.data[words.start[k] : words.end[k]].tobytes() for k in range(i, i + m))
-                    for p in self.order[l:r].tolist():
-                        if self.patterns[p] == text:
-                            yield i, p
+                here = here[self.suffixes[np.minimum(np.searchsorted(self.suffixes, key), len(self.suffixes) - 1)] == key]
+                if len(here):
+                    runs = tx.run_hashes(hashes, m) if runs is None else runs
+                    left, right = (np.searchsorted(self.whole, runs[here], side) for side in ("left", "right"))
+                    hit = left < right
+                    for i, lo, hi in zip(here[hit].tolist(), left[hit].tolist(), right[hit].tolist(), strict=True):
+                        text = _bytes(words, i, m)
+                        for p in self.order[lo:hi].tolist():
+                            if _bytes(self.words, int(self.firsts[p]), m) == text:
+                                yield i, self.items[self.rows[p]]
             at = at + np.maximum(move, 1)
             going = at < stop
             at, stop = at[going], stop[going]
 
 
-def _word_hashes(words: tuple[bytes, ...]) -> np.ndarray:
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    lengths = np.array([len(w) for w in words])
-    start = np.cumsum(lengths + 1) - lengths - 1
-    return tx.span_hashes(joined, start, start + lengths)
+def _bytes(words: tx.Words, first: int, n: int) -> list[bytes]:
+    return [words.data[s:e].tobytes() for s, e in zip(words.start[first : first + n].tolist(), words.end[first : first + n].tolist(), strict=True)]
 
 
 def windows_of(items: list[tuple[object, str | None]], width: int) -> list[Searcher]:
     """The searchers, one per pattern length, for (item_id, text) rows."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        if item is None or not text:
-            continue
-        raw = np.frombuffer(text.encode(), np.uint8)
-        w = tx.split(raw, np.array([0, len(raw)]), tx.NOT_ALNUM, lower=True)
-        words = [w.data[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)]
-        n = min(width, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            by_length[n][tuple(words[i : i + n])].append(str(item))
-    return [Searcher(p) for _, p in sorted(by_length.items())]
+    items = [(str(item), text.encode()) for item, text in items if item is not None and text]
+    offs = np.cumsum([0, *(len(text) for _, text in items)])
+    words = tx.split(np.frombuffer(b"".join(text for _, text in items), np.uint8), offs, tx.NOT_ALNUM, lower=True)
+    hashes, counts, names = words.hashes(), words.counts(), [item for item, _ in items]
+    length = np.minimum(counts, width)
+    out = []
+    for n in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == n)
+        of = np.repeat(rows, counts[rows] - n + 1)
+        begin = np.cumsum(counts[rows] - n + 1) - (counts[rows] - n + 1)
+        firsts = words.first[of] + np.arange(len(of)) - np.repeat(begin, counts[rows] - n + 1)
+        out.append(Searcher(words, hashes, firsts, of, names, n))
+    return out
 
 
 def _scan(shared):
@@ -122,9 +123,9 @@ def _scan(shared):
                 hashes = words.hashes()
                 hits = defaultdict(list)
                 for s in searchers:
-                    for i, p in s.search(words, hashes):
+                    for i, item in s.search(words, hashes):
                         row = int(np.searchsorted(words.first, i, "right")) - 1
-                        hits[row].append((i - int(words.first[row]), s.length, s.items[p]))
+                        hits[row].append((i - int(words.first[row]), s.length, item))
                 for row, found in hits.items():
                     covered = np.zeros(counts[at + row], bool)
                     for i, n, _ in found:
@@ -132,7 +133,7 @@ def _scan(shared):
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
                     spans[at + row] = edges.tolist()
                     n_hit[at + row] = covered.sum()
-                    items[at + row] = sorted({x for _, _, own in found for x in own})
+                    items[at + row] = sorted({x for _, _, x in found})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(n_hit), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "edges", "items"])
 
     return scan

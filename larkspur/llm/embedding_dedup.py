@@ -1,19 +1,22 @@
 """Near-duplicate vectors by random-hyperplane sign hashing in several tables.
 
 Vectors are compared only under equal, non-null labels. Equal vectors are collapsed first, with their number.
-Each table hashes a vector to the signs of BITS random projections; vectors in one bucket of a table are
+Each table hashes a vector to the signs of some random projections: their number grows with the rows of the largest
+label, so that buckets of unlike vectors stay small, and the number of tables with it. Vectors in one bucket of a table are
 compared exactly, in double precision. A large bucket is divided into blocks, and each pair of blocks is one
 group of at most 2 * BLOCK vectors, so no task holds a bucket and no pair becomes a row: a group reports, per
 vector, how many links it found and the smallest vector of its connected part. A pair that meets in several
-tables is counted in the first of them, which the vectors' signatures tell. A pair at cosine 0.98 meets in one of
-the tables with probability 1 - 3e-5.
+tables is counted in the first of them, which the vectors' signatures tell. A pair at the threshold meets in one of
+the tables with probability above 1 - MISS, whatever the number of bits.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component links with nothing, and
-so does one with a null label or null vec_id; vectors of different lengths never link; repeated rows with one
-vec_id are one vector. Extra columns are not read."""
+so does one with a null label or null vec_id (one row each); labels may be numbers or text; vectors of different lengths
+never link; repeated rows with one vec_id are one vector, the least where they differ. Extra columns are not read."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +25,19 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import whole_groups, written
 from larkspur.llm.graph import connected_components
 
-TABLES, BITS, BLOCK = 24, 16, 256
+BITS, MOST_BITS, BUCKET, BLOCK = 16, 30, 16, 256
+MISS = 4e-5
 SEED = 7
 
 
-def planes(dimensions: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
+def shape(rows: int, cosine: float) -> tuple[int, int]:
+    """(tables, bits) for the rows of the largest label: about BUCKET unlike vectors to a bucket."""
+    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(rows, 1) / BUCKET))))
+    agree = (1 - math.acos(cosine) / math.pi) ** bits
+    return math.ceil(math.log(MISS) / math.log(1 - agree)), bits
+
+
+def planes(dimensions: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dimensions]).standard_normal((dimensions, tables * bits))
 
 
@@ -38,19 +49,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _signed(batches):
-    weights = 1 << np.arange(BITS)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-        for n in np.unique(lengths):
-            part = batch.filter(pa.array(lengths == n))
-            values = _matrix(part.column(1))
-            signs = (values @ planes(int(n)) > 0).reshape(len(values), TABLES, BITS)
-            keys = (signs * weights).sum(axis=2).astype(np.int32)
-            bounds = pa.array(np.arange(len(values) + 1, dtype=np.int32) * TABLES)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(bounds, pa.array(keys.ravel()))], names=["vec_id", "sig"])
+def _signed(tables: int, bits: int):
+    def signed(batches):
+        weights = 1 << np.arange(bits)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == n))
+                values = _matrix(part.column(1))
+                signs = (values @ planes(int(n), tables, bits) > 0).reshape(len(values), tables, bits)
+                keys = (signs * weights).sum(axis=2).astype(np.int32)
+                bounds = pa.array(np.arange(len(values) + 1, dtype=np.int32) * tables)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(bounds, pa.array(keys.ravel()))], names=["vec_id", "sig"])
+
+    return signed
 
 
 def _links_in_groups(cosine: float):
@@ -97,15 +111,17 @@ def _links_in_groups(cosine: float):
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
-    """embeddings (vec_id, embedding, label): one row per distinct vec_id: n_links (other vectors linked directly),
+    """embeddings (vec_id, embedding, label): one row per distinct vec_id, and per row without one: n_links (other vectors linked directly),
     component_id (smallest vec_id reachable) and kept (vec_id is its component's smallest)."""
-    rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"), F.col("label").cast("bigint")).dropDuplicates(["vec_id"])
+    given = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
+    rows = given.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("embedding", "label")).alias("r")).select("vec_id", "r.*")
     finite = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
+    usable = rows.where(F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
     usable = usable.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
     groups = written(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     reps = groups.select(F.col("rep").alias("vec_id"), "label", "embedding", "copies", F.size("embedding").alias("len"))
-    signed = written(reps.select("vec_id", "embedding").mapInArrow(_signed, "vec_id bigint, sig array<int>"))
+    most = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    signed = written(reps.select("vec_id", "embedding").mapInArrow(_signed(*shape(most, cosine)), "vec_id bigint, sig array<int>"))
     keyed = signed.join(reps.select("vec_id", "label", "len"), "vec_id").select("vec_id", "label", "len", F.posexplode("sig").alias("t", "key"))
     where = ["label", "len", "t", "key"]
     buckets = keyed.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1")
@@ -121,5 +137,5 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     classes = classes.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     membership = usable.select("vec_id", "label", "embedding").join(groups.select("label", "embedding", "rep"), ["label", "embedding"]).select("vec_id", "rep")
     linked = membership.join(classes, "rep").select("vec_id", "n_links", "component_id")
-    out = rows.select("vec_id").join(linked, "vec_id", "left")
+    out = rows.select("vec_id").join(linked, "vec_id", "left").unionByName(given.where("vec_id is null").select("vec_id"), allowMissingColumns=True)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -7,7 +7,8 @@ single lines are never removed. A light pass counts chunk hashes; only the texts
 are gathered, and Spark groups them by their bytes, so equality does not rest on a hash.
 
 Defined results: null text stays null; a text that loses every line becomes empty; rows with null doc_id are
-left as they are; rows that share a doc_id are expected to be repeats, and share the removals. All columns are
+left as they are; rows that share a doc_id and a text are one document and share the removals, rows that share only a
+doc_id are different documents, in the order of a hash of their texts. All columns are
 kept; n_chars, where there is one, is set to the new text's length on changed rows."""
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def chunks(text: str, modulus: int = MODULUS) -> list[tuple[int, int]]:
 def _light(modulus: int):
     def light(batches):
         for batch in batches:
-            ids, h1, h2, at = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, of, h1, h2, at = [], [], [], [], []
+            for doc, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if "\n" not in text:
                     continue
                 lines = text.split("\n")
@@ -54,49 +55,52 @@ def _light(modulus: int):
                     if n > 1:
                         digest = hashlib.md5("\n".join(lines[begin : begin + n]).encode()).digest()
                         ids.append(doc)
+                        of.append(t)
                         h1.append(int.from_bytes(digest[:8], "little", signed=True))
                         h2.append(int.from_bytes(digest[8:], "little", signed=True))
                         at.append(begin)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(at, pa.int64())], names=["doc_id", "h1", "h2", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, of, h1, h2, at)], names=["doc_id", "t", "h1", "h2", "at"])
 
     return light
 
 
 def _texts(modulus: int):
-    """(doc_id, text, starts) to one row per chunk that begins at one of starts."""
+    """(doc_id, t, text, starts) to one row per chunk that begins at one of starts."""
 
     def texts(batches):
         for batch in batches:
-            ids, at, chunk = [], [], []
-            for doc, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, of, at, chunk = [], [], [], []
+            for doc, t, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines, wanted = text.split("\n"), set(starts)
                 for begin, n in chunks(text, modulus):
                     if begin in wanted:
                         ids.append(doc)
+                        of.append(t)
                         at.append(begin)
                         chunk.append("\n".join(lines[begin : begin + n]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(chunk, pa.string())], names=["doc_id", "at", "chunk"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, of, at)), pa.array(chunk, pa.string())], names=["doc_id", "t", "at", "chunk"])
 
     return texts
 
 
 def repeats(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
-    """(doc_id, gone): the first lines of the chunks to remove from each document, as an array."""
-    known = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    light = known.mapInArrow(_light(modulus), "doc_id bigint, h1 bigint, h2 bigint, at bigint")
-    again = light.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "at")).alias("lo"), F.max(F.struct("doc_id", "at")).alias("hi")).where("lo < hi").select("h1", "h2")
-    asked = light.join(again, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    found = written(known.join(asked, "doc_id").select("doc_id", "text", "starts").mapInArrow(_texts(modulus), "doc_id bigint, at bigint, chunk string"))
-    first = found.groupBy("chunk").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = found.join(first, "chunk").where(F.struct("doc_id", "at") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    """(doc_id, t, gone): the first lines of the chunks to remove from each document (t: a hash of its text), as an array."""
+    known = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    light = known.mapInArrow(_light(modulus), "doc_id bigint, t bigint, h1 bigint, h2 bigint, at bigint")
+    place = F.struct("doc_id", "t", "at")
+    again = light.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("h1", "h2")
+    asked = light.join(again, ["h1", "h2"]).groupBy("doc_id", "t").agg(F.collect_set("at").alias("starts"))
+    found = written(known.join(asked, ["doc_id", "t"]).select("doc_id", "t", "text", "starts").mapInArrow(_texts(modulus), "doc_id bigint, t bigint, at bigint, chunk string"))
+    first = found.groupBy("chunk").agg(F.min(place).alias("first"))
+    later = found.join(first, "chunk").where(place > F.col("first"))
+    return later.groupBy("doc_id", "t").agg(F.collect_set("at").alias("gone"))
 
 
 def remove_repeated_chunks(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     """docs with text stripped of repeated chunks: all columns of docs, text replaced."""
-    gone, text, key = (unused(docs, x) for x in ("gone_lines", "new_text", "of_doc"))
-    found = repeats(docs, modulus).toDF(key, gone)
-    joined = docs.join(found, F.col("doc_id") == F.col(key), "left")
+    gone, text, key, of = (unused(docs, x) for x in ("gone_lines", "new_text", "of_doc", "of_text"))
+    found = repeats(docs, modulus).toDF(key, of, gone)
+    joined = docs.join(found, (F.col("doc_id") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(of)), "left")
     strip = F.pandas_udf(_strip_series(modulus), "string")
     changed = F.col(gone).isNotNull()
     out = joined.withColumn(text, F.when(changed, strip(F.when(changed, F.col("text").cast("string")), gone)).otherwise(F.col("text")))

@@ -222,6 +222,20 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
         assert (got[r[0]].n_links, got[r[0]].component_id) == (sum(r[0] in p for p in links), root[r[0]]), r[0]
 
 
+def test_embedding_labels_of_text_and_more_bits(spark, monkeypatch):
+    """Labels may be text; with more bits there are more tables, and links stay found; repeats and null ids."""
+    monkeypatch.setattr(embedding_dedup, "BITS", 22)
+    assert embedding_dedup.shape(100, 0.98)[0] > 24 and embedding_dedup.shape(1 << 30, 0.98)[1] == 26
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((5, 32))
+    v = [[float(x) for x in base[i % 5] + rng.standard_normal(32) * 0.09] for i in range(100)]
+    rows = [(i, e, "ab"[i % 2]) for i, e in enumerate(v)] + [(3, v[3], "b"), (None, v[3], "b"), (None, v[3], "b")]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()
+    links = [(a, b) for a, b in itertools.combinations(range(100), 2) if a % 2 == b % 2 and np.dot(v[a], v[b]) / np.sqrt(np.dot(v[a], v[a]) * np.dot(v[b], v[b])) >= 0.98]
+    assert links and {r.vec_id: r.component_id for r in got if r.vec_id is not None} == dict(enumerate(components(100, links)))
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)] * 2
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.identify(d, language_id.fit(d, fold("doc_id", 4) != 2)).withColumn("held", language_id.held_out()).join(d.select("doc_id", "lang"), "doc_id").where("held").toPandas()
@@ -288,6 +302,15 @@ def test_line_dedup_removes_later_chunks_only(spark):
     assert sum(len(out[i].text) < len(texts[i]) for i in range(1, 8)) == 7
 
 
+def test_line_dedup_of_rows_that_share_a_doc_id(spark):
+    """Each is judged by its own text; rows that are equal share their fate."""
+    one = "\n".join(f"line {k}" for k in range(12))
+    docs = spark.createDataFrame([(1, one), (1, one), (1, "zz\nyy\nxx"), (2, one), (None, one)], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.remove_repeated_chunks(docs).collect())
+    left = "\n".join(x for a, n in line_dedup.chunks(one) if n == 1 for x in one.split("\n")[a : a + n])
+    assert got == sorted([(0, one), (1, one), (1, one), (1, "zz\nyy\nxx"), (2, left)])
+
+
 def test_mixing_keeps_budgets(spark):
     rng = random.Random(1)
     texts = [" ".join(["w"] * rng.randrange(1, 60)) for _ in range(500)] + [t for t in AWKWARD if len(t or "") < 1000]
@@ -389,15 +412,23 @@ def test_html_scan_finds_the_best_run():
         assert sum(values[a:b]) == max([0, *(sum(values[i:j]) for i in range(13) for j in range(i, 13))])
 
 
-def brute(roles):
-    best = {0: 0}
-    for r in roles:
+def cheapest(roles):
+    """The least cost of a repair, by the rules written out: system? (user assistant)*, merge 1, relabel 2, insert 3."""
+    after = {"": ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]}
+    spelled = {"system": "system", "user": "user", "assistant": "assistant", "human": "user", "gpt": "assistant"}
+    costs = {"": 0}
+    for role in roles:
         now = {}
-        for s, c in best.items():
-            for cost, to, _, _ in chat_format.options(s, r):
-                now[to] = min(now.get(to, 1 << 30), c + cost)
-        best = now
-    return min(c + chat_format.ending(s)[0] for s, c in best.items())
+        for state, cost in costs.items():
+            for to in ("system", "user", "assistant"):
+                base = cost + (0 if to == spelled.get(role) else 2)
+                ways = [base + 1] if to == state else []
+                ways += [base] if to in after[state] else []
+                ways += [base + 3 for between in after[state] if to in after[between]]
+                if ways:
+                    now[to] = min([*ways, now.get(to, 10**9)])
+        costs = now
+    return min(c + {"": 0, "assistant": 0, "user": 3, "system": 6}[state] for state, c in costs.items())
 
 
 def test_chat_repair_is_legal_and_cheapest(spark, monkeypatch):
@@ -405,17 +436,23 @@ def test_chat_repair_is_legal_and_cheapest(spark, monkeypatch):
     rng = random.Random(6)
     rows, roles = [], {}
     for c in range(30):
-        roles[c] = [rng.choice(["user", "assistant", "system", "tool", None]) for _ in range(rng.randrange(1, 15))]
+        roles[c] = [rng.choice(["user", "assistant", "system", "human", "gpt", "tool", None]) for _ in range(rng.randrange(1, 15))]
         rows += [(c, t, r, None if rng.random() < 0.1 else f"text {t}") for t, r in enumerate(roles[c])]
-    rows += [(None, 0, "user", "hi"), (99, None, "user", "hi"), (99, None, "user", "hi")]
-    out = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    rows += [(None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 1, "gpt", "ho"), (99, None, "user", "hi"), (99, None, "user", "hi")]
+    rows += [(98, 5, "assistant" if k % 2 else "user", f"{k}") for k in range(30)]
+    given = chat_format.format_conversations(spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, seg int")).collect()
+    out = {r.conv_id: r for r in given if r.conv_id is not None}
+    alone = sorted((r.n_in, r.cost, r.rendered) for r in given if r.conv_id is None)
+    # A lone user turn gets an answer; a lone answer is cheaper as a user's turn that gets one, or after an inserted one.
+    assert [(n, c, r.count("hi")) for n, c, r in alone if "hi" in r] == [(1, 3, 1)] * 2 and [(n, c) for n, c, r in alone if "ho" in r] == [(1, cheapest(["gpt"]))]
+    assert out[98].n_in == 30 and out[98].cost == cheapest(["assistant"] * 15 + ["user"] * 15)
     for c, own in roles.items():
         r = out[c]
-        assert r.cost == brute([chat_format._role(x) for x in own]) == r.n_merged + 2 * r.n_relabelled + 3 * r.n_inserted
+        assert r.cost == cheapest(own) == r.n_merged + 2 * r.n_relabelled + 3 * r.n_inserted
         names = [x.split("|>")[0] for x in r.rendered.split("<|")[1:] if not x.startswith("end")]
         body = names[1:] if names[0] == "system" else names
         assert body == ["user", "assistant"] * (len(body) // 2) and len(names) == r.n_out and r.rendered.count("<|end|>") == r.n_out
-    assert out[None].n_in == 1 and out[99].n_in == 2 and out[99].cost == 2
+    assert out[99].n_in == 2 and out[99].cost == 2
 
 
 def test_empty_tables(spark):
