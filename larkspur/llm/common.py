@@ -44,14 +44,30 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
-    A lost executor costs nothing that has been written. Files are removed when the session's process ends."""
+    A lost executor costs nothing that has been written. Files are removed by `release`, or else when the session's
+    process ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/larkspur-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def mark() -> int:
+    """A point in time for release."""
+    return len(_written)
+
+
+@atexit.register
+def release(since: int = 0) -> None:
+    """Delete the intermediate tables written since then: for callers who have written the results made of them."""
+    while len(_written) > since:
+        remove(*_written.pop())
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -51,6 +51,8 @@ DENSE, MAX_DEPTH = 36, 5
 #: Documents whose shingles tell, by their counts, which shingles are common: these come last in the order of differences.
 #: The order decides how many meet, never what is found. Longer documents are not drawn.
 COMMON_SAMPLE, COMMON_LENGTH = 2000, 5000
+#: Tasks that the members of one pivot are dealt to, at most.
+SALTS = 32
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, mh array<int>"
 
@@ -250,7 +252,10 @@ def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, common
     named = written(named.groupBy("pivot", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("grp").alias("grp")))
     ids = written(named.select("doc_id").union(named.select("pivot")).distinct())
     asked = _distinct(texts.join(small(ids, ids.count()), "doc_id", "left_semi"))
-    pairs = named.join(asked, "doc_id").join(asked.toDF("pivot", "own"), "pivot").select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
+    # Most members may have one pivot, so its text is dealt to several tasks.
+    chosen = written(named.select("pivot").distinct())
+    own = asked.toDF("pivot", "own").join(small(chosen, chosen.count()), "pivot", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = named.join(asked, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(own, ["pivot", "salt"]).select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
     kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, n bigint, near array<bigint>, far array<bigint>"
     told = written(pairs.mapInArrow(_differences(width, percent, common), kind))
     grp = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("grp")).alias("grp")

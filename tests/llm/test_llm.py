@@ -455,6 +455,21 @@ def test_chat_repair_is_legal_and_cheapest(spark, monkeypatch):
     assert out[99].n_in == 2 and out[99].cost == 2
 
 
+def test_intermediates_are_deleted(spark, tmp_path):
+    import os
+
+    from larkspur.llm import common
+
+    since = common.mark()
+    at = [common.written(spark.range(3)).inputFiles()[0].removeprefix("file:") for _ in range(2)]
+    assert all(map(os.path.exists, at))
+    common.release(since)
+    assert not any(map(os.path.exists, at)) and common.mark() == since
+    with pytest.raises(ValueError, match="share"):
+        conf = type("Conf", (), {"get": lambda self, key, default: default})()
+        common.scratch_dir(type("Session", (), {"conf": conf, "sparkContext": type("Context", (), {"master": "spark://host"})()})())
+
+
 def test_empty_tables(spark):
     d = docs_of(spark, []).where("false")
     bench = spark.createDataFrame([], "item_id bigint, text string")
