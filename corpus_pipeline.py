@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, mixing to target weights.
 
 Each stage works on all rows its predecessor kept, and returns the columns of documents; the last adds domain,
-n_tokens and copies. Extra columns are carried along."""
+n_tokens and copies. Extra columns are carried along. Rows with null doc_id pass the filters and are not mixed; a null
+text goes with the first stage; rows that share a doc_id stay if one of them does; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, language_id, line_dedup, minhash_dedup, mixing
-from larkspur.llm.common import fold, scratch_dir, table, unused
+from larkspur.llm.common import fold, mark, release, remove, scratch_dir, table, unused
 from larkspur.llm.queries import MIX_EPOCHS, MIX_SHARE, MIX_WEIGHTS
 
 #: A document is rejected if its language cannot be told at all, or with less than this calibrated probability.
@@ -60,9 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each result is written as Parquet in the shared folder and read again."""
-    docs, at = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages in order; each result is written as Parquet in the shared folder and read again. A stage's intermediate
+    tables and its predecessor's result are deleted once its own result is written."""
+    docs, at, before = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
+        since = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        release(since)
+        if before:
+            remove(spark, before)
+        before = f"{at}/{name}"
     return docs
