@@ -24,6 +24,8 @@ def lagged(column: str, n: int = 1) -> str:
     return f"lag({column}, {n}) {RUN}"
 
 
+SESSION = "OVER (PARTITION BY key, date_trunc('day', t) ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
 TYPICAL = "(high + low + close) / 3"
 MONEY_FLOW = "CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) ELSE 0.0 END"
 
@@ -31,7 +33,7 @@ MONEY_FLOW = "CASE WHEN high > low THEN ((close - low) - (high - close)) / (high
 def _steps() -> dict[str, list[dict[str, str]]]:
     tp = {"tp": TYPICAL}
     prev = {"prev": lagged("close")}
-    log_return = [prev, {"ret": "CASE WHEN prev > 0 AND close > 0 THEN ln(close / prev) ELSE 0.0 END"}]
+    log_return = [prev, {"ret": "CASE WHEN prev IS NULL THEN NULL WHEN prev > 0 AND close > 0 THEN ln(close / prev) ELSE 0.0 END"}]
     hi_lo = lambda n: {"hi": full("max(high)", "high", n), "lo": full("min(low)", "low", n)}
     return {
         "sma": [{"sma": full("avg(close)", "close", 20)}],
@@ -56,7 +58,7 @@ def _steps() -> dict[str, list[dict[str, str]]]:
         "obv": [prev, {"obv": f"sum(CASE WHEN close > prev THEN volume WHEN close < prev THEN -volume ELSE 0.0 END) {SO_FAR}"}],
         "accumulation": [{"ad": f"sum(({MONEY_FLOW}) * volume) {SO_FAR}"}],
         "chaikin": [{"mfv": f"({MONEY_FLOW}) * volume"}, {"s": full("sum(mfv)", "mfv", 20), "v": full("sum(volume)", "volume", 20)}, {"cmf": "CASE WHEN s IS NULL THEN NULL WHEN v = 0 THEN 0.0 ELSE s / v END"}],
-        "session_vwap": [{"vwap": f"sum({TYPICAL} * volume) OVER (PARTITION BY key, date_trunc('day', t) ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(volume) OVER (PARTITION BY key, date_trunc('day', t) ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}],
+        "session_vwap": [{"tp": TYPICAL}, {"pv": f"sum(tp * volume) {SESSION}", "v": f"sum(volume) {SESSION}"}, {"vwap": "CASE WHEN v > 0 THEN pv / v ELSE tp END"}],
         "relative_volume": [{"m": full("avg(volume)", "volume", 20)}, {"relative_volume": "CASE WHEN m > 0 THEN volume / m END"}],
         "gap_percent": [prev, {"gap": "CASE WHEN prev > 0 THEN 100 * (open - prev) / prev ELSE 0.0 END"}],
         "distance_high_low": [{"hi": f"max(high) {frame(252)}", "lo": f"min(low) {frame(252)}"}, {"from_high": "CASE WHEN hi > 0 THEN 100 * (close - hi) / hi END", "from_low": "CASE WHEN lo > 0 THEN 100 * (close - lo) / lo END"}],

@@ -65,31 +65,33 @@ def _keltner(p):
 
 
 def _adx(p):
-    up, down = np.diff(p.high.to_numpy(), prepend=np.nan), -np.diff(p.low.to_numpy(), prepend=np.nan)
-    plus = np.where(np.isnan(up), np.nan, np.where((up > down) & (up > 0), up, 0.0))
-    minus = np.where(np.isnan(up), np.nan, np.where((down > up) & (down > 0), down, 0.0))
-    tr = true_range(p)
-    tr[:1] = np.nan
+    """Movements are 0 and the range is the bar's own at the first bar; without a range there is no value."""
+    up, down = np.diff(p.high.to_numpy(), prepend=p.high.iloc[:1]), -np.diff(p.low.to_numpy(), prepend=p.low.iloc[:1])
+    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+    a, b, c = wilder(plus, 14), wilder(minus, 14), wilder(true_range(p), 14)
     with np.errstate(all="ignore"):
-        a, b, c = wilder(plus, 14), wilder(minus, 14), wilder(tr, 14)
-        di = 100 * a / c, 100 * b / c
-        dx = np.where(di[0] + di[1] > 0, 100 * np.abs(di[0] - di[1]) / (di[0] + di[1]), np.where(np.isnan(c), np.nan, 0.0))
+        di = [np.where(c >= 1e-9, 100 * x / c, np.nan) for x in (a, b)]
+        both = di[0] + di[1]
+        dx = np.where(np.isnan(both), np.nan, np.where(both < 1e-9, 0.0, 100 * np.abs(di[0] - di[1]) / both))
+    first = np.flatnonzero(np.isfinite(dx))[:1]
+    if len(first):
+        dx[first[0] :] = np.nan_to_num(dx[first[0] :])
     return {"plus_di": di[0], "minus_di": di[1], "adx": wilder(dx, 14)}
 
 
 def _supertrend(p):
+    """The trend begins upwards and turns where the close passes the band of the bar before."""
     atr, mid, close = wilder(true_range(p), 10), ((p.high + p.low) / 2).to_numpy(), p.close.to_numpy()
     line, way = np.full(len(p), np.nan), np.full(len(p), np.nan)
-    up = lo = now = None
+    upper = lower = None
+    now = 1
     for i in np.flatnonzero(np.isfinite(atr)):
-        a, b = mid[i] + 3 * atr[i], mid[i] - 3 * atr[i]
-        if now is not None:
-            a = a if a < up or close[i - 1] > up else up
-            b = b if b > lo or close[i - 1] < lo else lo
-            now = (1 if close[i] >= b else -1) if now == 1 else (-1 if close[i] <= a else 1)
-        else:
-            now = 1 if close[i] >= mid[i] else -1
-        up, lo = a, b
+        a, b, before = mid[i] + 3 * atr[i], mid[i] - 3 * atr[i], close[max(i - 1, 0)]
+        if upper is not None:
+            a = a if a < upper or before > upper else upper
+            b = b if b > lower or before < lower else lower
+            now = 1 if close[i] > upper else -1 if close[i] < lower else now
+        upper, lower = a, b
         line[i], way[i] = (b if now == 1 else a), now
     return {"line": line, "direction": way}
 

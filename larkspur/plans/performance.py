@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.retrieval import best_documents
 from larkspur.sources.roles import EQUITY_SQL, equity, micros, table
 
+
 def _days():
     """One row per calendar day: the size of this window is bounded by the calendar."""
     return Window.partitionBy(F.lit(0)).orderBy("day")
@@ -126,28 +128,21 @@ DECAY = f"SELECT user_id, event_type, round(evidence, 6) AS evidence, round(valu
 COMPOSITE = f"SELECT user_id, round(sum(evidence), 6) AS evidence, round(sum(evidence * value) / sum(evidence), 6) AS composite FROM ({DECAYED}) WHERE value IS NOT NULL GROUP BY user_id"
 
 
-def _terms(text: str) -> F.Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+def retrieved(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), depth)
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for each benchmark text by BM25 (k1 1.2, b 0.75); statistics over all documents."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(_terms("text"))).alias("term"))
-    d = table(spark, sf_dir, "documents").select("doc_id", _terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    n = d.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    tf = d.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("s", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean"))))
-    hits = scored.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-
-
-BM25 = """WITH q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS term FROM benchmark),
+    return retrieved(spark, sf_dir, 5).where("channel = 'lexical'").select("item_id", "doc_id", "score", "rank")
+
+
+BM25_ALL = """WITH q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS term FROM benchmark),
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2) AS terms FROM documents), n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
 tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 h AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN n GROUP BY ALL)
-SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM h QUALIFY rank <= 5"""
+SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM h"""
+BM25 = f"{BM25_ALL} QUALIFY rank <= 5"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

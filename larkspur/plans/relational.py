@@ -175,14 +175,20 @@ NEAREST = """SELECT p.event_id, (SELECT c.event_id FROM events c WHERE c.user_id
   ORDER BY abs(epoch_us(c.ts) - epoch_us(p.ts)), c.ts, c.event_id LIMIT 1) AS click_id FROM events p WHERE p.event_type = 'purchase'"""
 
 
+VALID_AT, RECORDED_BY = "1997-06-30", "1997-09-30"
+
+
 def as_of_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger on two axes: each customer's order that was valid at an instant, as recorded by another (key order is record order)."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate <= '1997-06-30' AND o_orderkey % 7 <> 0")
+    """The ledger on two axes: each customer's order that was valid at an instant (by its date), of those that were recorded
+    by another (an order is recorded with its last shipment; one without lines at once)."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= VALID_AT)
+    o = o.join(shipped, o.o_orderkey == shipped.l_orderkey, "left").where(F.coalesce("shipped", "o_orderdate") <= RECORDED_BY)
     return o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("s"), F.count("*").alias("versions")).select("o_custkey", "s.*", "versions")
 
 
-AS_OF = """SELECT o_custkey, o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_custkey) AS versions FROM orders WHERE o_orderdate <= '1997-06-30' AND o_orderkey % 7 <> 0
-  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+AS_OF = f"""SELECT o_custkey, o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_custkey) AS versions FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+  WHERE o_orderdate <= '{VALID_AT}' AND coalesce(shipped, o_orderdate) <= '{RECORDED_BY}' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
 
 
 def ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,37 @@ QUERIES |= OWN
 _TR = "SELECT key, t, close, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS v FROM b WINDOW w AS (PARTITION BY key ORDER BY t)"
 QUERIES["rec_ema"] = (QUERIES["rec_ema"][0], _recursive("SELECT key, t, close AS v FROM b", 20, "2.0 / 21", "round(e, 6) AS ema"))
 QUERIES["rec_atr"] = (QUERIES["rec_atr"][0], _recursive(_TR, 14, "1.0 / 14", "round(e, 6) AS atr, round(100 * e / close, 6) AS atr_percent"))
+
+
+def _smoothed(name: str, source: str, n: int, alpha: str) -> str:
+    """CTEs that smooth v of source (key, t, v) from its first value on: the mean of n, then a step of alpha towards each."""
+    return f"""{name}_n AS (SELECT key, t, v, row_number() OVER (PARTITION BY key ORDER BY t) AS i FROM {source} WHERE v IS NOT NULL),
+{name}_r AS (SELECT key, i, t, (SELECT avg(v) FROM {name}_n m WHERE m.key = {name}_n.key AND m.i <= {n}) AS e FROM {name}_n WHERE i = {n}
+  UNION ALL SELECT x.key, x.i, x.t, s.e + {alpha} * (x.v - s.e) FROM {name}_r s JOIN {name}_n x ON x.key = s.key AND x.i = s.i + 1),
+{name} AS (SELECT key, t, e AS v FROM {name}_r)"""
+
+
+_BARS = f"WITH RECURSIVE b AS ({BARS_SQL}), closes AS (SELECT key, t, close AS v FROM b), tr AS ({_TR})"
+RSI = f"""{_BARS}, moves AS (SELECT key, t, close - lag(close) OVER (PARTITION BY key ORDER BY t) AS d FROM b),
+ups AS (SELECT key, t, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS v FROM moves), downs AS (SELECT key, t, CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS v FROM moves),
+{_smoothed("u", "ups", 14, "1.0 / 14")}, {_smoothed("w", "downs", 14, "1.0 / 14")}
+SELECT b.key, b.t, CASE WHEN u.v IS NULL THEN NULL WHEN u.v < 1e-9 AND w.v < 1e-9 THEN 50 WHEN w.v < 1e-9 THEN 100 WHEN u.v < 1e-9 THEN 0 ELSE round(100 * u.v / (u.v + w.v), 6) END::DOUBLE AS rsi
+FROM b LEFT JOIN u USING (key, t) LEFT JOIN w USING (key, t)"""
+MACD = f"""{_BARS}, {_smoothed("fast", "closes", 12, "2.0 / 13")}, {_smoothed("slow", "closes", 26, "2.0 / 27")}, gap AS (SELECT key, t, fast.v - slow.v AS v FROM fast JOIN slow USING (key, t)), {_smoothed("sig", "gap", 9, "0.2")}
+SELECT b.key, b.t, round(gap.v, 6) AS macd, round(sig.v, 6) AS signal, round(gap.v - sig.v, 6) AS histogram FROM b LEFT JOIN gap USING (key, t) LEFT JOIN sig USING (key, t)"""
+KELTNER = f"""{_BARS}, {_smoothed("mid", "closes", 20, "2.0 / 21")}, {_smoothed("atr", "tr", 10, "0.1")}
+SELECT b.key, b.t, round(mid.v, 6) AS middle, round(mid.v + 2 * atr.v, 6) AS upper, round(mid.v - 2 * atr.v, 6) AS lower FROM b LEFT JOIN mid USING (key, t) LEFT JOIN atr USING (key, t)"""
+ADX = f"""{_BARS}, step AS (SELECT key, t, coalesce(high - lag(high) OVER w, 0) AS up, coalesce(lag(low) OVER w - low, 0) AS down FROM b WINDOW w AS (PARTITION BY key ORDER BY t)),
+plus AS (SELECT key, t, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS v FROM step), minus AS (SELECT key, t, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS v FROM step),
+{_smoothed("pa", "plus", 14, "1.0 / 14")}, {_smoothed("ma", "minus", 14, "1.0 / 14")}, {_smoothed("ra", "tr", 14, "1.0 / 14")},
+di AS (SELECT key, t, CASE WHEN ra.v >= 1e-9 THEN 100 * pa.v / ra.v END AS p, CASE WHEN ra.v >= 1e-9 THEN 100 * ma.v / ra.v END AS m FROM pa JOIN ma USING (key, t) JOIN ra USING (key, t)),
+since AS (SELECT key, min(t) AS since FROM di WHERE p IS NOT NULL GROUP BY key), dx AS (SELECT key, t, CASE WHEN p + m >= 1e-9 THEN 100 * abs(p - m) / (p + m) ELSE 0 END AS v FROM di JOIN since USING (key) WHERE t >= since), {_smoothed("ax", "dx", 14, "1.0 / 14")}
+SELECT b.key, b.t, round(p, 6) AS plus_di, round(m, 6) AS minus_di, round(ax.v, 6) AS adx FROM b LEFT JOIN di USING (key, t) LEFT JOIN ax USING (key, t)"""
+SUPERTREND = f"""{_BARS}, {_smoothed("atr", "tr", 10, "0.1")}, x AS (SELECT key, t, close, lag(close) OVER (PARTITION BY key ORDER BY t) AS before, (high + low) / 2 AS mid, v AS a FROM b LEFT JOIN atr USING (key, t)),
+y AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS i FROM x WHERE a IS NOT NULL),
+z AS (SELECT key, t, i, mid + 3 * a AS upper, mid - 3 * a AS lower, 1 AS way FROM y WHERE i = 1
+  UNION ALL SELECT y.key, y.t, y.i, CASE WHEN mid + 3 * a < upper OR before > upper THEN mid + 3 * a ELSE upper END, CASE WHEN mid - 3 * a > lower OR before < lower THEN mid - 3 * a ELSE lower END,
+    CASE WHEN close > upper THEN 1 WHEN close < lower THEN -1 ELSE way END FROM z JOIN y ON y.key = z.key AND y.i = z.i + 1)
+SELECT b.key, b.t, round(CASE WHEN way = 1 THEN lower WHEN way = -1 THEN upper END, 6) AS line, way::DOUBLE AS direction FROM b LEFT JOIN z USING (key, t)"""
+for _name, _sql in {"rsi": RSI, "macd": MACD, "keltner": KELTNER, "adx": ADX, "supertrend": SUPERTREND}.items():
+    QUERIES[f"rec_{_name}"] = (QUERIES[f"rec_{_name}"][0], _sql)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.indicators import RUN, full, lagged
-from larkspur.plans.performance import BM25, _terms, bm25, trades
+from larkspur.plans.performance import BM25_ALL, retrieved, trades
 from larkspur.plans.valuation import _MOMENTS, normal_cdf, staged, staged_sql
 from larkspur.sources.roles import BARS_SQL, WIDE_SQL, bars, micros, table, wide_features
 from larkspur.streaming.limits import sliding_limit
@@ -140,39 +140,42 @@ def _split(columns: str) -> list[str]:
 _PAIRS = f"SELECT symbol, count(*) AS n, corr(gu, gv) AS rho, count(*) FILTER (u <= 0.2 AND v <= 0.2) AS joint_low FROM ({staged_sql(WIDE_SQL, _PSEUDO)}) GROUP BY symbol HAVING count(*) >= 8"
 DEPENDENCE = f"SELECT {_TAILS_OUT} FROM ({staged_sql(_PAIRS, _TAILS)})"
 
-FUSED_DEPTH, FUSED_K = 5, 10
-
-
-def cosine_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents nearest to each benchmark text by the cosine of term counts; only shared terms are joined."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(_terms("text")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qf"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    norm = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("dn"))
-    qn = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qf") * F.col("qf")).cast("double")).alias("qn"))
-    dots = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("dot"))
-    scored = dots.join(norm, "doc_id").join(qn, "item_id").select("item_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= FUSED_DEPTH)
+#: Both channels are read down to two fifths of the documents, at least 5 and at most 40; K softens the ranks; cosines up to FLOOR don't count.
+FUSED_SHARE, FUSED_LEAST, FUSED_MOST, FUSED_K, FLOOR = 0.4, 5, 40, 10, 0.02
 
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval: reciprocal ranks of the lexical and the vector channel, summed per document."""
-    both = bm25(spark, sf_dir).select("item_id", "doc_id", "rank").union(cosine_ranks(spark, sf_dir).select("item_id", "doc_id", "rank"))
-    fused = both.groupBy("item_id", "doc_id").agg(F.count("*").alias("channels"), F.round(F.sum(1 / (F.col("rank") + float(FUSED_K))), 8).alias("score"))
+    """Hybrid retrieval: reciprocal ranks of the lexical and the dense channel, weighted by each channel's confidence (how far
+    its best score is above its last), summed per document."""
+    n = table(spark, sf_dir, "documents").count()
+    depth = min(FUSED_MOST, max(FUSED_LEAST, -int(-n * FUSED_SHARE // 1)))
+    both = retrieved(spark, sf_dir, depth).where(f"score > CASE channel WHEN 'dense' THEN {FLOOR} ELSE 0 END")
+    top, least = F.max("score"), F.min("score")
+    sure = both.groupBy("item_id", "channel").agg(F.when(F.count("*") == 1, 1.0).when(top > 0, (top - least) / top).otherwise(0.0).alias("sure"))
+    every = sure.groupBy("item_id").agg(F.sum("sure").alias("total"))
+    weight = F.when(F.col("total") > 0, F.col("sure") / F.col("total")).otherwise(0.5)
+    weights = sure.join(every, "item_id").select("item_id", "channel", weight.alias("weight"))
+    fused = both.join(weights, ["item_id", "channel"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("channels"), F.round(F.sum(F.col("weight") / (F.col("rank") + float(FUSED_K))), 7).alias("score"))
     return fused.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
 
 
 _TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2)"
-FUSION = f"""WITH l AS ({BM25}), q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL), d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
+FUSION = f"""WITH lex AS ({BM25_ALL}), depth AS (SELECT least({FUSED_MOST}, greatest({FUSED_LEAST}, ceil(count(*) * {FUSED_SHARE}))) AS depth FROM documents),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL), d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
 c AS (SELECT item_id, doc_id, round(dot / (dn * qn), 6) AS score FROM (SELECT item_id, doc_id, sum(tf * qf) AS dot FROM d JOIN q USING (term) GROUP BY ALL) JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM d GROUP BY 1) USING (doc_id) JOIN (SELECT item_id, sqrt(sum(qf * qf)) AS qn FROM q GROUP BY 1) USING (item_id)),
-v AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c QUALIFY rank <= {FUSED_DEPTH}),
-f AS (SELECT item_id, doc_id, count(*) AS channels, round(sum(1 / (rank + {FUSED_K}.0::DOUBLE)), 8) AS score FROM (SELECT item_id, doc_id, rank FROM l UNION ALL SELECT item_id, doc_id, rank FROM v) GROUP BY ALL)
+v AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c),
+b AS (SELECT 'lexical' AS channel, item_id, doc_id, score, rank FROM lex WHERE score > 0 UNION ALL SELECT 'dense', item_id, doc_id, score, rank FROM v WHERE score > {FLOOR}),
+k AS (SELECT b.* FROM b CROSS JOIN depth WHERE rank <= depth),
+s AS (SELECT item_id, channel, CASE WHEN count(*) = 1 THEN 1 WHEN max(score) > 0 THEN (max(score) - min(score)) / max(score) ELSE 0 END AS sure FROM k GROUP BY ALL),
+w AS (SELECT item_id, channel, CASE WHEN sum(sure) OVER (PARTITION BY item_id) > 0 THEN sure / sum(sure) OVER (PARTITION BY item_id) ELSE 0.5 END AS weight FROM s),
+f AS (SELECT item_id, doc_id, count(*) AS channels, round(sum(weight / (rank + {FUSED_K}.0::DOUBLE)), 7) AS score FROM k JOIN w USING (item_id, channel) GROUP BY ALL)
 SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS place FROM f"""
 
 
 def slot_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bar's volume against the mean of the same hour in up to ten days before."""
     w = Window.partitionBy("key", F.hour("t")).orderBy("t").rowsBetween(-10, -1)
-    return bars(spark, sf_dir).select("key", "t", F.round(F.col("volume") / F.avg("volume").over(w), 6).alias("relative"))
+    return bars(spark, sf_dir).select("key", "t", F.when(F.avg("volume").over(w) > 0, F.round(F.col("volume") / F.avg("volume").over(w), 6)).alias("relative"))
 
 
 SLOT = f"SELECT key, t, round(volume / avg(volume) OVER (PARTITION BY key, hour(t) ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS relative FROM ({BARS_SQL})"

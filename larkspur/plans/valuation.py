@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.plans.performance import BM25, TRADES, bm25, trades
+from larkspur.plans.performance import BM25_ALL, TRADES, retrieved, trades
 from larkspur.sources.roles import BARS_SQL, bars, table
 
 
@@ -164,20 +164,26 @@ s AS (SELECT l_orderkey, string_agg(CASE WHEN l_returnflag <> 'R' THEN path || '
 SELECT o_orderkey, o_orderstatus, coalesce(state, '') AS state, coalesce(patches, 0) AS patches FROM orders LEFT JOIN s ON l_orderkey = o_orderkey"""
 
 
+#: How many of the documents retrieved for a claim are held against it.
+CLAIM_DEPTH = 40
+
+
 def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims (benchmark texts) against the documents retrieved for them: the share of a claim's terms in one document."""
     terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
-    hits = bm25(spark, sf_dir).select("item_id", "doc_id")
+    hits = retrieved(spark, sf_dir, CLAIM_DEPTH).where("channel = 'lexical'").select("item_id", "doc_id")
     claim = table(spark, sf_dir, "benchmark").select("item_id", terms("text").alias("asked"))
     found = hits.join(claim, "item_id").join(table(spark, sf_dir, "documents").select("doc_id", terms("text").alias("given")), "doc_id")
     share = F.size(F.array_intersect("asked", "given")) / F.size("asked")
-    return found.groupBy("item_id").agg(F.round(F.max(share), 6).alias("coverage"), F.count_if(share >= 0.6).alias("sources")).withColumn("supported", F.col("sources") > 0)
+    covered = found.groupBy("item_id").agg(F.round(F.max(share), 6).alias("coverage"), F.count_if(share >= 0.6).alias("sources"))
+    whole = claim.select("item_id").join(covered, "item_id", "left").fillna({"coverage": 0.0, "sources": 0})
+    return whole.withColumn("supported", F.col("sources") > 0)
 
 
 _TERMS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 2))"
-COVERAGE = f"""WITH hits AS ({BM25}), c AS (SELECT item_id, {_TERMS} AS asked FROM benchmark), g AS (SELECT doc_id, {_TERMS} AS given FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+COVERAGE = f"""WITH hits AS ({BM25_ALL} QUALIFY rank <= {CLAIM_DEPTH}), c AS (SELECT item_id, {_TERMS} AS asked FROM benchmark), g AS (SELECT doc_id, {_TERMS} AS given FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
 s AS (SELECT item_id, len(list_intersect(asked, given)) / len(asked) AS share FROM hits JOIN c USING (item_id) JOIN g USING (doc_id))
-SELECT item_id, round(max(share), 6) AS coverage, count(*) FILTER (share >= 0.6) AS sources, count(*) FILTER (share >= 0.6) > 0 AS supported FROM s GROUP BY item_id"""
+SELECT c.item_id, coalesce(round(max(share), 6), 0) AS coverage, count(*) FILTER (share >= 0.6) AS sources, count(*) FILTER (share >= 0.6) > 0 AS supported FROM c LEFT JOIN s USING (item_id) GROUP BY c.item_id"""
 
 QUERIES = {
     "option_values": (option_values, OPTIONS), "smile_vols": (smile_vols, SMILE), "volume_clock": (volume_clock, CLOCK), "rolling_reversion": (rolling_reversion, REVERSION), "probabilistic_sharpe": (probabilistic_sharpe, SHARPE),
