@@ -1 +1 @@
-"""Column functions."""
+"""Column functions: trading calendar, texts of retrieval, exact quantiles of large groups."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.quantiles import quantiles
 from larkspur.operators.retrieval import best_documents
 from larkspur.sources.roles import EQUITY_SQL, equity, micros, table
 
@@ -60,12 +61,22 @@ METRICS = f"""SELECT strategy, count(*) AS n, round(avg((pnl > 0)::INT), 6) AS w
 
 
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest runs of wins and of losses per strategy, in trade order (gaps and islands)."""
-    w = Window.partitionBy("strategy").orderBy("traded", "id")
-    t = trades(spark, sf_dir).withColumn("win", F.col("pnl") > 0)
+    """The longest runs of wins and of losses per strategy, in trade order: runs per month first, joined at the months' ends."""
+    w = Window.partitionBy("strategy", "month").orderBy("traded", "id")
+    t = trades(spark, sf_dir).withColumn("win", F.coalesce(F.col("pnl") > 0, F.lit(False))).withColumn("month", F.date_trunc("month", "traded"))
     t = t.withColumn("turn", F.when(F.col("win") == F.lag("win").over(w), 0).otherwise(1)).withColumn("island", F.sum("turn").over(w))
-    runs = t.groupBy("strategy", "win", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy("strategy").agg(F.max(F.when(F.col("win"), F.col("n"))).alias("wins"), F.max(F.when(~F.col("win"), F.col("n"))).alias("losses"))
+    runs = t.groupBy("strategy", "month", "win", "island").agg(F.count("*").alias("n"))
+    # A month's first and last run may go on in the months beside it; the others are whole.
+    ends = Window.partitionBy("strategy", "month")
+    runs = runs.withColumn("outer", (F.col("island") == F.min("island").over(ends)) | (F.col("island") == F.max("island").over(ends)))
+    whole = runs.where("not outer").select("strategy", "win", "n")
+    # At most two rows per month are left: runs of equal outcome are joined in order, then islands again.
+    o = Window.partitionBy("strategy").orderBy("month", "island")
+    rest = runs.where("outer").withColumn("again", F.when(F.col("win") == F.lag("win").over(o), 0).otherwise(1))
+    # Between a month's first and last run lie others, unless they are neighbours, so equal ones there are not one run.
+    rest = rest.withColumn("again", F.when((F.lag("month").over(o) == F.col("month")) & (F.col("island") - F.lag("island").over(o) > 1), 1).otherwise(F.col("again")))
+    joined = rest.withColumn("of", F.sum("again").over(o)).groupBy("strategy", "win", "of").agg(F.sum("n").alias("n")).select("strategy", "win", "n")
+    return whole.union(joined).groupBy("strategy").agg(F.max(F.when(F.col("win"), F.col("n"))).alias("wins"), F.max(F.when(~F.col("win"), F.col("n"))).alias("losses"))
 
 
 STREAKS = f"""SELECT strategy, max(CASE WHEN win THEN n END) AS wins, max(CASE WHEN NOT win THEN n END) AS losses FROM (SELECT strategy, win, island, count(*) AS n FROM (SELECT *, sum(turn) OVER (PARTITION BY strategy ORDER BY traded, id) AS island FROM
@@ -75,7 +86,7 @@ STREAKS = f"""SELECT strategy, max(CASE WHEN win THEN n END) AS wins, max(CASE W
 def tail_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value at risk (5 % quantile) and the mean of what lies at or below it, per strategy."""
     t = trades(spark, sf_dir)
-    q = t.groupBy("strategy").agg(F.percentile("pnl", F.lit(0.05)).alias("var"))
+    q = quantiles(t, "strategy", "pnl", {"var": 0.05}).select("strategy", "var")
     return t.join(F.broadcast(q), "strategy").where("pnl <= var").groupBy("strategy").agg(F.round(F.first("var"), 4).alias("var"), F.round(F.avg("pnl"), 4).alias("cvar"), F.count("*").alias("n"))
 
 

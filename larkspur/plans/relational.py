@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.quantiles import quantiles
 from larkspur.sources.roles import ENTITIES_SQL, FEATURES, LONG_SQL, entities, long_features, micros, table
 
 
@@ -235,7 +236,8 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of the seconds between a user's events, by type."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("gap", (micros("ts") - F.lag(micros("ts")).over(w)) / 1e6)
-    return e.where("gap IS NOT NULL").groupBy("event_type").agg(F.count("*").alias("n"), *[F.round(F.percentile("gap", F.lit(q)), 3).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    q = quantiles(e, "event_type", "gap", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return q.select("event_type", "n", *[F.round(p, 3).alias(p) for p in ("p50", "p95", "p99")])
 
 
 LATENCY = """SELECT event_type, count(*) AS n, round(quantile_cont(gap, 0.5), 3) AS p50, round(quantile_cont(gap, 0.95), 3) AS p95, round(quantile_cont(gap, 0.99), 3) AS p99 FROM
