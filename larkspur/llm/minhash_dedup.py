@@ -47,7 +47,7 @@ LEAF = 32
 SAMPLES = 4
 #: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
 #: branch well; they, and all large nodes one level above the last, branch by their differences from the pivot.
-DENSE, MAX_DEPTH = 36, 5
+DENSE, MAX_DEPTH = 36, 4
 #: Documents whose shingles tell, by their counts, which shingles are common: these come last in the order of differences.
 #: The order decides how many meet, never what is found. Longer documents are not drawn.
 COMMON_SAMPLE, COMMON_LENGTH = 2000, 5000
@@ -183,7 +183,7 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
     rows = reps.select(
         F.explode(F.array([F.xxhash64(F.lit(t), F.lit(j), F.element_at("mh", t * FIRST_BRANCHES + j + 1)) for t in range(TREES) for j in range(FIRST_BRANCHES)])).alias("node"), *member[:-1], F.col("doc_id").alias("grp")
     )
-    candidates, found, common = None, None, None
+    candidates, found, common, more = None, None, None, None
     for depth in range(1, MAX_DEPTH + 1):
         groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"))
         nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top")).where("n * n > s2")
@@ -193,6 +193,8 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
         inner = rows.join(nodes.where("leaf").select("node", "top"), "node")
         met = inner.where("grp <> top").alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & _pair() & _near("x", "y", percent))
         met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        # Each level's candidates are written by themselves: one plan for all levels would hold all their broadcasts at once.
+        met = written((met if more is None else met.union(more)).distinct())
         candidates = met if candidates is None else candidates.union(met)
         if not n_large:
             break
@@ -216,10 +218,11 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
         grouped = written(grouped.select("node", "dense", "pivot", *member))
         of_pivot = reps.join(small(pivots.select(F.col("x.doc_id").alias("doc_id")).distinct(), n_large), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("mh").alias("pivot_mh"))
         spread = grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").join(small(of_pivot, 10 * n_large), "pivot").select(_children(F.col("node"), BRANCHES).alias("node"), *member)
+        more = None
         if not grouped.where("dense").isEmpty():
             common = _common(reps, texts, width) if common is None else common
-            children, met, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, common, width, percent)
-            spread, candidates, found = spread.union(children), candidates.union(met), found.union(of_pivots)
+            children, more, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, common, width, percent)
+            spread, found = spread.union(children), found.union(of_pivots)
         rows = written(spread)
     direct = confirmed(candidates.distinct(), texts, width, percent)
     return direct if found is None else direct.union(found)
@@ -253,8 +256,7 @@ def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, common
     ids = written(named.select("doc_id").union(named.select("pivot")).distinct())
     asked = _distinct(texts.join(small(ids, ids.count()), "doc_id", "left_semi"))
     # Most members may have one pivot, so its text is dealt to several tasks.
-    chosen = written(named.select("pivot").distinct())
-    own = asked.toDF("pivot", "own").join(small(chosen, chosen.count()), "pivot", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = asked.toDF("pivot", "own").join(named.select("pivot").distinct(), "pivot", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = named.join(asked, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(own, ["pivot", "salt"]).select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
     kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, n bigint, near array<bigint>, far array<bigint>"
     told = written(pairs.mapInArrow(_differences(width, percent, common), kind))
