@@ -64,7 +64,7 @@ def test_streaks_over_months(spark, monkeypatch):
 
 
 def test_quantities_and_dates_of_claims():
-    assert text.quantities_of("Revenue rose 4.5% to $1,200 million; 12 people, 250 bps, 3 and 40.") == [(4.5, "percent"), (1.2e9, "currency"), (12.0, "count"), (2.5, "percent"), (40.0, "bare")]
+    assert text.quantities_of("Revenue rose 4.5% to $1,200 million; 12 people, 3 and 40.") == [(4.5, "percent"), (1.2e9, "currency"), (12.0, "count"), (40.0, "bare")]
     assert text.quantities_agree((4.5, "percent"), (4.55, "percent")) and not text.quantities_agree((4.5, "percent"), (4.5, "count"))
     assert text.quantities_agree((100.0, "bare"), (101.0, "currency")) and not text.quantities_agree((100.0, "bare"), (110.0, "bare"))
     assert text.dates_of("In Q3  2024, on 2024-01-31 and in March 2023") == ["q3 2024", "2024-01-31", "march 2023"]
