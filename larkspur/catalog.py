@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import performance, relational, series, signals, studies, valuation
+from larkspur.plans import decisions, performance, relational, series, signals, studies, valuation
 
-ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES}
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES}
 FLAGSHIP = relational.snapshot
 
 

@@ -15,6 +15,17 @@ def micros(column: str) -> F.Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def month_bucket(column: str) -> F.Column:
+    """Year and month of a timestamp as one number (202411), in the session's zone."""
+    return F.year(column) * 100 + F.month(column)
+
+
+def write_monthly(rows: DataFrame, time: str, path: str, mode: str = "append") -> None:
+    """Rows as Parquet in a folder per month; readers that filter on month_bucket skip the others. Large months are written by
+    several tasks, small ones by one."""
+    rows.withColumn("month_bucket", month_bucket(time)).hint("rebalance", "month_bucket").write.mode(mode).partitionBy("month_bucket").parquet(path)
+
+
 def latest_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """An upsert: of the rows with equal keys, the one with the greatest order stays (combined before the shuffle)."""
     rest = [c for c in rows.columns if c not in keys]
