@@ -113,17 +113,37 @@ def _kalman(p):
     return {"level": level, "z": z}
 
 
+def _hedge(p):
+    """A close as alpha + beta times the market's, both wandering; the noise of observation follows the innovations."""
+    y, x = p.close.to_numpy(), p.market.to_numpy()
+    state, cov, r, walk = np.array([y[0], 0.0]), np.eye(2), 1e-3, 1e-5
+    out = np.empty((len(y), 4))
+    for i in range(len(y)):
+        h = np.array([1.0, x[i]])
+        cov = cov + walk * np.eye(2)
+        seen = cov @ h
+        explained = h @ seen
+        spread, s = y[i] - h @ state, explained + r
+        gain = seen / s
+        state, cov = state + gain * spread, cov - np.outer(gain, seen)
+        r = max(0.99 * r + 0.01 * (spread * spread - explained), 1e-10)
+        out[i] = *state, spread, spread / np.sqrt(max(s, 1e-12))
+    return dict(zip(("alpha", "beta", "spread", "z"), out.T))
+
+
+#: Recurrences of a key against another series: bars also have its column market.
+RELATIVE = {"hedge": (_hedge, "alpha beta spread z")}
 RECURRENCES = {"ema": (_ema, "ema"), "rsi": (_rsi, "rsi"), "macd": (_macd, "macd signal histogram"), "atr": (_atr, "atr atr_percent"), "keltner": (_keltner, "middle upper lower"), "adx": (_adx, "plus_di minus_di adx"), "supertrend": (_supertrend, "line direction"), "kalman_trend": (_kalman, "level z")}
 
 
-def recurrence(bars: DataFrame, name: str) -> DataFrame:
-    """(key, t, the recurrence's columns, rounded to 6 places, NULL in the warm-up)."""
-    function, columns = RECURRENCES[name]
+def recurrence(bars: DataFrame, name: str, places: int = 6) -> DataFrame:
+    """(key, t, the recurrence's columns, rounded to so many places, NULL in the warm-up)."""
+    function, columns = (RECURRENCES | RELATIVE)[name]
     key = bars.schema["key"].dataType.simpleString()
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("t", ignore_index=True)
-        values = {k: pd.Series(np.round(v, 6)).astype(object).where(np.isfinite(v), None) for k, v in function(p).items()}
+        values = {k: pd.Series(np.round(v, places)).astype(object).where(np.isfinite(v), None) for k, v in function(p).items()}
         return pd.DataFrame({"key": p.key, "t": p.t, **values})
 
     return bars.groupBy("key").applyInPandas(run, f"key {key}, t timestamp, " + ", ".join(f"{c} double" for c in columns.split()))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.plans.signals import DECISION_STEPS, SIGNAL_STEPS, normal_quantile
+from larkspur.operators.recurrences import recurrence
+from larkspur.plans.signals import DECISION_STEPS, SIGNAL_STEPS, normal_quantile, vectors
 from larkspur.plans.valuation import OPTION_STEPS, normal_cdf, staged, staged_sql
 from larkspur.sources.roles import BARS_SQL, bars, month_bucket, table
 
@@ -170,7 +171,40 @@ def month_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUCKETS = "SELECT CAST(strftime(l_shipdate, '%Y%m') AS INT) AS month_bucket, l_returnflag, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL"
 
+
+def hedge_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's close against the mean close of all keys at that time: wandering alpha and beta by a filter, the spread that
+    was not foreseen and its z."""
+    return recurrence(bars(spark, sf_dir).select("key", "t", "close", F.avg("close").over(Window.partitionBy("t")).alias("market")), "hedge", places=4)
+
+
+HEDGE = f"""WITH RECURSIVE b AS (SELECT key, t, close AS y, avg(close) OVER (PARTITION BY t) AS x, row_number() OVER (PARTITION BY key ORDER BY t) AS i FROM ({BARS_SQL})),
+k AS (SELECT key, NULL::TIMESTAMP AS t, 0::BIGINT AS i, y AS a, 0::DOUBLE AS c, 1::DOUBLE AS p11, 0::DOUBLE AS p12, 1::DOUBLE AS p22, 1e-3::DOUBLE AS r, 0::DOUBLE AS spread, 0::DOUBLE AS s FROM b WHERE i = 1
+UNION ALL SELECT key, t, i, a + u / s * e, c + v / s * e, q11 - u * u / s, p12 - u * v / s, q22 - v * v / s, greatest(0.99 * r + 0.01 * (e * e - (s - r)), 1e-10), e, s
+  FROM (SELECT *, u + x * v + r AS s FROM (SELECT b.key, b.t, b.i, b.x, k.a, k.c, k.r, p11 + 1e-5 AS q11, p12, p22 + 1e-5 AS q22, p11 + 1e-5 + p12 * b.x AS u, p12 + (p22 + 1e-5) * b.x AS v, b.y - a - c * b.x AS e FROM k JOIN b ON b.key = k.key AND b.i = k.i + 1)))
+SELECT key, t, round(a, 4) AS alpha, round(c, 4) AS beta, round(spread, 4) AS spread, round(spread / sqrt(greatest(s, 1e-12)), 4) AS z FROM k WHERE i > 0"""
+
+ELBOW_FROM, ELBOW_TO = 2, 8
+
+
+def elbow_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means of the usable vectors for each k: the squared distances within clusters, how far that point lies from the chord
+    of the curve, and which k is chosen (the farthest; the smallest of equals). One row per k; the vectors stay on the executors."""
+    from pyspark.ml.clustering import KMeans
+
+    x = vectors(spark, sf_dir).persist()
+    try:
+        curve = [(k, KMeans(k=k, seed=7, maxIter=15).fit(x).summary.trainingCost) for k in range(ELBOW_FROM, ELBOW_TO + 1)]
+    finally:
+        x.unpersist()
+    (k0, w0), (k1, w1) = curve[0], curve[-1]
+    chord = ((k1 - k0) ** 2 + (w1 - w0) ** 2) ** 0.5
+    far = [abs((w1 - w0) * (k - k0) - (k1 - k0) * (w - w0)) / chord for k, w in curve]
+    return spark.createDataFrame([(k, round(w, 4), round(d, 6), d == max(far) and far.index(d) == i) for i, ((k, w), d) in enumerate(zip(curve, far))], "k int, wcss double, distance double, chosen boolean")
+
+
 QUERIES = {
+    "hedge_ratio": (hedge_ratio, HEDGE), "elbow_clusters": (elbow_clusters, None),
     "implied_volatility": (implied_volatility, IMPLIED), "delta_strikes": (delta_strikes, DELTA_STRIKES), "gated_setups": (gated_setups, SETUPS), "convictions": (convictions, CONVICTIONS),
     "macro_regimes": (macro_regimes, MACRO), "ridge_fit": (ridge_fit, RIDGE), "month_buckets": (month_buckets, BUCKETS),
 }

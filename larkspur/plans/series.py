@@ -164,3 +164,11 @@ z AS (SELECT key, t, i, mid + 3 * a AS upper, mid - 3 * a AS lower, 1 AS way FRO
 SELECT b.key, b.t, round(CASE WHEN way = 1 THEN lower WHEN way = -1 THEN upper END, 6) AS line, way::DOUBLE AS direction FROM b LEFT JOIN z USING (key, t)"""
 for _name, _sql in {"rsi": RSI, "macd": MACD, "keltner": KELTNER, "adx": ADX, "supertrend": SUPERTREND}.items():
     QUERIES[f"rec_{_name}"] = (QUERIES[f"rec_{_name}"][0], _sql)
+
+# The filter of level and drift, a step per bar; the noise of observation is the variance of the key's differences.
+_KALMAN = f"""WITH RECURSIVE b AS (SELECT key, t, close AS v, row_number() OVER (PARTITION BY key ORDER BY t) AS i, close - lag(close) OVER (PARTITION BY key ORDER BY t) AS d FROM ({BARS_SQL})), n AS (SELECT key, greatest(1e-6, coalesce(var_pop(d), 0)) AS r FROM b GROUP BY key),
+k AS (SELECT key, NULL::TIMESTAMP AS t, 0::BIGINT AS i, v AS level, 0::DOUBLE AS drift, 10::DOUBLE AS p11, 0::DOUBLE AS p12, 10::DOUBLE AS p22, 0::DOUBLE AS z FROM b WHERE i = 1
+UNION ALL SELECT key, t, i, ahead + q11 / s * e, drift + q12 / s * e, q11 - q11 / s * q11, q12 - q11 / s * q12, q22 - q12 / s * q12, e / sqrt(s)
+  FROM (SELECT b.key, b.t, b.i, level + drift AS ahead, drift, p11 + 2 * p12 + p22 + 1e-2 AS q11, p12 + p22 AS q12, p22 + 1e-4 AS q22, p11 + 2 * p12 + p22 + 1e-2 + r AS s, b.v - level - drift AS e FROM k JOIN b ON b.key = k.key AND b.i = k.i + 1 JOIN n ON n.key = b.key))
+SELECT key, t, round(level, 6) AS level, round(z, 6) AS z FROM k WHERE i > 0"""
+QUERIES["rec_kalman_trend"] = (QUERIES["rec_kalman_trend"][0], _KALMAN)

@@ -229,7 +229,7 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(ready).select("l_orderkey", "l_linenumber", "held_out", F.col("label").cast("int").alias("returned"), F.round(vector_to_array("probability")[1], 6).alias("score"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
@@ -242,7 +242,7 @@ def cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means of the usable vectors (k 8, seeded): each vector's cluster."""
     from pyspark.ml.clustering import KMeans
 
-    x = _vectors(spark, sf_dir)
+    x = vectors(spark, sf_dir)
     return KMeans(k=8, seed=7, maxIter=15).fit(x).transform(x).select("vec_id", F.col("prediction").alias("cluster"))
 
 
@@ -251,7 +251,7 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
-    x = _vectors(spark, sf_dir)
+    x = vectors(spark, sf_dir)
     out = PCA(k=3, inputCol="features", outputCol="pc").fit(x).transform(x).withColumn("pc", vector_to_array("pc"))
     return out.select("vec_id", *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(3)])
 
