@@ -38,3 +38,13 @@ def test_months_are_pruned(spark, tmp_path):
     some = back.where(F.col("month_bucket") == back.agg(F.min("month_bucket")).first()[0])
     assert 0 < len(some.inputFiles()) <= len(back.inputFiles())
     assert "PartitionFilters: [isnotnull(month_bucket" in some._jdf.queryExecution().toString()
+
+
+def test_elbow_is_farthest_from_the_chord(spark):
+    curve = sorted(decisions.elbow_clusters(spark, SF).collect())
+    x, y = [r.k for r in curve], [r.wcss for r in curve]
+    assert x == list(range(decisions.ELBOW_FROM, decisions.ELBOW_TO + 1))
+    slope = (y[-1] - y[0]) / (x[-1] - x[0])
+    off = [abs(b - y[0] - slope * (a - x[0])) / (1 + slope * slope) ** 0.5 for a, b in zip(x, y)]
+    assert [r.chosen for r in curve] == [i == off.index(max(off)) for i in range(len(off))]
+    assert all(abs(r.distance - o) < 1e-3 for r, o in zip(curve, off))
