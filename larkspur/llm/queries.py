@@ -1,4 +1,4 @@
-"""The registered queries of the ten corpus operators, and SQL for those that SQL can express."""
+"""The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, quality, substring_dedup
+from larkspur.llm import bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, quality, substring_dedup
 from larkspur.llm.common import fold, table
 
 #: Weights of the mix that op2 and the pipeline aim at, by level and name.
@@ -63,8 +63,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept_text")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ids and the text decoded from them, as digests. Null texts have no ids; repeated rows and null doc_ids stay rows."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_near_dedup, op5_language, op6_line_dedup, op7_chat, op8_decontaminate, op9_embedding_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_near_dedup, op5_language, op6_line_dedup, op7_chat, op8_decontaminate, op9_embedding_dedup, op10_substring_dedup, op13_bpe)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
