@@ -203,9 +203,9 @@ def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return texts.dictionary, texts.indices.to_numpy(zero_copy_only=False)
 
 
-def gathered(codes: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of values (one after another, with their sizes) taken by codes: (all values, size of each list taken)."""
-    first = np.cumsum(sizes) - sizes
+def gathered(codes: np.ndarray, values: np.ndarray, sizes: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of values (one after another or from `first` on, with their sizes) taken by codes: (all values, size of each list taken)."""
+    first = np.cumsum(sizes) - sizes if first is None else first
     taken = sizes[codes]
     ends = np.cumsum(taken)
     at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[codes] - (ends - taken), taken)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, quality, substring_dedup
+from larkspur.llm import alignment, bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, quality, substring_dedup
 from larkspur.llm.common import fold, table
 
 #: Weights of the mix that op2 and the pipeline aim at, by level and name.
@@ -63,6 +63,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept_text")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: token groups and links of two tokenizers. Null, empty and irreversible texts have zeros; repeated rows count as documents."""
+    import public_tokenizers as public
+
+    found = alignment.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: ids and the text decoded from them, as digests. Null texts have no ids; repeated rows and null doc_ids stay rows."""
     import public_tokenizers
@@ -73,7 +81,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_near_dedup, op5_language, op6_line_dedup, op7_chat, op8_decontaminate, op9_embedding_dedup, op10_substring_dedup, op13_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_near_dedup, op5_language, op6_line_dedup, op7_chat, op8_decontaminate, op9_embedding_dedup, op10_substring_dedup, op11_alignment, op13_bpe)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
