@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import alignment, bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, quality, substring_dedup
+from larkspur.llm import alignment, bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, phrases, quality, substring_dedup
 from larkspur.llm.common import fold, table
 
 #: Weights of the mix that op2 and the pipeline aim at, by level and name.
@@ -71,6 +71,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2 000 foremost phrases of each lang. Null texts are empty, null langs `und`; ties go by count, then by the phrase's bytes."""
+    found = phrases.collocations(table(spark, sf_dir, "documents"), least=10, words=3, percent=50)
+    return phrases.ranked(found, 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: ids and the text decoded from them, as digests. Null texts have no ids; repeated rows and null doc_ids stay rows."""
     import public_tokenizers
@@ -81,7 +87,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_near_dedup, op5_language, op6_line_dedup, op7_chat, op8_decontaminate, op9_embedding_dedup, op10_substring_dedup, op11_alignment, op13_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_near_dedup, op5_language, op6_line_dedup, op7_chat, op8_decontaminate, op9_embedding_dedup, op10_substring_dedup, op11_alignment, op12_phrases, op13_bpe)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -187,6 +193,24 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 10),
+y AS MATERIALIZED (SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail FROM c JOIN (VALUES (1), (2)) v(j) ON j < k),
+z AS MATERIALIZED (SELECT y.*, f.f AS l FROM y JOIN f ON f.lang = y.lang AND f.phrase = head),
+x AS (SELECT z.*, f.f AS r, (1000000 * a * a) // (l * f.f) AS score FROM z JOIN f ON f.lang = z.lang AND f.phrase = tail),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM x),
+i AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY ALL),
+q AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE nth = 1 AND (around IS NULL OR 100 * around < 50 * a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op4_near_dedup": OP4, "op6_line_dedup": OP6, "op8_decontaminate": OP8, "op9_embedding_dedup": OP9, "op10_substring_dedup": OP10}
+    return {"op2_mixing": OP2, "op4_near_dedup": OP4, "op6_line_dedup": OP6, "op8_decontaminate": OP8, "op9_embedding_dedup": OP9, "op10_substring_dedup": OP10, "op12_phrases": OP12}
