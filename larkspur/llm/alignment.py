@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from array import array
 from pathlib import Path
 
@@ -36,15 +37,15 @@ from larkspur.llm.common import written
 
 #: Counts of so many pairs (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_PAIRS = 4_000_000
-#: Pieces a worker remembers; a longer piece is encoded at each occurrence.
-REMEMBERED, LONG = 1 << 19, 200
+#: Pieces to a generation of what a worker remembers; a longer piece is encoded at each occurrence.
+REMEMBERED, LONG = 1 << 17, 200
 DIFFERENT = array("i", [-1]).tobytes()
 #: A group of more pairs is joined by distinct ids.
 DENSE = 64
 #: Rows of partial counts that a task holds before it passes them on.
 PARTIAL = 1 << 20
 #: Bytes of text aligned together.
-SLICE = 4 << 20
+SLICE = 1 << 20
 META, BREAK = "▁", "\n"
 #: Bytes of an id pair in one number: A above, B below.
 SHIFT = 32
@@ -79,6 +80,8 @@ class Pair:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_str(spec)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=model)
@@ -95,13 +98,15 @@ class Pair:
         if min(map(len, self.bytes_a)) < 1 or len({x for x in self.bytes_a if len(x) == 1}) < 256:
             raise ValueError("A has no token for some byte")
         self.raw_b = pa.array(self.bytes_b, pa.large_binary())
+        # Two generations: what isn't met while the younger one fills up is forgotten.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # What B makes of a line end at the beginning: the space it adds, and the line end.
         self.lead = len(self.b.encode(BREAK))
 
     def fresh(self, pieces: list[str]) -> list[bytes]:
         """A gives every byte back, since it has a token for each; B's bytes are compared, all pieces at once."""
-        of_a = [array("i", x.ids) for x in self.a.encode_batch(pieces, add_special_tokens=False)]
+        of_a = [array("i", x.ids) for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         of_b = [array("i", x[self.lead :]) for x in self.b.encode([BREAK + x for x in pieces], num_threads=1)]
         whole = [x.encode() for x in pieces]
         ids = np.frombuffer(b"".join(of_b), np.int32)
@@ -118,15 +123,14 @@ class Pair:
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         """pieces: distinct."""
-        known = self.known
-        out = [known.get(x) for x in pieces]
+        known, before = self.known, self.before
+        out = [known.get(x) or before.get(x) for x in pieces]
         new = [i for i, x in enumerate(out) if x is None]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
         for i, x in zip(new, self.fresh([pieces[i] for i in new]) if new else (), strict=True):
             out[i] = x
-            if len(pieces[i]) <= LONG and x is not DIFFERENT:
-                known[pieces[i]] = x
+        if len(known) + len(pieces) > REMEMBERED:
+            self.known, self.before = {}, known
+        self.known.update((x, y) for x, y in zip(pieces, out, strict=True) if len(x) <= LONG and y is not DIFFERENT)
         return out
 
     def tokens(self, data: np.ndarray, offs: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
