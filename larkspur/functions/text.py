@@ -1,83 +1,114 @@
-"""Functions on texts of retrieval: sentences, overlapping chunks, stems, quantities and dates that claims are checked by."""
+"""Functions on texts of retrieval: sentences, overlapping chunks, stems, quantities and calendar terms that claims are checked
+by. All are JVM expressions over arrays of tokens or sentences."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters to a chunk.
 CHUNK_CHARS = 420
 
-# Scales and units of quantities, terms of claim categories.
+# Words of scale, units with their kind and divisor, months, tolerances of agreement.
 SCALES = {"trillion": 1e12, "t": 1e12, "billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "mm": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
-UNITS = {"%": "percent", "percent": "percent", "basis points": "percent", "bps": "percent", "x": "multiple", "shares": "count", "people": "count", "positions": "count"}
-QUANTITY = re.compile(r"(\$)?\s*(-?\d[\d,]*(?:\.\d+)?)\s*(trillion|billion|million|thousand|bn|mm|[tbmk])?\s*(%|percent|x|basis points|bps|shares|people|positions)?", re.I)
-DATE = re.compile(r"\b(Q[1-4]\s*\d{4}|FY\s*\d{2,4}|fiscal\s+\d{4}|\d{4}-\d{2}-\d{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})\b", re.I)
-
-
-def sentences(text: F.Column) -> F.Column:
-    """Sentences, cut after a full stop, exclamation or question mark that doesn't follow a digit."""
-    return F.filter(F.transform(F.split(text, r"(?<=[^0-9][.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-
-
-def chunks(text: F.Column, target: int = CHUNK_CHARS) -> F.Column:
-    """Runs of whole sentences of about target characters; each begins with the last sentence of the one before."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit("").alias("last"), F.lit(0).alias("size"))
-
-    def step(s, sentence):
-        full = (s["size"] > 0) & (s["size"] + F.length(sentence) > target)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.concat_ws(" ", s["last"], sentence)).when(s["size"] > 0, F.concat_ws(" ", s["now"], sentence)).otherwise(sentence).alias("now"),
-            sentence.alias("last"),
-            (F.when(full, F.length(s["last"])).otherwise(s["size"]) + F.length(sentence) + 1).alias("size"),
-        )
-
-    return F.aggregate(sentences(text), start, step, lambda s: F.when(s["size"] > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-
-
-def stem(token: F.Column) -> F.Column:
-    """A light English stem, by the end of the word."""
-    n, cut = F.length(token), lambda k: token.substr(F.lit(1), F.length(token) - k)
-    return (
-        F.when(n < 5, token).when(token.endswith("ies"), F.concat(cut(3), F.lit("y"))).when(token.endswith("sses"), cut(2)).when(token.endswith("ing") & (n > 6), cut(3))
-        .when(token.endswith("ed") & (n > 5), cut(2)).when(token.endswith("s") & ~token.endswith("ss") & ~token.endswith("us"), cut(1)).otherwise(token)
-    )
-
-
-def quantities_of(text: str | None) -> list[tuple[float, str]]:
-    """(value, kind) of the quantities in a text; small bare whole numbers are not among them."""
-    out = []
-    for dollar, number, scale, unit in QUANTITY.findall(text or ""):
-        value = float(number.replace(",", "")) * SCALES.get(scale.lower(), 1.0)
-        kind = UNITS.get(unit.lower(), "currency" if dollar else "bare")
-        value = value / 100 if unit.lower() in ("bps", "basis points") else value
-        if kind != "bare" or abs(value) >= 32 or value != int(value):
-            out.append((value, kind))
-    return out
-
-
-def quantities_agree(a: tuple[float, str], b: tuple[float, str]) -> bool:
-    if a[1] != b[1] and "bare" not in (a[1], b[1]):
-        return False
-    most, gap = max(abs(a[0]), abs(b[0])), abs(a[0] - b[0])
-    return gap < 1e-9 if most == 0 else gap / most <= 0.015 or ("percent" in (a[1], b[1]) and gap <= 0.1)
-
-
-def dates_of(text: str | None) -> list[str]:
-    return [re.sub(r"\s+", " ", m.lower()).strip() for m in DATE.findall(text or "")]
-
-
-def _claim_checks(claim: pd.Series, source: pd.Series) -> pd.DataFrame:
-    """Whether each source holds all quantities of a claim, and all its dates; false for a claim without any."""
-    rows = []
-    for c, s in zip(claim, source, strict=True):
-        asked, dates = quantities_of(c), dates_of(c)
-        given, known = (quantities_of(s) if asked else []), (set(dates_of(s)) if dates else set())
-        rows.append((bool(asked) and all(any(quantities_agree(a, g) for g in given) for a in asked), bool(dates) and known.issuperset(dates)))
-    return pd.DataFrame(rows, columns=["numerical", "temporal"])
-
-
-def claim_checks(claim: str, source: str) -> F.Column:
-    return F.pandas_udf(_claim_checks, "numerical boolean, temporal boolean")(claim, source)
+UNITS = {"%": ("percent", 1.0), "percent": ("percent", 1.0), "bps": ("percent", 100.0), "basis points": ("percent", 100.0), "x": ("multiple", 1.0), "shares": ("count", 1.0), "people": ("count", 1.0), "positions": ("count", 1.0)}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+RELATIVE_TOLERANCE, POINT_TOLERANCE, LEAST_BARE = 0.015, 0.1, 32
+
+#: A sentence's end and the beginning of the next: the text between them is one space.
+SENTENCE_END, SENTENCE_BEGIN = r"[^0-9][.!?](?: ?\[[0-9]+\])*", r"[A-Z0-9\x22'(]"
+TOKEN = r"\$?-?[0-9][0-9,]*(?:\.[0-9]+)?|%|[a-z]+"
+
+
+def flat(text: Column) -> Column:
+    """White space in runs of one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D ]+", " "))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: they end with a stop that follows no digit, and any citation marks, before a capital, digit, quote or bracket. Ends
+    are marked twice, since an end may lie in the letter that begins a sentence."""
+    marked = flat(text)
+    for _ in range(2):
+        marked = F.regexp_replace(marked, f"({SENTENCE_END}) ({SENTENCE_BEGIN})", "$1\n$2")
+    return F.filter(F.split(marked, "\n"), lambda s: s != "")
+
+
+def chunks(docs: DataFrame, key: str, text: str, target: int = CHUNK_CHARS) -> DataFrame:
+    """Rows (key, ordinal, chunk): the sentences that begin in the same stretch of target characters, after the last sentence before
+    them. Sentences of a row are placed by a running sum; rows with equal or null keys stay apart."""
+    own = Window.partitionBy("row").orderBy("at")
+    # The number is given before the sentences become rows.
+    s = docs.select(F.col(key), sentences(F.col(text)).alias("all"), F.monotonically_increasing_id().alias("row")).select(key, "row", F.posexplode("all").alias("at", "sentence"))
+    begin = F.sum(F.length("sentence") + 1).over(own) - F.length("sentence") - 1
+    s = s.select(key, "row", "at", "sentence", F.floor(begin / target).alias("stretch"), F.lag("sentence").over(own).alias("before"))
+    c = s.groupBy(key, "row", "stretch").agg(F.min_by("before", "at").alias("before"), F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("own"))
+    ordinal = F.row_number().over(Window.partitionBy("row").orderBy("stretch")) - 1
+    return c.select(key, ordinal.alias("ordinal"), F.concat_ws(" ", "before", F.transform("own", lambda x: x["sentence"])).alias("chunk"))
+
+
+def stem(token: Column) -> Column:
+    """The first step of Porter's algorithm (1980): plurals, then -eed, -ed and -ing after a part that has a vowel, with what is to be
+    restored at the end."""
+    vowel = "(?:[aeiou]|(?<=[^aeiou])y)"
+    one = F.regexp_replace(F.regexp_replace(token, "(ss|i)es$", "$1"), "([^s])s$", "$1")
+    bare = F.regexp_extract(one, f"^(.*{vowel}.*)(?:ed|ing)$", 1)
+    restored = F.when(bare.rlike("(?:at|bl|iz)$"), F.concat(bare, F.lit("e"))).when(bare.rlike(r"([^aeioulsz])\1$"), bare.substr(F.lit(1), F.length(bare) - 1)).when(bare.rlike("^[^aeiou]+[aeiouy][^aeiouwxy]$"), F.concat(bare, F.lit("e"))).otherwise(bare)
+    return F.when(one.endswith("eed"), F.regexp_replace(one, f"^(.*{vowel}[^aeiou].*)eed$", "$1ee")).when(bare != "", restored).otherwise(one)
+
+
+def _map(values: dict[str, object]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def quantities(text: Column) -> Column:
+    """array<struct<value, kind>> of a text, read as tokens: a number, a scale if the next token is one, then a unit of one token or
+    two. Bare whole numbers below LEAST_BARE are left out."""
+    tokens = F.regexp_extract_all(F.regexp_replace(F.lower(flat(text)), r"\$ ", r"\$"), F.lit(f"({TOKEN})"))
+    scales, kinds, divisors = _map(SCALES), _map({k: v[0] for k, v in UNITS.items()}), _map({k: v[1] for k, v in UNITS.items()})
+
+    def read(t: Column) -> Column:
+        numbers = F.filter(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike("[0-9]"))
+
+        def parse(s: Column) -> Column:
+            scale = F.try_element_at(scales, F.get(t, s["i"] + 1))
+            behind = s["i"] + F.when(scale.isNull(), 1).otherwise(2)
+            two = F.concat_ws(" ", F.get(t, behind), F.get(t, behind + 1))
+            unit = F.when(F.try_element_at(kinds, two).isNotNull(), two).otherwise(F.get(t, behind))
+            kind = F.coalesce(F.try_element_at(kinds, unit), F.when(s["x"].startswith("$"), "currency").otherwise("bare"))
+            value = F.regexp_replace(s["x"], "[$,]", "").cast("double") * F.coalesce(scale, F.lit(1.0)) / F.coalesce(F.try_element_at(divisors, unit), F.lit(1.0))
+            return F.struct(value.alias("value"), kind.alias("kind"))
+
+        return F.filter(F.transform(numbers, parse), lambda q: (q["kind"] != "bare") | (F.abs(q["value"]) >= LEAST_BARE) | (q["value"] != F.floor(q["value"])))
+
+    # The tokens are one column's value of each step, not an expression repeated in it.
+    return F.flatten(F.transform(F.array(tokens), read))
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Kinds are equal or one is bare; values differ by RELATIVE_TOLERANCE of the greater at most, percentages by POINT_TOLERANCE."""
+    gap, most = F.abs(a["value"] - b["value"]), F.greatest(F.abs(a["value"]), F.abs(b["value"]))
+    kinds = (a["kind"] == b["kind"]) | (a["kind"] == "bare") | (b["kind"] == "bare")
+    return kinds & ((gap <= RELATIVE_TOLERANCE * most) | (((a["kind"] == "percent") | (b["kind"] == "percent")) & (gap <= POINT_TOLERANCE) & (most > 0)))
+
+
+def calendar_terms(text: Column) -> Column:
+    """Quarters, fiscal years, days and periods relative to now, in lower case; a day written with its month's name becomes an ISO date."""
+    plain = F.lower(flat(text))
+    every = lambda pattern: F.regexp_extract_all(plain, F.lit(rf"\b({pattern})\b"))
+    named = F.transform(every(rf"(?:{'|'.join(MONTHS)}) [0-9]{{1,2}},? [0-9]{{4}}"), lambda d: F.split(F.regexp_replace(d, ",", ""), " "))
+    month = _map({m: f"{i:02}" for i, m in enumerate(MONTHS, 1)})
+    days = F.transform(named, lambda p: F.concat_ws("-", p[2], F.element_at(month, p[0]), F.lpad(p[1], 2, "0")))
+    periods = every("(?:next|last|prior|trailing) (?:twelve months|four quarters|quarter|year)")
+    return F.array_distinct(F.concat(F.transform(every("q[1-4] ?[0-9]{4}"), lambda q: F.regexp_replace(q, " ", "")), every("fy ?[0-9]{2,4}|fiscal [0-9]{4}"), every("[0-9]{4}-[0-9]{2}-[0-9]{2}"), days, periods))
+
+
+def claim_checks(claim: str, source: str) -> Column:
+    """struct<numerical, temporal>: whether the source holds all quantities of the claim, and all its calendar terms; false for a claim
+    without any."""
+    def check(c: Column) -> Column:
+        held = F.forall(c["asked"], lambda a: F.exists(c["given"], lambda g: agree(a, g)))
+        return F.struct(((F.size(c["asked"]) > 0) & held).alias("numerical"), ((F.size(c["dates"]) > 0) & (F.size(F.array_except(c["dates"], c["known"])) == 0)).alias("temporal"))
+
+    sides = F.struct(quantities(F.col(claim)).alias("asked"), quantities(F.col(source)).alias("given"), calendar_terms(F.col(claim)).alias("dates"), calendar_terms(F.col(source)).alias("known"))
+    return F.transform(F.array(sides), check)[0]

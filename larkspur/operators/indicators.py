@@ -60,23 +60,24 @@ def _steps() -> dict[str, list[dict[str, str]]]:
         "chaikin": [{"mfv": f"({MONEY_FLOW}) * volume"}, {"s": full("sum(mfv)", "mfv", 20), "v": full("sum(volume)", "volume", 20)}, {"cmf": "CASE WHEN s IS NULL THEN NULL WHEN v = 0 THEN 0.0 ELSE s / v END"}],
         "session_vwap": [{"tp": TYPICAL}, {"pv": f"sum(tp * volume) {SESSION}", "v": f"sum(volume) {SESSION}"}, {"vwap": "CASE WHEN v > 0 THEN pv / v ELSE tp END"}],
         "relative_volume": [{"m": full("avg(volume)", "volume", 20)}, {"relative_volume": "CASE WHEN m > 0 THEN volume / m END"}],
-        "gap_percent": [prev, {"gap": "CASE WHEN prev > 0 THEN 100 * (open - prev) / prev ELSE 0.0 END"}],
+        "gap_percent": [prev, {"gap": "CASE WHEN prev > 0 THEN 100 * (open - prev) / prev WHEN prev IS NOT NULL THEN 0.0 END"}],
         "distance_high_low": [{"hi": f"max(high) {frame(252)}", "lo": f"min(low) {frame(252)}"}, {"from_high": "CASE WHEN hi > 0 THEN 100 * (close - hi) / hi END", "from_low": "CASE WHEN lo > 0 THEN 100 * (close - lo) / lo END"}],
         "consecutive_closes": [prev, {"way": "CASE WHEN prev IS NULL THEN 0 WHEN close > prev THEN 1 ELSE -1 END"}, {"turn": f"CASE WHEN way = {lagged('way')} THEN 0 ELSE 1 END"}, {"island": f"sum(turn) {SO_FAR}"}, {"streak": "CAST(way * row_number() OVER (PARTITION BY key, island ORDER BY t) AS INT)"}],
         "close_location": [{"location": "CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END"}],
         "trend_slope": [{"i": f"CAST(row_number() {RUN} AS DOUBLE)"}, {"slope": full("regr_slope(close, i)", "close", 20), "m": full("avg(close)", "close", 20)}, {"trend": "CASE WHEN m <> 0 THEN 100 * slope / m END"}],
         "rolling_beta": [
             prev, {"ret": "CASE WHEN prev > 0 THEN close / prev - 1 END"}, {"market": "avg(ret) OVER (PARTITION BY t)"},
-            {"c": full("covar_samp(ret, market)", "ret", 60), "v": full("var_samp(market)", "ret", 60), "ma": full("avg(ret)", "ret", 60), "mm": full("avg(market)", "ret", 60)},
-            {"beta": "CASE WHEN v > 1e-12 THEN c / v END", "alpha": "CASE WHEN v > 1e-12 THEN ma - c / v * mm END"},
+            {"c": full("covar_samp(ret, market)", "ret", 60), "v": full("var_samp(market)", "ret", 60), "ma": full("avg(ret)", "ret", 60), "mm": full("avg(market)", "ret", 60), "vr": full("var_samp(ret)", "ret", 60)},
+            {"beta": "CASE WHEN v > 1e-12 THEN c / v END", "alpha": "CASE WHEN v > 1e-12 THEN ma - c / v * mm END", "correlation": "CASE WHEN v > 1e-12 AND vr > 1e-12 THEN c / sqrt(v * vr) END"},
         ],
         "realised_volatility": [*log_return, {"volatility": f"{full('stddev_samp(ret)', 'ret', 20)} * sqrt(252)"}],
         "garman_klass": [
-            {"o": "ln(open / lag(close, 1) OVER (PARTITION BY key ORDER BY t))", "u": "ln(high / open)", "d": "ln(low / open)", "c": "ln(close / open)"},
-            {"x": "coalesce(o * o, 0.0) + 0.5 * (u - d) * (u - d) - (2 * ln(2.0) - 1) * c * c"}, {"volatility": f"sqrt(greatest({full('avg(x)', 'x', 20)}, 0.0) * 252)"},
+            {"o": "CASE WHEN lag(close, 1) OVER (PARTITION BY key ORDER BY t) > 0 AND open > 0 AND least(high, low, close) > 0 THEN ln(open / lag(close, 1) OVER (PARTITION BY key ORDER BY t)) END", "u": "ln(high / open)", "d": "ln(low / open)", "c": "ln(close / open)"},
+            {"x": "o * o + 0.5 * (u - d) * (u - d) - (2 * ln(2.0) - 1) * c * c"}, {"n": f"count(x) {frame(20)}", "m": f"avg(x) {frame(20)}", "i": f"row_number() {RUN}"},
+            {"volatility": "CASE WHEN i > 20 AND n >= 10 THEN sqrt(greatest(m, 0.0) * 252) END"},
         ],
         "rogers_satchell": [{"x": "ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)"}, {"volatility": f"sqrt(greatest({full('avg(x)', 'x', 20)}, 0.0))"}],
-        "returns": [prev, {"diff": "close - prev", "pct": "CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN 0.0 ELSE (close - prev) / prev END", "log": "CASE WHEN prev > 0 AND close > 0 THEN ln(close / prev) ELSE 0.0 END"}],
+        "returns": [prev, {"diff": "close - prev", "pct": "CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN 0.0 ELSE (close - prev) / prev END", "log": "CASE WHEN prev > 0 AND close > 0 THEN ln(close / prev) WHEN prev IS NOT NULL THEN 0.0 END"}],
     }
 
 

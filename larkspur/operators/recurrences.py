@@ -61,7 +61,11 @@ def _atr(p):
 
 def _keltner(p):
     mid, width = ema(p.close.to_numpy(), 20), 2 * wilder(true_range(p), 10)
-    return {"middle": mid, "upper": mid + width, "lower": mid - width}
+    with np.errstate(all="ignore"):
+        inside = np.where(width < 5e-10, 0.5, (p.close.to_numpy() - mid + width) / (2 * width))
+        wide = np.where(mid < 1e-9, 0.0, 2 * width / mid)
+    unknown = np.isnan(mid) | np.isnan(width)
+    return {"middle": mid, "upper": mid + width, "lower": mid - width, "width": np.where(unknown, np.nan, wide), "percent_b": np.where(unknown, np.nan, inside)}
 
 
 def _adx(p):
@@ -133,7 +137,7 @@ def _hedge(p):
 
 #: Recurrences of a key against another series: bars also have its column market.
 RELATIVE = {"hedge": (_hedge, "alpha beta spread z")}
-RECURRENCES = {"ema": (_ema, "ema"), "rsi": (_rsi, "rsi"), "macd": (_macd, "macd signal histogram"), "atr": (_atr, "atr atr_percent"), "keltner": (_keltner, "middle upper lower"), "adx": (_adx, "plus_di minus_di adx"), "supertrend": (_supertrend, "line direction"), "kalman_trend": (_kalman, "level z")}
+RECURRENCES = {"ema": (_ema, "ema"), "rsi": (_rsi, "rsi"), "macd": (_macd, "macd signal histogram"), "atr": (_atr, "atr atr_percent"), "keltner": (_keltner, "middle upper lower width percent_b"), "adx": (_adx, "plus_di minus_di adx"), "supertrend": (_supertrend, "line direction"), "kalman_trend": (_kalman, "level z")}
 
 
 def recurrence(bars: DataFrame, name: str, places: int = 6) -> DataFrame:

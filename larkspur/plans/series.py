@@ -149,7 +149,8 @@ FROM b LEFT JOIN u USING (key, t) LEFT JOIN w USING (key, t)"""
 MACD = f"""{_BARS}, {_smoothed("fast", "closes", 12, "2.0 / 13")}, {_smoothed("slow", "closes", 26, "2.0 / 27")}, gap AS (SELECT key, t, fast.v - slow.v AS v FROM fast JOIN slow USING (key, t)), {_smoothed("sig", "gap", 9, "0.2")}
 SELECT b.key, b.t, round(gap.v, 6) AS macd, round(sig.v, 6) AS signal, round(gap.v - sig.v, 6) AS histogram FROM b LEFT JOIN gap USING (key, t) LEFT JOIN sig USING (key, t)"""
 KELTNER = f"""{_BARS}, {_smoothed("mid", "closes", 20, "2.0 / 21")}, {_smoothed("atr", "tr", 10, "0.1")}
-SELECT b.key, b.t, round(mid.v, 6) AS middle, round(mid.v + 2 * atr.v, 6) AS upper, round(mid.v - 2 * atr.v, 6) AS lower FROM b LEFT JOIN mid USING (key, t) LEFT JOIN atr USING (key, t)"""
+SELECT b.key, b.t, round(mid.v, 6) AS middle, round(mid.v + 2 * atr.v, 6) AS upper, round(mid.v - 2 * atr.v, 6) AS lower,
+  CASE WHEN atr.v IS NULL THEN NULL WHEN mid.v < 1e-9 THEN 0 ELSE round(4 * atr.v / mid.v, 6) END::DOUBLE AS width, CASE WHEN mid.v IS NULL THEN NULL WHEN 4 * atr.v < 1e-9 THEN 0.5 ELSE round(0.5 + (close - mid.v) / (4 * atr.v), 6) END::DOUBLE AS percent_b FROM b LEFT JOIN mid USING (key, t) LEFT JOIN atr USING (key, t)"""
 ADX = f"""{_BARS}, step AS (SELECT key, t, coalesce(high - lag(high) OVER w, 0) AS up, coalesce(lag(low) OVER w - low, 0) AS down FROM b WINDOW w AS (PARTITION BY key ORDER BY t)),
 plus AS (SELECT key, t, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS v FROM step), minus AS (SELECT key, t, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS v FROM step),
 {_smoothed("pa", "plus", 14, "1.0 / 14")}, {_smoothed("ma", "minus", 14, "1.0 / 14")}, {_smoothed("ra", "tr", 14, "1.0 / 14")},
@@ -165,6 +166,18 @@ SELECT b.key, b.t, round(CASE WHEN way = 1 THEN lower WHEN way = -1 THEN upper E
 for _name, _sql in {"rsi": RSI, "macd": MACD, "keltner": KELTNER, "adx": ADX, "supertrend": SUPERTREND}.items():
     QUERIES[f"rec_{_name}"] = (QUERIES[f"rec_{_name}"][0], _sql)
 
+# By neighbours and frames as joins, apart from the windows of the queries.
+_NUMBERED = f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS i FROM ({BARS_SQL})), j AS (SELECT n.*, o.close AS was FROM b n LEFT JOIN b o ON o.key = n.key AND o.i = n.i - 1)"
+GAP = f"{_NUMBERED} SELECT key, t, CASE WHEN i = 1 THEN NULL WHEN was > 0 THEN round(100 * (open / was - 1), 6) ELSE 0 END AS gap FROM j"
+RETURNS = f"{_NUMBERED} SELECT key, t, round(close - was, 6) AS diff, round(CASE WHEN i > 1 THEN coalesce(close / nullif(was, 0) - 1, 0) END, 6) AS pct, round(CASE WHEN i > 1 THEN CASE WHEN least(was, close) > 0 THEN ln(close) - ln(was) ELSE 0 END END, 6) AS log FROM j"
+GARMAN_KLASS = f"""{_NUMBERED}, x AS (SELECT key, t, i, pow(ln(open) - ln(was), 2) + pow(ln(high) - ln(low), 2) / 2 - (ln(4::DOUBLE) - 1) * pow(ln(close) - ln(open), 2) AS v FROM j WHERE was > 0 AND least(open, high, low, close) > 0)
+SELECT b.key, b.t, (SELECT CASE WHEN b.i > 20 AND count(*) >= 10 THEN round(sqrt(252 * greatest(avg(v), 0)), 6) END FROM x WHERE x.key = b.key AND x.i BETWEEN b.i - 19 AND b.i) AS volatility FROM b"""
+ROLLING_BETA = f"""{_NUMBERED}, r AS (SELECT key, t, i, close / was - 1 AS r FROM j WHERE was > 0), m AS (SELECT t, avg(r) AS m FROM r GROUP BY t), x AS (SELECT r.*, m FROM r JOIN m USING (t)),
+f AS (SELECT b.key, b.t, count(*) AS n, regr_slope(r, m) AS beta, regr_intercept(r, m) AS alpha, corr(r, m) AS correlation, var_samp(m) AS vm, var_samp(r) AS vr FROM x b0 JOIN b ON b.key = b0.key AND b0.i BETWEEN b.i - 59 AND b.i GROUP BY b.key, b.t)
+SELECT b.key, b.t, CASE WHEN n = 60 AND vm > 1e-12 THEN round(beta, 6) END AS beta, CASE WHEN n = 60 AND vm > 1e-12 THEN round(alpha, 6) END AS alpha, CASE WHEN n = 60 AND least(vm, vr) > 1e-12 THEN round(correlation, 6) END AS correlation FROM b LEFT JOIN f USING (key, t)"""
+for _name, _sql in {"gap_percent": GAP, "returns": RETURNS, "garman_klass": GARMAN_KLASS, "rolling_beta": ROLLING_BETA}.items():
+    QUERIES[f"ind_{_name}"] = (QUERIES[f"ind_{_name}"][0], _sql)
+
 # The filter of level and drift, a step per bar; the noise of observation is the variance of the key's differences.
 _KALMAN = f"""WITH RECURSIVE b AS (SELECT key, t, close AS v, row_number() OVER (PARTITION BY key ORDER BY t) AS i, close - lag(close) OVER (PARTITION BY key ORDER BY t) AS d FROM ({BARS_SQL})), n AS (SELECT key, greatest(1e-6, coalesce(var_pop(d), 0)) AS r FROM b GROUP BY key),
 k AS (SELECT key, NULL::TIMESTAMP AS t, 0::BIGINT AS i, v AS level, 0::DOUBLE AS drift, 10::DOUBLE AS p11, 0::DOUBLE AS p12, 10::DOUBLE AS p22, 0::DOUBLE AS z FROM b WHERE i = 1

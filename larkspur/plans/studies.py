@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import calendar, text
-from larkspur.plans.performance import TRADES, trades
+from larkspur.plans.performance import BM25_ALL, TRADES, trades
 from larkspur.plans.signals import FUSION, rank_fusion
 from larkspur.plans.valuation import normal_cdf
 from larkspur.sources.roles import BARS_SQL, bars, table
@@ -116,14 +116,14 @@ def ou_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = x.where("y IS NOT NULL").groupBy("key").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), (F.var_pop("y") - F.pow(F.covar_pop("x", "y"), 2) / F.var_pop("x")).alias("s2")).where("b > 1e-6 AND b < 1 - 1e-6")
     f = f.join(last, "key").selectExpr("key", "now", "b", "a / (1 - b) AS mu", "-ln(b) AS theta", "s2 / (1 - b * b) AS eq2")
     f = f.selectExpr("*", "now - mu AS gap", f"(now - mu) * exp(-theta * {HORIZON}) AS m", f"eq2 * (1 - exp(-2 * theta * {HORIZON})) AS v").selectExpr("*", "(abs(gap) - m) / sqrt(v) AS hi", "(-abs(gap) - m) / sqrt(v) AS lo")
-    return f.selectExpr("key", "round(mu + m, 5) AS expected", "round(v, 3) AS variance", f"round({normal_cdf('hi')} - {normal_cdf('lo')}, 5) AS probability", "round(mu + 2 * sqrt(eq2), 5) AS upper", "round(mu - 2 * sqrt(eq2), 5) AS lower", "round(ln(CAST(2 AS DOUBLE)) / theta, 5) AS bars_to_half", "round(gap / sqrt(eq2), 5) AS z")
+    return f.selectExpr("key", "round(mu + m, 5) AS expected", "round(v, 3) AS variance", f"CASE WHEN abs(gap) < 1e-12 THEN 0.5 ELSE round({normal_cdf('hi')} - {normal_cdf('lo')}, 5) END AS probability", "round(mu + 2 * sqrt(eq2), 5) AS upper", "round(mu - 2 * sqrt(eq2), 5) AS lower", "round(ln(CAST(2 AS DOUBLE)) / theta, 5) AS bars_to_half", "round(gap / sqrt(eq2), 5) AS z")
 
 
 OUTLOOK = f"""WITH x AS (SELECT key, t, close AS x, lead(close) OVER (PARTITION BY key ORDER BY t) AS y FROM ({BARS_SQL})), c AS (SELECT key, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x WHERE y IS NOT NULL GROUP BY key),
 f AS (SELECT key, any_value(b) AS b, any_value(a / (1 - b)) AS mu, -ln(any_value(b)) AS theta, avg((y - a - b * x) * (y - a - b * x)) / (1 - any_value(b * b)) AS eq2 FROM x JOIN c USING (key) WHERE y IS NOT NULL AND b > 1e-6 AND b < 1 - 1e-6 GROUP BY key),
 g AS (SELECT *, arg_max.x AS now FROM f JOIN (SELECT key, max_by(x, t) AS x FROM x GROUP BY key) arg_max USING (key)), h AS (SELECT *, now - mu AS gap, (now - mu) * pow(b, {HORIZON}) AS m, eq2 * (1 - pow(b, 2 * {HORIZON})) AS v FROM g),
 k AS (SELECT *, (abs(gap) - m) / sqrt(v) AS hi, (-abs(gap) - m) / sqrt(v) AS lo FROM h)
-SELECT key, round(mu + m, 5) AS expected, round(v, 3) AS variance, round({normal_cdf('hi')} - {normal_cdf('lo')}, 5) AS probability, round(mu + 2 * sqrt(eq2), 5) AS upper, round(mu - 2 * sqrt(eq2), 5) AS lower, round(ln(2.0::DOUBLE) / theta, 5) AS bars_to_half, round(gap / sqrt(eq2), 5) AS z FROM k"""
+SELECT key, round(mu + m, 5) AS expected, round(v, 3) AS variance, CASE WHEN abs(gap) < 1e-12 THEN 0.5 ELSE round({normal_cdf('hi')} - {normal_cdf('lo')}, 5) END AS probability, round(mu + 2 * sqrt(eq2), 5) AS upper, round(mu - 2 * sqrt(eq2), 5) AS lower, round(ln(2.0::DOUBLE) / theta, 5) AS bars_to_half, round(gap / sqrt(eq2), 5) AS z FROM k"""
 
 ECDF_ROWS = 64
 
@@ -180,22 +180,44 @@ SELECT key, round(coalesce(h, 0.5), 6)::DOUBLE AS hurst FROM (SELECT DISTINCT ke
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks of whole sentences of about 420 characters that overlap by one sentence."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.coalesce("text", F.lit("")))).alias("ordinal", "chunk"))
+    """Documents as chunks: the sentences that begin in one stretch of 420 characters, after the last sentence before them."""
+    d = text.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return d.select("doc_id", "ordinal", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
+# Sentences by words: one ends where a word that ends with a stop, or its citation marks, stands before a word that begins one.
+CHUNKS = rf"""WITH w AS (SELECT doc_id, rowid AS row, string_split_regex(trim(regexp_replace(coalesce(text, ''), '[\x09-\x0D ]+', ' ', 'g')), ' ') AS ws FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
+u AS (SELECT doc_id, row, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+n AS (SELECT *, regexp_matches(word, '[^0-9][.!?](\[[0-9]+\])*$') OR (regexp_matches(word, '^(\[[0-9]+\])+$') AND regexp_matches(coalesce(lag(word) OVER o, ''), '[^0-9][.!?](\[[0-9]+\])*$')) AS stop,
+      regexp_matches(coalesce(lead(word) OVER o, ''), '^[A-Z0-9"''(]') AS opens FROM u WHERE word <> '' WINDOW o AS (PARTITION BY row ORDER BY i)),
+k AS (SELECT *, coalesce(count(*) FILTER (stop AND opens) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM n),
+s AS (SELECT doc_id, row, nth, string_agg(word, ' ' ORDER BY i) AS sentence FROM k GROUP BY doc_id, row, nth),
+b AS (SELECT *, coalesce(sum(length(sentence) + 1) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {text.CHUNK_CHARS} AS stretch, lag(sentence) OVER o AS before FROM s WINDOW o AS (PARTITION BY row ORDER BY nth)),
+c AS (SELECT doc_id, row, stretch, concat_ws(' ', arg_min(before, nth) FILTER (before IS NOT NULL AND nth = first_nth), string_agg(sentence, ' ' ORDER BY nth)) AS chunk FROM (SELECT *, min(nth) OVER (PARTITION BY row, stretch) AS first_nth FROM b) GROUP BY doc_id, row, stretch)
+SELECT doc_id, (row_number() OVER (PARTITION BY row ORDER BY stretch) - 1)::INT AS ordinal, length(chunk)::INT AS n_chars, md5(chunk) AS digest FROM c"""
+
+
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many terms of the documents have each stem, and in how many documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)).alias("term"))
-    per = d.groupBy("doc_id", text.stem(F.col("term")).alias("stem")).agg(F.count("*").alias("n"))
+    # A document's terms are stemmed once each.
+    per = d.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("doc_id", text.stem(F.col("term")).alias("stem")).agg(F.sum("n").alias("n"))
     return per.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
 
 
+# By endings and lengths instead of patterns: y becomes Y where it is no vowel, and the word a string of v and c.
 STEMS = """WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN length(w) < 5 THEN w WHEN w LIKE '%ies' THEN w[:-4] || 'y' WHEN w LIKE '%sses' THEN w[:-3] WHEN w LIKE '%ing' AND length(w) > 6 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) > 5 THEN w[:-3]
-  WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN w[:-2] ELSE w END AS stem FROM t)
-SELECT stem, count(*) AS n, count(DISTINCT doc_id) AS documents FROM s GROUP BY stem"""
+d AS (SELECT DISTINCT w FROM t),
+a AS (SELECT w, CASE WHEN w[-4:] = 'sses' THEN w[:-3] WHEN w[-3:] = 'ies' THEN w[:-3] WHEN w[-2:] = 'ss' THEN w WHEN w[-1:] = 's' AND length(w) > 1 THEN w[:-2] ELSE w END AS o FROM d),
+b AS (SELECT w, CASE WHEN w[-4:] = 'sses' THEN w[:-3] WHEN w[-3:] = 'ies' THEN w[:-3] ELSE o END AS o FROM a),
+c AS (SELECT w, o, CASE WHEN o[-2:] = 'ed' THEN o[:-3] WHEN o[-3:] = 'ing' THEN o[:-4] ELSE '' END AS r, o[:-4] AS e FROM b),
+f AS (SELECT *, translate(regexp_replace(r, '([^aeiou])y', '\1a', 'g'), 'aeiou', 'vvvvv') AS rv, translate(regexp_replace(e, '([^aeiou])y', '\1a', 'g'), 'aeiou', 'vvvvv') AS ev FROM c),
+s AS (SELECT w, CASE WHEN o[-3:] = 'eed' THEN CASE WHEN regexp_matches(ev, 'v[^v]') AND regexp_matches(e, '([aeiou]|[^aeiou]y)[^aeiou]') THEN o[:-2] ELSE o END
+  WHEN NOT contains(rv, 'v') THEN o
+  WHEN r[-2:] IN ('at', 'bl', 'iz') THEN r || 'e'
+  WHEN length(r) > 1 AND r[-1:] = r[-2:-2] AND NOT contains('aeioulsz', r[-1:]) THEN r[:-2]
+  WHEN regexp_matches(r, '^[^aeiou]+[aeiouy].$') AND NOT contains('aeiouwxy', r[-1:]) THEN r || 'e' ELSE r END AS stem FROM f)
+SELECT stem, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t JOIN s USING (w) GROUP BY stem"""
 
 PER_SOURCE, SHOWN = 2, 6
 
@@ -274,8 +296,28 @@ def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("item_id").join(n, "item_id", "left").fillna(0)
 
 
+# Tokens as rows: what follows a number comes by lead(); a claim's quantities meet a source's in a join.
+EVIDENCE = rf"""WITH hits AS ({BM25_ALL} QUALIFY rank <= 40),
+x AS (SELECT 'c' AS side, item_id AS id, lower(trim(regexp_replace(coalesce(text, ''), '[\x09-\x0D ]+', ' ', 'g'))) AS s FROM benchmark UNION ALL SELECT 'd', doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\x09-\x0D ]+', ' ', 'g'))) FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+t AS (SELECT side, id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS i FROM (SELECT side, id, regexp_extract_all(replace(s, '$ ', '$'), '{text.TOKEN}') AS ts FROM x)),
+n AS (SELECT *, lead(tok, 1) OVER o AS t1, lead(tok, 2) OVER o AS t2, lead(tok, 3) OVER o AS t3 FROM t WINDOW o AS (PARTITION BY side, id ORDER BY i)),
+sc(word, factor) AS (VALUES {', '.join(f"('{k}', {v!r}::DOUBLE)" for k, v in text.SCALES.items())}), un(unit, kind, per) AS (VALUES {', '.join(f"('{k}', '{v[0]}', {v[1]}::DOUBLE)" for k, v in text.UNITS.items())}),
+m AS (SELECT n.*, factor, CASE WHEN factor IS NULL THEN t1 ELSE t2 END AS u1, CASE WHEN factor IS NULL THEN t1 || ' ' || t2 ELSE t2 || ' ' || t3 END AS u2 FROM n LEFT JOIN sc ON word = t1 WHERE regexp_matches(tok, '[0-9]')),
+q AS (SELECT m.side, m.id, m.i, CAST(replace(replace(tok, '$', ''), ',', '') AS DOUBLE) * coalesce(factor, 1) / coalesce(b.per, a.per, 1) AS v, coalesce(b.kind, a.kind, CASE WHEN tok[1] = '$' THEN 'currency' ELSE 'bare' END) AS kind FROM m LEFT JOIN un a ON a.unit = u1 LEFT JOIN un b ON b.unit = u2),
+k AS (SELECT * FROM q WHERE kind <> 'bare' OR abs(v) >= {text.LEAST_BARE} OR v <> floor(v)),
+asked AS (SELECT id AS item_id, i, v, kind FROM k WHERE side = 'c'),
+met AS (SELECT DISTINCT h.item_id, h.doc_id, a.i FROM hits h JOIN asked a USING (item_id) JOIN k g ON g.side = 'd' AND g.id = h.doc_id AND (g.kind = a.kind OR 'bare' IN (g.kind, a.kind))
+  AND (abs(g.v - a.v) <= {text.RELATIVE_TOLERANCE} * greatest(abs(g.v), abs(a.v)) OR ('percent' IN (g.kind, a.kind) AND abs(g.v - a.v) <= {text.POINT_TOLERANCE} AND greatest(abs(g.v), abs(a.v)) > 0))),
+need AS (SELECT item_id, count(*) AS needed FROM asked GROUP BY item_id),
+full_n AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS held FROM met GROUP BY ALL) JOIN need USING (item_id) WHERE held = needed),
+p(pattern) AS (VALUES ('q[1-4] ?[0-9]{{4}}'), ('fy ?[0-9]{{2,4}}'), ('fiscal [0-9]{{4}}'), ('[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), ('({'|'.join(text.MONTHS)}) [0-9]{{1,2}},? [0-9]{{4}}'), ('(next|last|prior|trailing) (twelve months|four quarters|quarter|year)')),
+r AS (SELECT side, id, unnest(regexp_extract_all(s, '\b' || pattern || '\b')) AS d FROM x, p),
+e AS (SELECT DISTINCT side, id, CASE WHEN regexp_matches(d, '^q') THEN replace(d, ' ', '') WHEN regexp_matches(d, '^({'|'.join(text.MONTHS)}) ') THEN strftime(strptime(replace(d, ',', ''), '%B %-d %Y'), '%Y-%m-%d') ELSE d END AS d FROM r),
+full_d AS (SELECT h.item_id, h.doc_id FROM hits h JOIN e c ON c.side = 'c' AND c.id = h.item_id LEFT JOIN e g ON g.side = 'd' AND g.id = h.doc_id AND g.d = c.d GROUP BY ALL HAVING count(*) = count(g.d))
+SELECT item_id, count(DISTINCT full_n.doc_id) AS numerical, count(DISTINCT full_d.doc_id) AS temporal FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN full_n USING (item_id) LEFT JOIN full_d USING (item_id) GROUP BY item_id"""
+
 QUERIES = {
     "trading_calendar": (trading_calendar, CALENDAR), "ind_hma": (ind_hma, HMA), "ind_squeeze": (ind_squeeze, SQUEEZE), "ind_aroon": (ind_aroon, AROON_SQL), "ind_crosses": (ind_crosses, CROSSES),
-    "ou_outlook": (ou_outlook, OUTLOOK), "running_ecdf": (running_ecdf, ECDF), "hurst": (hurst, HURST), "chunk_documents": (chunk_documents, None), "stem_counts": (stem_counts, STEMS), "diversified": (diversified, DIVERSIFIED),
-    "kelly_sizes": (kelly_sizes, KELLY), "price_collars": (price_collars, COLLARS), "state_patches": (state_patches, PATCHES), "plateau_decay": (plateau_decay, PLATEAU), "claim_evidence": (claim_evidence, None),
+    "ou_outlook": (ou_outlook, OUTLOOK), "running_ecdf": (running_ecdf, ECDF), "hurst": (hurst, HURST), "chunk_documents": (chunk_documents, CHUNKS), "stem_counts": (stem_counts, STEMS), "diversified": (diversified, DIVERSIFIED),
+    "kelly_sizes": (kelly_sizes, KELLY), "price_collars": (price_collars, COLLARS), "state_patches": (state_patches, PATCHES), "plateau_decay": (plateau_decay, PLATEAU), "claim_evidence": (claim_evidence, EVIDENCE),
 }

@@ -63,21 +63,37 @@ def test_streaks_over_months(spark, monkeypatch):
             assert got[s] == (best[True], best[False])
 
 
-def test_quantities_and_dates_of_claims():
-    assert text.quantities_of("Revenue rose 4.5% to $1,200 million; 12 people, 3 and 40.") == [(4.5, "percent"), (1.2e9, "currency"), (12.0, "count"), (40.0, "bare")]
-    assert text.quantities_agree((4.5, "percent"), (4.55, "percent")) and not text.quantities_agree((4.5, "percent"), (4.5, "count"))
-    assert text.quantities_agree((100.0, "bare"), (101.0, "currency")) and not text.quantities_agree((100.0, "bare"), (110.0, "bare"))
-    assert text.dates_of("In Q3  2024, on 2024-01-31 and in March 2023") == ["q3 2024", "2024-01-31", "march 2023"]
+def test_quantities_and_terms_of_claims(spark):
+    def quantities(x):
+        (r,) = spark.createDataFrame([(x,)], "x string").select(text.quantities(F.col("x")).alias("q")).collect()
+        return [(q.value, q.kind) for q in r.q]
 
+    assert quantities("Revenue rose 4.5% to $1,200 million; 12 people, 3 and 40.") == [(4.5, "percent"), (1.2e9, "currency"), (12.0, "count"), (40.0, "bare")]
+    assert quantities("50 basis points, 25bps, $ 3bn, 2.5x, 7 tigers, 1.5") == [(0.5, "percent"), (0.25, "percent"), (3e9, "currency"), (2.5, "multiple"), (1.5, "bare")] and quantities(None) == []
+    pairs = [((4.5, "percent"), (4.55, "percent"), True), ((4.5, "percent"), (4.5, "count"), False), ((100.0, "bare"), (101.0, "currency"), True), ((100.0, "bare"), (110.0, "bare"), False), ((0.0, "bare"), (0.0, "bare"), True)]
+    kind = "struct<value:double,kind:string>"
+    rows = spark.createDataFrame(pairs, f"a {kind}, b {kind}, ok boolean").select(text.agree(F.col("a"), F.col("b")).alias("got"), "ok").collect()
+    assert all(r.got == r.ok for r in rows)
+    (r,) = spark.createDataFrame([("In Q3  2024, on 2024-01-31, January 5, 2024, FY24 and next quarter; March 2023",)], "x string").select(text.calendar_terms(F.col("x")).alias("d")).collect()
+    assert sorted(r.d) == ["2024-01-05", "2024-01-31", "fy24", "next quarter", "q32024"]
 
-def test_chunks_and_stems(spark):
+
+def test_claims_are_held_against_sources(spark):
+    rows = [("Sales rose 4.5% in Q3 2024.", "In Q3 2024 sales rose 4.52 percent", True, True), ("Sales rose 4.5% in Q3 2024.", "Sales rose 9%", False, False), ("No figures here.", "1 2 3 400", False, False), (None, None, False, False)]
+    got = spark.createDataFrame(rows, "c string, s string, n boolean, t boolean").select(text.claim_checks("c", "s").alias("r"), "n", "t").collect()
+    assert all((r.r.numerical, r.r.temporal) == (r.n, r.t) for r in got)
+
+
+def test_sentences_chunks_and_stems(spark):
     long = " ".join(f"Sentence number {'x' * 40} {w}." for w in "abcdefghijklmnop")
-    rows = spark.createDataFrame([(0, long), (1, ""), (2, "Version 1.2 is out. It works!  Yes? no"), (3, None)], "i int, t string")
-    got = {r.i: r.c for r in rows.select("i", text.chunks(F.coalesce("t", F.lit(""))).alias("c")).collect()}
-    assert got[1] == got[3] == [] and got[2] == ["Version 1.2 is out. It works! Yes? no"]
-    parts = [c.split(". ") for c in got[0]]
-    assert len(parts) > 1 and all(len(c) <= 520 for c in got[0]) and all(a[-1].rstrip(".") == b[0].rstrip(".") for a, b in zip(parts[:-1], parts[1:], strict=True))
-    words = {"studies": "study", "classes": "class", "trading": "trad", "king": "king", "traded": "trad", "stocks": "stock", "status": "status", "gross": "gross", "bus": "bus"}
+    rows = spark.createDataFrame([(0, long), (1, ""), (2, "Version 1.2 is out. It works!  Yes? no. [1] Was 5.1% so. [2] And 7. Next"), (3, None), (None, "A. B. C. d"), (None, "A. B.")], "i int, t string")
+    split = {r.t: r.s for r in rows.select("t", text.sentences(F.col("t")).alias("s")).collect()}
+    assert split[rows.collect()[2].t] == ["Version 1.2 is out.", "It works!", "Yes? no. [1]", "Was 5.1% so. [2]", "And 7. Next"] and split["A. B. C. d"] == ["A.", "B.", "C. d"]
+    got = text.chunks(rows, "i", "t").collect()
+    assert {r.i for r in got} == {0, 2, None} and sorted(r.chunk for r in got if r.i is None) == ["A. B.", "A. B. C. d"]
+    parts = [r.chunk.split(". ") for r in sorted((r for r in got if r.i == 0), key=lambda r: r.ordinal)]
+    assert len(parts) > 1 and all(a[-1].rstrip(".") == b[0].rstrip(".") for a, b in zip(parts[:-1], parts[1:], strict=True))
+    words = {"studies": "studi", "classes": "class", "trading": "trade", "king": "king", "traded": "trade", "stocks": "stock", "gross": "gross", "caresses": "caress", "agreed": "agree", "feed": "feed", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflate", "hopping": "hop", "falling": "fall", "filing": "file", "tanned": "tan", "sized": "size", "crying": "cry"}
     assert {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()} == words
 
 
