@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import trees
 from larkspur.plans.performance import LABELLED, labelled
-from larkspur.plans.signals import normal_quantile
+from larkspur.plans.signals import LINE_INPUTS, fitted_trees, normal_quantile, vectors
 from larkspur.plans.valuation import staged, staged_sql
 from larkspur.sources.roles import BARS_SQL, WIDE_SQL, bars, table, wide_features
 
@@ -128,7 +129,70 @@ def barrier_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELEASE = """SELECT user_id, event_id, max(arrived) OVER w AS released, round((epoch_us(max(arrived) OVER w) - epoch_us(arrived)) / 1e6, 3) AS waited
   FROM (SELECT user_id, event_id, min(ts) AS arrived FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
 
+
+#: Contributions shown one by one.
+SHOWN = 2
+
+
+def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order line, from the boosted trees: the margin, each input's exact Shapley value (path-dependent), the waterfall of the two
+    largest and the others, and what is missing to the margin (at most rounding)."""
+    ready, model = fitted_trees(spark, sf_dir)
+    e = trees.of_spark(model, len(LINE_INPUTS))
+    x = trees.explained(ready.select("l_orderkey", "l_linenumber", *LINE_INPUTS), LINE_INPUTS, e)
+    steps = trees.waterfall("contributions", LINE_INPUTS, e.base, SHOWN)
+    missing = F.abs(F.aggregate("contributions", F.lit(e.base), lambda s, c: s + c) - F.col("margin"))
+    return x.select("l_orderkey", "l_linenumber", F.round("margin", 6).alias("margin"), *[F.round(F.col("contributions")[i], 6).alias(f"by_{c.removeprefix('l_')}") for i, c in enumerate(LINE_INPUTS)],
+        F.transform(steps, lambda s: F.struct(s["feature"].alias("feature"), F.round(s["upto"], 6).alias("upto"))).alias("waterfall"), (missing < 1e-6).alias("adds_up"))
+
+
+def tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per input of the boosted trees: its share of the splits' gain, the mean size of its Shapley values and of its path attributions."""
+    ready, model = fitted_trees(spark, sf_dir)
+    e = trees.of_spark(model, len(LINE_INPUTS))
+    x = trees.explained(ready.select(*LINE_INPUTS), LINE_INPUTS, e)
+    parts = F.arrays_zip(F.array(*[F.lit(c) for c in LINE_INPUTS]).alias("input"), F.array(*[F.lit(float(g / max(e.gains.sum(), 1e-300))) for g in e.gains]).alias("gain"), F.col("contributions").alias("c"), F.col("path_attributions").alias("p"))
+    g = x.select(F.explode(parts).alias("x")).groupBy("x.input", "x.gain").agg(F.avg(F.abs("x.c")).alias("c"), F.avg(F.abs("x.p")).alias("p"))
+    return g.select("input", F.round("gain", 6).alias("gain"), F.round("c", 6).alias("shapley"), F.round("p", 6).alias("path"))
+
+
+def line_counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order line: the least change of its quantity, and of its discount, that turns the trees' decision, null where none does; and
+    whether the trees, asked again with the changed quantity, decide otherwise."""
+    ready, model = fitted_trees(spark, sf_dir)
+    flips = ("l_quantity", "l_discount")
+    x = trees.explained(ready.select("l_orderkey", "l_linenumber", *LINE_INPUTS), LINE_INPUTS, trees.of_spark(model, len(LINE_INPUTS)), flips)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    moved = x.withColumn("changed", F.coalesce("flip_l_quantity", "l_quantity"))
+    again = model.transform(VectorAssembler(inputCols=["changed", *LINE_INPUTS[1:]], outputCol="features").transform(moved))
+    turned = F.when(F.col("flip_l_quantity").isNotNull(), (vector_to_array("probability")[1] > 0.5) != (F.col("margin") > 0))
+    return again.select("l_orderkey", "l_linenumber", F.round(F.col("flip_l_quantity") - F.col("l_quantity"), 6).alias("quantity_change"), F.round(F.col("flip_l_discount") - F.col("l_discount"), 6).alias("discount_change"), turned.alias("verified"))
+
+
+#: Representative rows.
+BACKGROUND = 8
+
+
+def background_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings that stand for all of them: of each cluster the vector nearest to its centre, the smallest id of equals, with the
+    cluster's share of the vectors as its weight."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import vector_to_array
+
+    x = vectors(spark, sf_dir)
+    model = KMeans(k=BACKGROUND, seed=7, maxIter=20).fit(x)
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    near = model.transform(x).select("vec_id", "prediction", vector_to_array("features").alias("v")).withColumn("c", F.get(centres, F.col("prediction")))
+    away = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    g = near.select("prediction", "vec_id", away.alias("away")).groupBy("prediction").agg(F.min(F.struct("away", "vec_id")).alias("best"), F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("total"))
+    return g.crossJoin(F.broadcast(total)).select(F.col("best.vec_id").alias("vec_id"), F.col("n").alias("stands_for"), F.round(F.col("n") / F.col("total"), 6).alias("weight"))
+
+
 QUERIES = {
     "line_attributions": (line_attributions, LINE_ATTRIBUTIONS), "attribution_importance": (attribution_importance, IMPORTANCE), "probability_spread": (probability_spread, SPREAD),
     "vine_dependence": (vine_dependence, VINE), "bars_since": (bars_since, SINCE), "barrier_release": (barrier_release, RELEASE),
+    "tree_contributions": (tree_contributions, None), "tree_importance": (tree_importance, None), "line_counterfactuals": (line_counterfactuals, None), "background_rows": (background_rows, None),
 }

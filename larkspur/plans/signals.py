@@ -215,17 +215,26 @@ PURGED = f"""WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o
 SELECT o_orderkey, CASE WHEN day >= cut THEN 'test' WHEN day + {HORIZON_DAYS} < cut THEN 'train' ELSE 'purged' END AS part FROM o CROSS JOIN c"""
 
 
-def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees for whether a line is returned, fitted on four fifths of the orders and applied to all lines."""
+#: What the trees read of an order line.
+LINE_INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "month"]
+
+
+def fitted_trees(spark: SparkSession, sf_dir: str):
+    """(lines with their inputs, gradient-boosted trees for whether a line is returned): fitted on four fifths of the orders."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    inputs = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "month"]
     x = table(spark, sf_dir, "lineitem").withColumn("month", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("double")).withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
-    x = x.withColumn("held_out", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0)
-    ready = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(x)
-    model = GBTClassifier(maxIter=8, maxDepth=3, seed=7).fit(ready.where("not held_out and label is not null"))
+    x = x.withColumn("held_out", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0).dropna(subset=LINE_INPUTS)
+    ready = VectorAssembler(inputCols=LINE_INPUTS, outputCol="features", handleInvalid="skip").transform(x)
+    return ready, GBTClassifier(maxIter=8, maxDepth=3, seed=7).fit(ready.where("not held_out and label is not null"))
+
+
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient-boosted trees for whether a line is returned, applied to all lines whose inputs are known."""
+    from pyspark.ml.functions import vector_to_array
+
+    ready, model = fitted_trees(spark, sf_dir)
     return model.transform(ready).select("l_orderkey", "l_linenumber", "held_out", F.col("label").cast("int").alias("returned"), F.round(vector_to_array("probability")[1], 6).alias("score"))
 
 
