@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import decisions, explanations, performance, relational, series, signals, studies, valuation
+from larkspur.plans import decisions, explanations, performance, relational, series, signals, studies, surfaces, valuation
 
-ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES, **explanations.QUERIES}
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES, **explanations.QUERIES, **surfaces.QUERIES}
 FLAGSHIP = relational.snapshot
 
 
