@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import trees
+from larkspur.operators import copulas, trees
 from larkspur.plans.performance import LABELLED, labelled
 from larkspur.plans.signals import LINE_INPUTS, fitted_trees, normal_quantile, vectors
 from larkspur.plans.valuation import staged, staged_sql
@@ -191,8 +191,19 @@ def background_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select(F.col("best.vec_id").alias("vec_id"), F.col("n").alias("stands_for"), F.round(F.col("n") / F.col("total"), 6).alias("weight"))
 
 
+def fitted_vines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity: the canonical vine of its monthly quantity, discount and revenue with a family chosen for each edge by likelihood, its
+    log likelihood, and the mean tail dependence of the first tree. An entity has a row a month."""
+    x = wide_features(spark, sf_dir).groupBy("symbol").agg(*[F.collect_list(F.coalesce(c, F.lit(float("nan")))).alias(c) for c in VINE_INPUTS])
+    v = copulas.fitted_vines(x, VINE_INPUTS)
+    edge = lambda e: F.struct(e["tree"].alias("tree"), e["root"].alias("root"), e["other"].alias("other"), e["family"].alias("family"), F.round(e["theta"], 4).alias("theta"), e["nu"].alias("nu"))
+    return v.select("symbol", "n", F.transform("edges", edge).alias("edges"), F.round("loglik", 4).alias("loglik"), F.round("lower_tail", 4).alias("lower_tail"), F.round("upper_tail", 4).alias("upper_tail"))
+
+
+VINE_INPUTS = ["discount", "quantity", "revenue"]
+
 QUERIES = {
     "line_attributions": (line_attributions, LINE_ATTRIBUTIONS), "attribution_importance": (attribution_importance, IMPORTANCE), "probability_spread": (probability_spread, SPREAD),
     "vine_dependence": (vine_dependence, VINE), "bars_since": (bars_since, SINCE), "barrier_release": (barrier_release, RELEASE),
-    "tree_contributions": (tree_contributions, None), "tree_importance": (tree_importance, None), "line_counterfactuals": (line_counterfactuals, None), "background_rows": (background_rows, None),
+    "tree_contributions": (tree_contributions, None), "tree_importance": (tree_importance, None), "line_counterfactuals": (line_counterfactuals, None), "background_rows": (background_rows, None), "fitted_vines": (fitted_vines, None),
 }
