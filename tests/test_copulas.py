@@ -20,6 +20,7 @@ def test_distributions_have_known_values():
     assert abs(float(c.t_distribution(2.228138852, 10.0)) - 0.975) < 1e-9
     p = np.array([1e-6, 0.01, 0.3, 0.5, 0.9, 0.9999])
     assert all(np.abs(c.t_distribution(c.t_inverse(p, n), n) - p).max() < 1e-10 for n in (1.0, 3.0, 4.5, 30.0))
+    assert all(np.abs(c.t_scores(p, n) / np.where(p == 0.5, 1, c.t_inverse(p, n)) - (p != 0.5)).max() < 1e-6 for n in (3.0, 15.0))
     assert abs(float(c.normal_pair_distribution(0.0, 0.0, 0.5)) - 1 / 3) < 1e-12 and abs(float(c.normal_pair_distribution(0.0, 0.0, -0.8)) - (0.25 + math.asin(-0.8) / (2 * math.pi))) < 1e-12
     assert abs(float(c.normal_pair_distribution(1.0, 9.0, 0.3)) - 0.8413447460685429) < 1e-12
 
