@@ -5,7 +5,8 @@ positive and tags negative; one linear scan finds the contiguous run of tokens w
 widened to whole blocks of text. Scores are weights from labelled pages: pages that mark their content with an article
 or main element say, per kind of tag and per element that words stand in (a link, a paragraph, a menu), how much more
 often it is found inside than outside. So the words of a list of links cost, wherever they stand; on a page with an
-article or main element, all words outside of it cost. What stands in known boilerplate elements costs little, so a run
+article or main element, all words outside of it cost (where there is a main element, it alone). A page without either that writes
+most words straight into boxes such as div keeps them, whatever boxes hold on the labelled pages. What stands in known boilerplate elements costs little, so a run
 may cross a notice or form inside an article; it is left out when the run is rendered block by block.
 
 Defined results: null or empty html, and pages without a word that scores, give an empty text; a tag whose quotes don't
@@ -31,6 +32,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
+MAIN = re.compile(r"<main[\s>/]", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v ]+")
 
 #: Fixed lists: elements that end a block of text, void elements, elements of boilerplate, words of their classes.
@@ -47,6 +49,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Elements that a start tag closes where they are still open (HTML's implied end tags).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT = frozenset(("article", "main"))
+#: Boxes that say nothing of what they hold, and elements of running text, which no name makes boilerplate inside an article.
+BOXES = frozenset(f"@{x}" for x in "body center dd div fieldset section table tbody td tr".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: What a word in a box scores on a page that writes most of its words straight into boxes.
+BOX_WORD = 0.5
 #: What a token inside a boilerplate element costs (nothing inside an article or main element); what a tag inside an
 #: article or main element, and an unknown tag, costs; what a word of a page's title adds.
 BOILERPLATE_COST, CONTENT_TAG, UNKNOWN_TAG, TITLE_WORD = 0.05, -0.1, -0.5, 3.0
@@ -65,7 +72,7 @@ def _names_boilerplate(value: str, content: bool) -> bool:
     return False
 
 
-def _marks(attributes: str, content: bool) -> bool:
+def _marks(attributes: str, content: bool, running: bool = False) -> bool:
     """Whether a tag's attributes say boilerplate or hidden."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
@@ -75,7 +82,7 @@ def _marks(attributes: str, content: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and _names_boilerplate(value, content):
+        if name in ("class", "id") and not running and _names_boilerplate(value, content):
             return True
     return False
 
@@ -85,13 +92,15 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     stands in (a link or the nearest block), or the tag's name with a slash where it closes."""
     out, stack, noise, content, links = [], [], 0, 0, 0
     open_: dict[str, int] = {}
+    # Where a page has a main element, an article elsewhere (a reader's comment, a teaser) isn't its content.
+    holding = frozenset(("main",)) if MAIN.search(page) else CONTENT
 
     def close():
         nonlocal noise, content, links
         name, own, _ = stack.pop()
         open_[name] -= 1
         noise -= own
-        content -= name in CONTENT
+        content -= name in holding
         links -= name == "a"
 
     for m in TOKEN.finditer(page):
@@ -114,7 +123,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         closes = CLOSED_BY.get(name, {"p"} if name in BLOCKS else ())
         if stack and stack[-1][0] in closes:
             close()
-        own = name in BOILERPLATE and not (name in ("header", "label") and content) or _marks(attributes, content > 0)
+        own = name in BOILERPLATE and not (name in ("header", "label") and content) or _marks(attributes, content > 0, content > 0 and name in RUNNING)
         if name in CONTENT or name in ("body", "html"):
             own = False
         out.append((name, "", noise + own > 0, content > 0))
@@ -122,7 +131,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             stack.append((name, int(own), f"@{name}" if name in BLOCKS or own else stack[-1][2] if stack else "@body"))
             open_[name] = open_.get(name, 0) + 1
             noise += own
-            content += name in CONTENT
+            content += name in holding
             links += name == "a"
     return out
 
@@ -130,12 +139,19 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 def scores(page: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> list[float]:
     """What each token adds to a run."""
     labelled, out = any(t[3] for t in page), []
+    boxes = {}
+    if not labelled:
+        count: dict[bool, int] = {True: 0, False: 0}
+        for kind, text, boilerplate, _ in page:
+            if kind[0] == "@" and not boilerplate and (kind in BOXES or weights.get(kind, 1.0) > 0):
+                count[kind in BOXES] += len(text.split())
+        boxes = dict.fromkeys(BOXES, BOX_WORD) if count[True] > count[False] else {}
     for kind, text, boilerplate, content in page:
         n = len(text.split()) if kind[0] == "@" else 1
         if boilerplate:
             out.append(0.0 if content else -BOILERPLATE_COST * n)
         elif kind[0] == "@":
-            out.append(n * ((1.0 if content else weights.get("outside", -1.0)) if labelled else weights.get(kind, 1.0) * (TITLE_WORD if kind == "@h1" else 1.0)))
+            out.append(n * ((1.0 if content else weights.get("outside", -1.0)) if labelled else max(weights.get(kind, 1.0), boxes.get(kind, -1.0)) * (TITLE_WORD if kind == "@h1" else 1.0)))
         else:
             out.append(CONTENT_TAG if content else weights.get(kind, UNKNOWN_TAG))
     return out
