@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import calendar, text
+from larkspur.operators import covariances
 from larkspur.plans.performance import BM25_ALL, TRADES, trades
-from larkspur.plans.signals import FUSION, rank_fusion
+from larkspur.plans.signals import FUSION, rank_fusion, vectors
 from larkspur.plans.valuation import normal_cdf
 from larkspur.sources.roles import BARS_SQL, bars, table
 
@@ -316,8 +317,32 @@ e AS (SELECT DISTINCT side, id, CASE WHEN regexp_matches(d, '^q') THEN replace(d
 full_d AS (SELECT h.item_id, h.doc_id FROM hits h JOIN e c ON c.side = 'c' AND c.id = h.item_id LEFT JOIN e g ON g.side = 'd' AND g.id = h.doc_id AND g.d = c.d GROUP BY ALL HAVING count(*) = count(g.d))
 SELECT item_id, count(DISTINCT full_n.doc_id) AS numerical, count(DISTINCT full_d.doc_id) AS temporal FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN full_n USING (item_id) LEFT JOIN full_d USING (item_id) GROUP BY item_id"""
 
+
+def embedding_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample covariances of the places of the embeddings, of the vectors that are whole and of the commonest length."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = vectors(spark, sf_dir).select(vector_to_array("features").alias("v"))
+    return covariances.covariance(x, "v").select("i", "j", F.round("covariance", 9).alias("covariance"))
+
+
+COVARIANCE = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT * FROM e WHERE len(v) = (SELECT arg_max(d, n) FROM (SELECT len(v) AS d, count(*) AS n FROM e GROUP BY 1))), u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM w)
+SELECT a.k::INT AS i, b.k::INT AS j, round(covar_samp(a.x, b.x), 9) AS covariance FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY 1, 2"""
+
+
+def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the embeddings in order of variance, their share of it, and whether they are among the fewest that explain 0.9."""
+    from pyspark.ml.functions import vector_to_array
+
+    e = covariances.explained(covariances.covariance(vectors(spark, sf_dir).select(vector_to_array("features").alias("v")), "v"))
+    enough = covariances.components_for(e)
+    return e.select("component", F.round("variance", 9).alias("variance"), F.round("share", 6).alias("share"), F.round("cumulative", 6).alias("cumulative"), (F.col("component") <= enough).alias("needed"))
+
+
 QUERIES = {
     "trading_calendar": (trading_calendar, CALENDAR), "ind_hma": (ind_hma, HMA), "ind_squeeze": (ind_squeeze, SQUEEZE), "ind_aroon": (ind_aroon, AROON_SQL), "ind_crosses": (ind_crosses, CROSSES),
     "ou_outlook": (ou_outlook, OUTLOOK), "running_ecdf": (running_ecdf, ECDF), "hurst": (hurst, HURST), "chunk_documents": (chunk_documents, CHUNKS), "stem_counts": (stem_counts, STEMS), "diversified": (diversified, DIVERSIFIED),
     "kelly_sizes": (kelly_sizes, KELLY), "price_collars": (price_collars, COLLARS), "state_patches": (state_patches, PATCHES), "plateau_decay": (plateau_decay, PLATEAU), "claim_evidence": (claim_evidence, EVIDENCE),
+    "embedding_covariance": (embedding_covariance, COVARIANCE), "explained_variance": (explained_variance, None),
 }
