@@ -149,7 +149,11 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     its best score is above its last), summed per document."""
     n = table(spark, sf_dir, "documents").count()
     depth = min(FUSED_MOST, max(FUSED_LEAST, -int(-n * FUSED_SHARE // 1)))
-    both = retrieved(spark, sf_dir, depth).where(f"score > CASE channel WHEN 'dense' THEN {FLOOR} ELSE 0 END")
+    return fused(retrieved(spark, sf_dir, depth).where(f"score > CASE channel WHEN 'dense' THEN {FLOOR} ELSE 0 END"))
+
+
+def fused(both: DataFrame) -> DataFrame:
+    """Of the hits of two channels (channel, item_id, doc_id, score, rank): one row for each text and document, with its score and place."""
     top, least = F.max("score"), F.min("score")
     sure = both.groupBy("item_id", "channel").agg(F.when(F.count("*") == 1, 1.0).when(top > 0, (top - least) / top).otherwise(0.0).alias("sure"))
     every = sure.groupBy("item_id").agg(F.sum("sure").alias("total"))
@@ -160,16 +164,18 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2)"
-FUSION = f"""WITH lex AS ({BM25_ALL}), depth AS (SELECT least({FUSED_MOST}, greatest({FUSED_LEAST}, ceil(count(*) * {FUSED_SHARE}))) AS depth FROM documents),
-q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL), d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
-c AS (SELECT item_id, doc_id, round(dot / (dn * qn), 6) AS score FROM (SELECT item_id, doc_id, sum(tf * qf) AS dot FROM d JOIN q USING (term) GROUP BY ALL) JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM d GROUP BY 1) USING (doc_id) JOIN (SELECT item_id, sqrt(sum(qf * qf)) AS qn FROM q GROUP BY 1) USING (item_id)),
-v AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c),
-b AS (SELECT 'lexical' AS channel, item_id, doc_id, score, rank FROM lex WHERE score > 0 UNION ALL SELECT 'dense', item_id, doc_id, score, rank FROM v WHERE score > {FLOOR}),
+#: From the hits of both channels, lex and v, on.
+FUSED = f"""b AS (SELECT 'lexical' AS channel, item_id, doc_id, score, rank FROM lex WHERE score > 0 UNION ALL SELECT 'dense', item_id, doc_id, score, rank FROM v WHERE score > {FLOOR}),
 k AS (SELECT b.* FROM b CROSS JOIN depth WHERE rank <= depth),
 s AS (SELECT item_id, channel, CASE WHEN count(*) = 1 THEN 1 WHEN max(score) > 0 THEN (max(score) - min(score)) / max(score) ELSE 0 END AS sure FROM k GROUP BY ALL),
 w AS (SELECT item_id, channel, CASE WHEN sum(sure) OVER (PARTITION BY item_id) > 0 THEN sure / sum(sure) OVER (PARTITION BY item_id) ELSE 0.5 END AS weight FROM s),
 f AS (SELECT item_id, doc_id, count(*) AS channels, round(sum(weight / (rank + {FUSED_K}.0::DOUBLE)), 7) AS score FROM k JOIN w USING (item_id, channel) GROUP BY ALL)
 SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS place FROM f"""
+FUSION = f"""WITH lex AS ({BM25_ALL}), depth AS (SELECT least({FUSED_MOST}, greatest({FUSED_LEAST}, ceil(count(*) * {FUSED_SHARE}))) AS depth FROM documents),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL), d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
+c AS (SELECT item_id, doc_id, round(dot / (dn * qn), 6) AS score FROM (SELECT item_id, doc_id, sum(tf * qf) AS dot FROM d JOIN q USING (term) GROUP BY ALL) JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM d GROUP BY 1) USING (doc_id) JOIN (SELECT item_id, sqrt(sum(qf * qf)) AS qn FROM q GROUP BY 1) USING (item_id)),
+v AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c),
+{FUSED}"""
 
 
 def slot_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
