@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import books, decisions, explanations, ledgers, performance, relational, series, signals, studies, surfaces, valuation
+from larkspur.plans import books, decisions, explanations, features, ledgers, performance, relational, series, signals, studies, surfaces, valuation
 
-ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES, **explanations.QUERIES, **surfaces.QUERIES, **ledgers.QUERIES, **books.QUERIES}
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES, **explanations.QUERIES, **surfaces.QUERIES, **ledgers.QUERIES, **books.QUERIES, **features.QUERIES}
 FLAGSHIP = relational.snapshot
 
 
