@@ -32,6 +32,36 @@ def latest_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
+def _like(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch with the table's columns and kinds; columns that it lacks are null, others are left out."""
+    given = set(batch.columns)
+    return batch.select(*[(F.col(c) if c in given else F.lit(None)).cast(kind).alias(c) for c, kind in table.dtypes])
+
+
+def upserted(table: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The table after a batch of upserts: of the batch's rows with equal keys the one with the greatest order, and no older row of
+    the table with these keys. Null is a key like others. The same batch again changes nothing. Rows of the table are shuffled
+    once by their keys; where the batch is small, it is sent to them instead."""
+    newest = latest_wins(_like(table, batch), keys, order)
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return table.alias("t").join(newest.select(*keys).alias("b"), same, "left_anti").unionByName(newest.select(*table.columns))
+
+
+def inserted(table: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The table after inserts that leave rows alone which are already there: of new keys, the batch's row with the least order."""
+    own = _like(table, batch)
+    rest = [c for c in own.columns if c not in keys]
+    first = own.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return table.unionByName(first.alias("b").join(table.select(*keys).alias("t"), same, "left_anti").select(*table.columns))
+
+
+def replaced(table: DataFrame, batch: DataFrame, owner: str) -> DataFrame:
+    """The table after all rows of each owner in the batch are replaced by the batch's (a document's chunks, a signal's drivers)."""
+    own = _like(table, batch)
+    return table.alias("t").join(own.select(owner).distinct().alias("b"), F.col(f"t.{owner}").eqNullSafe(F.col(f"b.{owner}")), "left_anti").unionByName(own)
+
+
 def ohlcv(ticks: DataFrame, key: str, time: str, tie: str, price: str, unit: str = "hour", size: F.Column | None = None) -> DataFrame:
     """Ticks to bars (key, t, open, high, low, close, volume)."""
     order = F.struct(time, tie)
