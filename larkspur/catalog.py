@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import books, decisions, explanations, features, ledgers, performance, relational, reversions, series, signals, studies, surfaces, valuation, writes
+from larkspur.plans import books, decisions, explanations, features, ledgers, performance, relational, reversions, series, signals, states, studies, surfaces, valuation, writes
 
-ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES, **explanations.QUERIES, **surfaces.QUERIES, **ledgers.QUERIES, **books.QUERIES, **features.QUERIES, **reversions.QUERIES, **writes.QUERIES}
+ALL = {**relational.QUERIES, **series.QUERIES, **performance.QUERIES, **valuation.QUERIES, **signals.QUERIES, **studies.QUERIES, **decisions.QUERIES, **explanations.QUERIES, **surfaces.QUERIES, **ledgers.QUERIES, **books.QUERIES, **features.QUERIES, **reversions.QUERIES, **writes.QUERIES, **states.QUERIES}
 FLAGSHIP = relational.snapshot
 
 
