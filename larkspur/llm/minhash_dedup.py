@@ -11,9 +11,10 @@ independent trees run side by side. All candidate pairs are confirmed on the ful
 Minimums hardly tell the members of a dense node apart. Such a node branches by shingles in which its members
 differ from the pivot p: let D(x) hold the shingles of just one of x and p. For sizes |x|, |y| and similarity s, a
 link needs |D(x) - D(y)| + |D(y) - D(x)| <= r (|x| + |y|), r = (1 - s) / (1 + s). So a linked pair that isn't wholly linked with
-the pivot shares more than (|D(y)| - r (|y| - |p|)) / 2 of D(y), and as a rule none of its many members share that: the
-child keys are the first shingles of D in a common order, just as many as must hold a shared one. No linked
-pair is lost there, and a family takes rows in proportion to its differences, not to its pairs.
+the pivot shares more than (|D(y)| - r (|y| - |p|)) / 2 of D(y), and as a rule few of its many members share that: D is put
+in order, those first that the fewest members' D hold, and two members meet at a shingle only if as much of both D is left
+from there on as they must share. No linked pair is lost there. Such a node ends there, whatever its size: rows are
+as many as its differences, and pairs as many as meet at rare ones.
 
 At a similarity of 0.8 a pair shares a child with probability 1 - 0.2^3 in each tree's first level and
 1 - 0.2^2 on later ones; three trees find it with probability above 1 - 1e-5 at any depth used here.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnp as tx
@@ -46,11 +47,10 @@ LEAF = 32
 #: Random members of a large node that its pivot should be near.
 SAMPLES = 4
 #: Large nodes whose members differ from random ones in this many bits of the sketch or fewer, on average, do not
-#: branch well; they, and all large nodes one level above the last, branch by their differences from the pivot.
+#: branch well; they, and all large nodes one level above the last, are compared by their differences from the pivot.
 DENSE, MAX_DEPTH = 36, 4
-#: Documents whose shingles tell, by their counts, which shingles are common: these come last in the order of differences.
-#: The order decides how many meet, never what is found. Longer documents are not drawn.
-COMMON_SAMPLE, COMMON_LENGTH = 2000, 5000
+#: Differences that a task hands on at once.
+HANDED = 1_000_000
 #: Tasks that the members of one pivot are dealt to, at most.
 SALTS = 32
 
@@ -183,18 +183,18 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
     rows = reps.select(
         F.explode(F.array([F.xxhash64(F.lit(t), F.lit(j), F.element_at("mh", t * FIRST_BRANCHES + j + 1)) for t in range(TREES) for j in range(FIRST_BRANCHES)])).alias("node"), *member[:-1], F.col("doc_id").alias("grp")
     )
-    candidates, found, common, more = None, None, None, None
-    for depth in range(1, MAX_DEPTH + 1):
+    candidates, found = None, None
+    for depth in range(1, MAX_DEPTH):
         groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"))
         nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top")).where("n * n > s2")
         work = (F.col("n") * F.col("n") - F.col("s2")) / 2
-        nodes = written(nodes.select("node", "top", ((work <= F.col("n") * LEAF / 2) | F.lit(depth == MAX_DEPTH)).alias("leaf"), "n"))
+        nodes = written(nodes.select("node", "top", (work <= F.col("n") * LEAF / 2).alias("leaf"), "n"))
         n_large = nodes.where("not leaf").count()
         inner = rows.join(nodes.where("leaf").select("node", "top"), "node")
         met = inner.where("grp <> top").alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & _pair() & _near("x", "y", percent))
         met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         # Each level's candidates are written by themselves: one plan for all levels would hold all their broadcasts at once.
-        met = written((met if more is None else met.union(more)).distinct())
+        met = written(met.distinct())
         candidates = met if candidates is None else candidates.union(met)
         if not n_large:
             break
@@ -218,91 +218,75 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
         grouped = written(grouped.select("node", "dense", "pivot", *member))
         of_pivot = reps.join(small(pivots.select(F.col("x.doc_id").alias("doc_id")).distinct(), n_large), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("mh").alias("pivot_mh"))
         spread = grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").join(small(of_pivot, 10 * n_large), "pivot").select(_children(F.col("node"), BRANCHES).alias("node"), *member)
-        more = None
         if not grouped.where("dense").isEmpty():
-            common = _common(reps, texts, width) if common is None else common
-            children, more, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, common, width, percent)
-            spread, found = spread.union(children), found.union(of_pivots)
-        rows = written(spread)
+            met, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, width, percent)
+            candidates, found = candidates.union(met), found.union(of_pivots)
+        if depth < MAX_DEPTH - 1:
+            rows = written(spread)
     direct = confirmed(candidates.distinct(), texts, width, percent)
     return direct if found is None else direct.union(found)
 
 
-def _common(reps: DataFrame, texts: DataFrame, width: int) -> np.ndarray:
-    """Shingles of at least three of about COMMON_SAMPLE documents, and how many hold each."""
-    n = reps.count()
-    draw = F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, COMMON_SAMPLE / max(n, 1))))
-    drawn = reps.where(draw & (F.col("n_shingles") <= COMMON_LENGTH)).select("doc_id")
-
-    def of_sample(batches):
-        for batch in batches:
-            offs, data = tx.text_buffers(batch.column(0))
-            for at, to in tx.row_slices(offs):
-                sets = list(shingle_sets(offs[at : to + 1] - offs[at], data[offs[at] : offs[to]], width))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["e"])
-
-    counts = _distinct(texts.join(small(drawn, 2 * COMMON_SAMPLE), "doc_id", "left_semi")).select("text").mapInArrow(of_sample, "e bigint").groupBy("e").agg(F.count("*").alias("c")).where("c > 2")
-    rows = counts.orderBy(F.desc("c"), "e").limit(100_000).collect()
-    return np.array(sorted((r.e, r.c) for r in rows), np.int64).reshape(-1, 2)
-
-
-def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, common: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) to the members of child nodes named by differences from the pivot, more
-    candidates (a, b), and the links (a, b) of pivots. Nodes whose pivots are linked are taken together, so that a family is dealt once."""
+def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) to candidates (a, b), which hold all links of members of one pivot but those of
+    its family, and the links (a, b) of pivots. Nodes whose pivots are linked are taken together, so that a family is dealt once."""
     pivots = rows.select("pivot").distinct()
     same = linked.select("pivot", F.col("doc_id").alias("other")).join(pivots, "pivot", "left_semi").join(pivots.toDF("other"), "other", "left_semi").groupBy("pivot").agg(F.min("other").alias("other"))
     named = rows.join(same, "pivot", "left").withColumn("pivot", F.least("pivot", "other"))
-    named = written(named.groupBy("pivot", "doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("grp").alias("grp")))
+    named = written(named.groupBy("pivot", "doc_id", "n_shingles", "k1", "k2").agg(F.min("grp").alias("grp")))
     ids = written(named.select("doc_id").union(named.select("pivot")).distinct())
     asked = _distinct(texts.join(small(ids, ids.count()), "doc_id", "left_semi"))
-    # Most members may have one pivot, so its text is dealt to several tasks.
-    own = asked.toDF("pivot", "own").join(named.select("pivot").distinct(), "pivot", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Most members may have one pivot, so its text (one of them, if several have its doc_id) is dealt to several tasks.
+    own = asked.toDF("pivot", "own").join(named.select("pivot").distinct(), "pivot", "left_semi").groupBy("pivot").agg(F.min("own").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = named.join(asked, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(own, ["pivot", "salt"]).select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
-    kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, n bigint, near array<bigint>, far array<bigint>"
-    told = written(pairs.mapInArrow(_differences(width, percent, common), kind))
-    grp = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("grp")).alias("grp")
-    children = told.select(F.explode("near").alias("e"), "pivot", "doc_id", "n_shingles", "k1", "k2", grp)
-    children = children.select(F.xxhash64("pivot", "e").alias("node"), "doc_id", "n_shingles", "k1", "k2", "grp").distinct()
-    # The longer lists of members not linked with the pivot meet the shorter ones of those that are, where as many of both
-    # differences are left from there on as the two must share.
-    placed = ["pivot", "doc_id", "n_shingles", "k1", "k2", "n"]
-    x = told.where("not linked").select(*placed, F.size("near").alias("before"), F.posexplode("far").alias("i", "e")).withColumn("i", F.col("i") + F.col("before")).alias("x")
-    y = told.where("linked").select(*placed, F.posexplode("near").alias("i", "e")).alias("y")
+    kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, n bigint, first bigint, differ array<bigint>"
+    told = written(pairs.mapInArrow(_differences(width, percent), kind))
+    # A difference that no other member has only moves the others back.
+    member = ["pivot", "doc_id", "linked", "n", "n_shingles"]
+    each = told.select(*member, "first", "k1", "k2", "grp", F.explode("differ").alias("e"))
+    often = each.groupBy("pivot", "e").agg(F.count("*").alias("c")).where("c > 1")
+    own_rows = Window.partitionBy(*member, "k1", "k2")
+    meeting = each.join(often, ["pivot", "e"]).withColumn("i", F.col("n") - F.count("*").over(own_rows) + F.row_number().over(own_rows.orderBy("c", "e")) - 1)
+    placed = written(meeting.where("i < first").select(*member, "k1", "k2", "grp", "e", "i"))
+    x, y = placed.alias("x"), placed.alias("y")
     share = F.col("x.n") + F.col("y.n") - (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - percent) / (100 + percent)
     left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
-    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & (2 * left >= share - 1e-6) & _near("x", "y", percent))
-    met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    return children, met, told.where("linked and pivot <> doc_id").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
+    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.grp") != F.col("y.grp")) & ~(F.col("x.linked") & F.col("y.linked"))
+    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & apart & (2 * left >= share - 1e-6) & _near("x", "y", percent))
+    met = written(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    return met, told.where("linked and pivot <> doc_id").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
 
 
-def _differences(width: int, percent: int, common: np.ndarray):
-    """(pivot, doc_id, n_shingles, k1, k2, grp, own text of the pivot, text) to whether the two are linked, and the first
-    shingles of the document's differences: near, which meets any other list, and far, which meets those of linked members."""
+def _differences(width: int, percent: int):
+    """(pivot, doc_id, n_shingles, k1, k2, grp, own text of the pivot, text) to whether the two are linked, how many differences
+    there are, how many of the first of them (in any order) hold one that a linked member shares, and the differences."""
 
     def differ(batches):
         for batch in batches:
             known: dict[int, np.ndarray] = {}
             pivots, sides = batch.column(0).to_pylist(), [tx.text_buffers(batch.column(i)) for i in (6, 7)]
+            sizes = batch.column(2).to_pylist()
             out: tuple[list, ...] = ([], [], [], [])
+            held = 0
             for i, pivot in enumerate(pivots):
                 p, x = (_set_at(i, *side, width) if k or pivot not in known else known[pivot] for k, side in enumerate(sides))
                 if len(known) > 200:
                     known.clear()
                 known[pivot] = p
-                added, missing = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-                both, n = np.concatenate([added, missing]).view(np.int64), len(added) + len(missing)
-                # Rare shingles first, of these the ones that the pivot lacks: fewer members share them.
-                at = np.minimum(np.searchsorted(common[:, 0], both), max(len(common) - 1, 0))
-                count = np.where(common[at, 0] == both, common[at, 1], 0) if len(common) else np.zeros(n, np.int64)
-                both = both[np.lexsort((both, np.arange(n) >= len(added), count))]
-                near = n - max(0, (n * (100 + percent) - (len(x) - len(p)) * (100 - percent)) // (2 * (100 + percent)))
-                far = len(x) * (100 - percent) // percent + 1
-                out[0].append(n * (100 + percent) <= (len(x) + len(p)) * (100 - percent))
-                out[1].append(n)
-                out[2].append(both[: min(near, far, n)])
-                out[3].append(both[min(near, far, n) : far])
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in out[2:]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), *lists], names=[*batch.schema.names[:6], "linked", "n", "near", "far"])
+                if len(x) == sizes[i]:  # else it is another text of the same doc_id, which has a row of its own
+                    both = np.setxor1d(x, p, assume_unique=True).view(np.int64)
+                    n = len(both)
+                    of_pivot = n * (100 + percent) <= (len(x) + len(p)) * (100 - percent)
+                    first = min(n, len(x) * (100 - percent) // percent + 1)
+                    if of_pivot:  # meets only members that aren't linked with the pivot, so shares more of its own differences
+                        first = min(first, n - max(0, (n * (100 + percent) - (len(x) - len(p)) * (100 - percent)) // (2 * (100 + percent))))
+                    for values, value in zip(out, (i, of_pivot, first, both), strict=True):
+                        values.append(value)
+                    held += n
+                if out[0] and (held >= HANDED or i + 1 == len(pivots)):
+                    columns = [pa.array(out[1], pa.bool_()), pa.array([len(v) for v in out[3]], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(out[0])) for k in range(6)), *columns], names=[*batch.schema.names[:6], "linked", "n", "first", "differ"])
+                    out, held = ([], [], [], []), 0
 
     return differ
 

@@ -101,6 +101,41 @@ def test_large_nodes_of_families_equal_brute_force(spark, monkeypatch, depth):
     assert [got[i] for i in range(len(own))] == components(len(own), links)
 
 
+def rows_of_joins(spark, run):
+    """The result of run, and the most rows that one join made in it."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        every = store.executionsList()
+        return {every.apply(i).executionId() for i in range(every.size())}
+
+    before, result, most = executions(), run(), 0
+    for at in executions() - before:
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return result, most
+
+
+def test_family_in_parts_meets_at_rare_differences(spark):
+    """Members of a family have one part or the other or both, and words of their own: no member is near to most, and many
+    share all that a whole part brings. They meet few times, and what is linked is found."""
+    rng = random.Random(11)
+    parts, own = (words(rng, 100, 10**6), words(rng, 60, 10**6)), []
+    for _ in range(400):
+        copy = [w for part in rng.choice([parts[:1], parts, parts]) for w in part]
+        for _ in range(rng.randrange(2, 9)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        own.append(copy)
+    sets = [shingles(" ".join(t), 4) for t in own]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got, most = rows_of_joins(spark, lambda: minhash_dedup.near_duplicates(docs_of(spark, [" ".join(t) for t in own])).collect())
+    assert [r.component_id for r in sorted(got)] == components(len(own), links)
+    assert most < 40_000, most
+
+
 def test_documents_that_share_a_doc_id(spark):
     rng = random.Random(2)
     one, two, near = (words(rng, 60) for _ in range(3))
