@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnp as tx
-from larkspur.llm.common import small, written
+from larkspur.llm.common import BROADCAST_ROWS, small, written
 from larkspur.llm.graph import connected_components
 
 TREES, FIRST_BRANCHES, BRANCHES = 3, 3, 2
@@ -170,8 +170,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     n = pairs.count()
     if not n:
         return pairs
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    asked = _distinct(texts.join(small(ids, 2 * n), "doc_id", "left_semi"))
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    asked = _distinct(texts.join(small(ids if 2 * n <= BROADCAST_ROWS else ids.distinct(), 2 * n), "doc_id", "left_semi"))
     a, b = asked.toDF("a", "ta"), asked.toDF("b", "tb")
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a bigint, b bigint"))
 
@@ -183,61 +183,71 @@ def links(reps: DataFrame, texts: DataFrame, width: int = 4, percent: int = 80)
     rows = reps.select(
         F.explode(F.array([F.xxhash64(F.lit(t), F.lit(j), F.element_at("mh", t * FIRST_BRANCHES + j + 1)) for t in range(TREES) for j in range(FIRST_BRANCHES)])).alias("node"), *member[:-1], F.col("doc_id").alias("grp")
     )
-    candidates, found = None, None
+    candidates, found, dense, n_pivots = None, None, None, 0
     for depth in range(1, MAX_DEPTH):
         groups = rows.groupBy("node", "grp").agg(F.count("*").alias("c")) if depth > 1 else rows.select("node", "grp", F.lit(1).alias("c"))
         nodes = groups.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.max(F.struct("c", "grp"))["grp"].alias("top")).where("n * n > s2")
         work = (F.col("n") * F.col("n") - F.col("s2")) / 2
         nodes = written(nodes.select("node", "top", (work <= F.col("n") * LEAF / 2).alias("leaf"), "n"))
-        n_large = nodes.where("not leaf").count()
-        inner = rows.join(nodes.where("leaf").select("node", "top"), "node")
+        n_nodes, n_large = nodes.agg(F.count("*"), F.count_if(~F.col("leaf"))).first()
+        inner = rows.join(small(nodes.where("leaf").select("node", "top"), 2 * n_nodes), "node")
         met = inner.where("grp <> top").alias("x").join(inner.alias("y"), (F.col("x.node") == F.col("y.node")) & _pair() & _near("x", "y", percent))
         met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         # Each level's candidates are written by themselves: one plan for all levels would hold all their broadcasts at once.
-        met = written(met.distinct())
+        # Repeated ones go when all levels are put together.
+        met = written(met)
         candidates = met if candidates is None else candidates.union(met)
         if not n_large:
             break
-        # The pivot is the member nearest to a few random ones: in a family of copies, its origin.
-        outer = written(rows.join(nodes.where("not leaf").select("node", "top"), "node"))
+        # The pivot is the member nearest to a few random ones: in a family of copies, its origin. What has a row for each large
+        # node is small as a rule; then the members of large nodes, of which most rows may be, aren't shuffled to meet it.
+        outer = written(rows.join(small(nodes.where("not leaf").select("node", "top"), n_large), "node"))
         others = outer.where("grp <> top")
         drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "doc_id").alias("h"), "k1", "k2")).alias(f"s{i}") for i in range(SAMPLES)]
         apart = sum((_apart(F.col("k1"), F.col("k2"), F.col(f"s{i}.k1"), F.col(f"s{i}.k2")) for i in range(1, SAMPLES)), _apart(F.col("k1"), F.col("k2"), F.col("s0.k1"), F.col("s0.k2")))
-        nearest = others.join(others.groupBy("node").agg(*drawn), "node").select("node", F.struct(apart.alias("far"), "doc_id", "n_shingles", "k1", "k2", "grp").alias("x"))
+        nearest = others.join(small(others.groupBy("node").agg(*drawn), n_large), "node").select("node", F.struct(apart.alias("far"), "doc_id", "n_shingles", "k1", "k2", "grp").alias("x"))
         pivots = written(nearest.groupBy("node").agg(F.min("x").alias("x"), (F.avg("x.far") <= DENSE * SAMPLES).alias("dense")))
-        star = outer.select("node", F.struct("doc_id", "n_shingles", "k1", "k2").alias("y")).join(pivots, "node").where((F.col("x.doc_id") != F.col("y.doc_id")) & _near("x", "y", percent))
+        star = outer.select("node", F.struct("doc_id", "n_shingles", "k1", "k2").alias("y")).join(small(pivots, n_large), "node").where((F.col("x.doc_id") != F.col("y.doc_id")) & _near("x", "y", percent))
         star = confirmed(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), texts, width, percent)
         found = star if found is None else found.union(star)
         linked = star.union(star.select("b", "a")).toDF("pivot", "doc_id").withColumn("linked", F.lit(True))
-        met = outer.join(pivots.select("node", F.col("x.doc_id").alias("pivot"), F.col("x.grp").alias("pgrp"), (F.col("dense") | F.lit(depth == MAX_DEPTH - 1)).alias("dense")), "node").join(linked, ["pivot", "doc_id"], "left")
+        of_node = pivots.select("node", F.col("x.doc_id").alias("pivot"), F.col("x.grp").alias("pgrp"), (F.col("dense") | F.lit(depth == MAX_DEPTH - 1)).alias("dense"))
+        met = outer.join(small(of_node, n_large), "node").join(small(linked, 2 * star.count()), ["pivot", "doc_id"], "left")
         met = met.withColumn("linked", F.coalesce("linked", F.lit(False)) | (F.col("pivot") == F.col("doc_id")))
         # Where the pivot is linked into the node's main group, its family joins that group.
         joins = met.groupBy("node").agg(F.max(F.col("linked") & (F.col("grp") == F.col("top"))).alias("joins"))
         family = F.when(F.col("joins"), F.col("top")).otherwise(F.col("pgrp"))
-        grouped = met.join(joins, "node").withColumn("grp", F.when((F.col("linked") & (F.col("grp") == F.col("doc_id"))) | (F.col("grp") == F.col("pgrp")), family).otherwise(F.col("grp")))
+        grouped = met.join(small(joins, n_large), "node").withColumn("grp", F.when((F.col("linked") & (F.col("grp") == F.col("doc_id"))) | (F.col("grp") == F.col("pgrp")), family).otherwise(F.col("grp")))
         grouped = written(grouped.select("node", "dense", "pivot", *member))
         of_pivot = reps.join(small(pivots.select(F.col("x.doc_id").alias("doc_id")).distinct(), n_large), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("mh").alias("pivot_mh"))
         spread = grouped.where("not dense").join(reps.select("doc_id", "mh"), "doc_id").join(small(of_pivot, 10 * n_large), "pivot").select(_children(F.col("node"), BRANCHES).alias("node"), *member)
-        if not grouped.where("dense").isEmpty():
-            met, of_pivots = _by_differences(grouped.where("dense").drop("node", "dense"), linked, texts, width, percent)
-            candidates, found = candidates.union(met), found.union(of_pivots)
+        ended = grouped.where("dense").drop("node", "dense")
+        dense, n_pivots = ended if dense is None else dense.union(ended), n_pivots + n_large
         if depth < MAX_DEPTH - 1:
             rows = written(spread)
+    # Dense nodes of all levels are taken together: many have the same pivot, or linked ones, and much the same members.
+    if dense is not None and not dense.isEmpty():
+        met, of_pivots = _by_differences(dense, n_pivots, found, texts, width, percent)
+        candidates, found = candidates.union(met), found.union(of_pivots)
     direct = confirmed(candidates.distinct(), texts, width, percent)
     return direct if found is None else direct.union(found)
 
 
-def _by_differences(rows: DataFrame, linked: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) to candidates (a, b), which hold all links of members of one pivot but those of
-    its family, and the links (a, b) of pivots. Nodes whose pivots are linked are taken together, so that a family is dealt once."""
-    pivots = rows.select("pivot").distinct()
-    same = linked.select("pivot", F.col("doc_id").alias("other")).join(pivots, "pivot", "left_semi").join(pivots.toDF("other"), "other", "left_semi").groupBy("pivot").agg(F.min("other").alias("other"))
-    named = rows.join(same, "pivot", "left").withColumn("pivot", F.least("pivot", "other"))
+def _by_differences(rows: DataFrame, n_pivots: int, found: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (pivot, doc_id, n_shingles, k1, k2, grp) of at most n_pivots pivots, and links (a, b) found, to candidates (a, b), which
+    hold all links of members of one pivot but those of its family, and the links (a, b) of pivots. Nodes whose pivots are linked are
+    taken together, so that a family is dealt once."""
+    pivots = written(rows.select("pivot").distinct())
+    linked = found.union(found.select("b", "a")).toDF("pivot", "other")
+    for side in ("pivot", "other"):
+        linked = linked.join(small(pivots.toDF(side), n_pivots), side, "left_semi")
+    same = linked.groupBy("pivot").agg(F.min("other").alias("other"))
+    named = rows.join(small(same, n_pivots), "pivot", "left").withColumn("pivot", F.least("pivot", "other"))
     named = written(named.groupBy("pivot", "doc_id", "n_shingles", "k1", "k2").agg(F.min("grp").alias("grp")))
     ids = written(named.select("doc_id").union(named.select("pivot")).distinct())
     asked = _distinct(texts.join(small(ids, ids.count()), "doc_id", "left_semi"))
     # Most members may have one pivot, so its text (one of them, if several have its doc_id) is dealt to several tasks.
-    own = asked.toDF("pivot", "own").join(named.select("pivot").distinct(), "pivot", "left_semi").groupBy("pivot").agg(F.min("own").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = asked.toDF("pivot", "own").join(small(named.select("pivot").distinct(), n_pivots), "pivot", "left_semi").groupBy("pivot").agg(F.min("own").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = named.join(asked, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(own, ["pivot", "salt"]).select("pivot", "doc_id", "n_shingles", "k1", "k2", "grp", "own", "text")
     kind = "pivot bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, grp bigint, linked boolean, n bigint, first bigint, differ array<bigint>"
     told = written(pairs.mapInArrow(_differences(width, percent), kind))

@@ -136,6 +136,40 @@ def test_family_in_parts_meets_at_rare_differences(spark):
     assert most < 40_000, most
 
 
+def shuffles(spark, run):
+    """The result of run, and how many shuffles its executions have."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        every = store.executionsList()
+        return {every.apply(i).executionId() for i in range(every.size())}
+
+    before, result, n = executions(), run(), 0
+    for at in executions() - before:
+        nodes = store.planGraph(at).allNodes()
+        n += sum(nodes.apply(i).name() == "Exchange" for i in range(nodes.size()))
+    return result, n
+
+
+def test_large_nodes_of_all_levels_share_their_shuffles(spark, monkeypatch):
+    """A level whose large nodes are few doesn't shuffle their members to meet them, and dense nodes of all levels are taken together."""
+    monkeypatch.setattr(minhash_dedup, "LEAF", 2)
+    rng = random.Random(7)
+    own = []
+    for family in range(6):
+        base = words(rng, 100, 10**6)
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4 + 4 * family)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+            own.append(copy)
+    sets = [shingles(" ".join(t), 4) for t in own]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got, n = shuffles(spark, lambda: minhash_dedup.near_duplicates(docs_of(spark, [" ".join(t) for t in own])).collect())
+    assert [r.component_id for r in sorted(got)] == components(len(own), links)
+    assert n < 75, n
+
+
 def test_documents_that_share_a_doc_id(spark):
     rng = random.Random(2)
     one, two, near = (words(rng, 60) for _ in range(3))
