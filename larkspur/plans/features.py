@@ -10,9 +10,9 @@ from larkspur.sources.roles import BARS_SQL, bars
 
 
 def bar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each feature of each bar with its group and state."""
+    """Each feature of each bar with its group and state. As in the SQL, minus infinity (behind another key's price of zero) lies in no band and has no row."""
     group = F.create_map(*[F.lit(x) for name, f in FEATURES.items() for x in (name, f.group)])
-    return states(long_features(wide_features(bars(spark, sf_dir)))).withColumn("group", group[F.col("feature")])
+    return states(long_features(wide_features(bars(spark, sf_dir))).where(F.col("value") > float("-inf"))).withColumn("group", group[F.col("feature")])
 
 
 def feature_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ import math
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import features
+from larkspur.plans.features import QUERIES
 
 BARS = "key string, t timestamp, open double, high double, low double, close double, volume double, value string"
 START = dt.datetime(2024, 1, 1)
@@ -100,3 +102,23 @@ def test_variants_equal_loops(spark, year):
                 z = (changes[i] - statistics.mean(past)) / sd if changes[i] is not None and sd > 1e-6 else None
                 assert r[f"z_{n}"] is z is None or math.isclose(r[f"z_{n}"], z, abs_tol=1e-9)
     assert features.variants(long.where(F.lit(False))).count() == 0
+
+
+def test_queries_equal_sql_after_prices_of_zero(spark, tmp_path):
+    """Quotients and logarithms of zero prices are infinite or not a number in both; rounded values are compared, NaN apart from null."""
+    rng = random.Random(11)
+    ticks = [(60 * h + m, key, 0.0 if rng.random() < (0.004 if h > 20 else 0) else 10 + 5 * rng.random()) for h in range(330) for key in "abc" for m in range(rng.randint(1, 9))]
+    rows = [(i, START + dt.timedelta(minutes=at), key, v) for i, (at, key, v) in enumerate(ticks)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    same = lambda v: repr(float(f"{v:.9g}") + 0.0) if isinstance(v, float) else v
+    for query, sql in QUERIES.values():
+        found = query(spark, str(tmp_path))
+        cur = db.execute(sql)
+        names = [d[0] for d in cur.description]
+        want = {(r["key"], r["feature"], r["t"]): r for r in ({n: same(v) for n, v in zip(names, row, strict=True)} for row in cur.fetchall())}
+        got = {(r["key"], r["feature"], r["t"]): {n: same(r[n]) for n in names} for r in found.collect()}
+        assert got.keys() == want.keys()
+        assert not [(k, n, got[k][n], want[k][n]) for k in got for n in names if got[k][n] != want[k][n]]
+        assert {"inf", "nan"} <= {v for r in got.values() for v in r.values()}
