@@ -139,11 +139,12 @@ def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest and the others, and what is missing to the margin (at most rounding)."""
     ready, model = fitted_trees(spark, sf_dir)
     e = trees.of_spark(model, len(LINE_INPUTS))
-    x = trees.explained(ready.select("l_orderkey", "l_linenumber", *LINE_INPUTS), LINE_INPUTS, e)
-    steps = trees.waterfall("contributions", LINE_INPUTS, e.base, SHOWN)
-    missing = F.abs(F.aggregate("contributions", F.lit(e.base), lambda s, c: s + c) - F.col("margin"))
+    x = trees.explained(ready.select("l_orderkey", "l_linenumber", *LINE_INPUTS), LINE_INPUTS, e, parts=("contributions",), show=SHOWN)
+    # Written out element by element: functions over arrays are interpreted row by row.
+    missing = F.abs(sum((F.col("contributions")[i] for i in range(len(LINE_INPUTS))), F.lit(e.base)) - F.col("margin"))
+    steps = [F.col("waterfall")[i] for i in range(min(SHOWN + 1, len(LINE_INPUTS)))]
     return x.select("l_orderkey", "l_linenumber", F.round("margin", 6).alias("margin"), *[F.round(F.col("contributions")[i], 6).alias(f"by_{c.removeprefix('l_')}") for i, c in enumerate(LINE_INPUTS)],
-        F.transform(steps, lambda s: F.struct(s["feature"].alias("feature"), F.round(s["upto"], 6).alias("upto"))).alias("waterfall"), (missing < 1e-6).alias("adds_up"))
+        F.array(*[F.struct(s["feature"].alias("feature"), F.round(s["upto"], 6).alias("upto")) for s in steps]).alias("waterfall"), (missing < 1e-6).alias("adds_up"))
 
 
 def tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

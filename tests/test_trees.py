@@ -110,3 +110,26 @@ def test_explained_of_no_rows(spark):
     assert trees.explained(rows.limit(0), ["q"], e, ("q",)).count() == 0
     got = {r.i: (r.margin, r.contributions, r.flip_q) for r in trees.explained(rows, ["q"], e, ("q",)).collect()}
     assert got[1] == (1.0, [1.0], np.nextafter(2.0, 9)) and got[2][:2] == (-1.0, [-1.0])
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_tables_equal_leaves_and_do_not_visit_them_by_row(monkeypatch, wide):
+    """Rows find in the cells of trees what the leaves give row by row, at thresholds, beside them and without a value; trees of too many cells too."""
+    rng = np.random.default_rng(5)
+    forest = [grown(rng, 4) for _ in range(5)]
+    e = trees.Ensemble(4, [leaf for t, tree in enumerate(forest) for leaf in leaves_of(tree, t)], np.zeros(4), 0.0)
+    if wide:
+        monkeypatch.setattr(trees, "CELLS", 30)
+    t, cut = trees.Tables(e), np.concatenate([e.thresholds(f) for f in range(3)])
+    assert bool(t.rest.leaves) == wide and t.trees
+    x = rng.choice(np.concatenate([cut, np.nextafter(cut, 9), np.nextafter(cut, -9), rng.uniform(-1.5, 1.5, 50), [np.nan, np.inf]]), (3000, 4))
+    at = t.stretches(x)
+    cells = t.cells(at)
+    assert np.allclose(t.margin(x, cells), e.margin(x), atol=1e-12) and np.allclose(t.shapley(x, cells), e.shapley(x), atol=1e-12) and np.allclose(t.path_attributions(x, cells), e.path_attributions(x), atol=1e-12)
+    for f in range(4):
+        known = ~np.isinf(x[:, f])
+        assert np.array_equal(t.nearest_flip(x, f, at, cells)[known], e.nearest_flip(x, f)[known], equal_nan=True)
+    seen = []
+    monkeypatch.setattr(trees.Ensemble, "reached", lambda self, x, leaf: seen.append(leaf) or np.zeros((len(x), len(leaf.path)), bool))
+    t.margin(x, cells), t.shapley(x, cells), t.nearest_flip(x, 0, at, cells)
+    assert bool(seen) == wide
