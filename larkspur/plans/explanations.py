@@ -162,7 +162,7 @@ def line_counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     whether the trees, asked again with the changed quantity, decide otherwise."""
     ready, model = fitted_trees(spark, sf_dir)
     flips = ("l_quantity", "l_discount")
-    x = trees.explained(ready.select("l_orderkey", "l_linenumber", *LINE_INPUTS), LINE_INPUTS, trees.of_spark(model, len(LINE_INPUTS)), flips)
+    x = trees.explained(ready.select("l_orderkey", "l_linenumber", *LINE_INPUTS), LINE_INPUTS, trees.of_spark(model, len(LINE_INPUTS)), flips, ())
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
